@@ -185,7 +185,8 @@ _SPAN = "CAST(floor(epoch(ts)) AS BIGINT) - 1704067200"
                THEN s || ' second' || CASE WHEN s > 1 THEN 's' ELSE '' END END) AS elapsed, d * 24 + h AS hours, m AS minutes, s AS seconds FROM t""",
 )
 def _(spark, d):
-    start, end = F.lit(1704067200).cast("bigint"), F.unix_seconds("ts")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    start, end = F.lit(0).cast("bigint"), F.timestamp_diff("SECOND", start, F.col("ts").cast("timestamp_ntz"))
     parts = schedule.hms(end - start)
     return table(spark, d, "events").select(
         "event_id", schedule.duration_text(start, end).alias("elapsed"), parts["hours"].alias("hours"),

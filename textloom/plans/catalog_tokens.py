@@ -470,7 +470,7 @@ def _(spark, d):
     vocab, merges, _ = _model(spark, d)
     docs = table(spark, d, "documents").select("doc_id", "text")
     coded = enc.encode(docs, words.words_of(F.col("text")), merges, vocab).select("doc_id", "ids")
-    return enc.decode(coded, F.col("ids"), vocab, ["doc_id"])
+    return enc.decode(coded, F.col("ids"), vocab, ["doc_id"]).select("doc_id", "text")
 
 
 @query(

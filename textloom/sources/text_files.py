@@ -36,5 +36,5 @@ def scan_lines(spark: SparkSession, path: str, partitions: Sequence[str] = ()) -
 
 def scan_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file, text)``: one row per file."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
