@@ -18,7 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.plans.grouped import running_totals
+from textloom.plans.grouped import key_bucket, running_totals
+
+_ROWS_PER_BUCKET = 1 << 12  # rows of a stream numbered together; they carry their ids
 
 MAX_LENGTH = 512
 STRIDE = 384  # three quarters of the window; 512 in the later run
@@ -33,7 +35,8 @@ def n_windows(n_tokens: Column, max_length: int = MAX_LENGTH, stride: int = STRI
 def stream_offsets(df: DataFrame, stream: Sequence[str], order: str, ids: str = "ids") -> DataFrame:
     """Add ``start`` (tokens before the row) and ``n_tokens`` (of the stream)."""
     size = F.size(ids).cast("bigint")
-    return running_totals(df, stream, [order], {"start": size}, totals={"n_tokens": "start"})
+    bucket = key_bucket(order, _ROWS_PER_BUCKET)
+    return running_totals(df, stream, [order], {"start": size}, bucket, {"n_tokens": "start"})
 
 
 def pack(

@@ -1,7 +1,8 @@
 """Ranking of scored candidates per group: tables ``(grp.., item, score)``.
 
 Items are unique in their group. A group may be of any size: totals, cut-offs
-and running shares go through ``plans.grouped``.
+and running shares go through ``plans.grouped``. Steps that follow one another
+can share one ``find_hot`` result; they then also share one shuffle by group.
 """
 
 from __future__ import annotations
@@ -12,69 +13,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import uniform
-from textloom.plans.grouped import group_cutoff, group_values, salt
+from textloom.plans.grouped import HotGroups, find_hot, group_cutoff, group_values
 
 EPS = 1e-8  # fixed value: keeps a share finite
 
 
-def softmax(df: DataFrame, grp: Sequence[str], item: str = "item", score: str = "score", temperature: float = 1.0) -> DataFrame:
+def softmax(
+    df: DataFrame, grp: Sequence[str], item: str = "item", score: str = "score", temperature: float = 1.0,
+    hot: HotGroups | None = None,
+) -> DataFrame:
     """Add ``prob``: softmax of the score over the group at a temperature above 0."""
+    hot = hot or find_hot(df, grp)
     scaled = df.withColumn("_x", F.col(score) / F.lit(temperature))
-    peaked = group_values(scaled, grp, salt(item), {"_max": (F.max("_x"), F.max)})
-    powered = peaked.withColumn("_e", F.exp(F.col("_x") - F.col("_max"))).drop("_x", "_max")
-    summed = group_values(powered, grp, salt(item), {"_sum": (F.sum("_e"), F.sum)})
-    return summed.withColumn("prob", F.col("_e") / F.col("_sum")).drop("_e", "_sum")
+    peaked = group_values(scaled, hot, item, {"_max": (F.max, "_x")})
+    powered = peaked.withColumn("_e", F.exp(F.col("_x") - F.col("_max")))
+    summed = group_values(powered, hot, item, {"_sum": (F.sum, "_e")})
+    return summed.select(*df.columns, (F.col("_e") / F.col("_sum")).alias("prob"))
 
 
-def renormalise(df: DataFrame, grp: Sequence[str], item: str = "item", prob: str = "prob", eps: float = 0.0) -> DataFrame:
-    summed = group_values(df, grp, salt(item), {"_sum": (F.sum(prob), F.sum)})
+def renormalise(
+    df: DataFrame, grp: Sequence[str], item: str = "item", prob: str = "prob", eps: float = 0.0, hot: HotGroups | None = None
+) -> DataFrame:
+    summed = group_values(df, hot or find_hot(df, grp), item, {"_sum": (F.sum, prob)})
     return summed.withColumn(prob, F.col(prob) / (F.col("_sum") + F.lit(eps))).drop("_sum")
 
 
-def top_k_ties(df: DataFrame, grp: Sequence[str], k: int, item: str = "item", score: str = "score") -> DataFrame:
+def top_k_ties(
+    df: DataFrame, grp: Sequence[str], k: int, item: str = "item", score: str = "score", hot: HotGroups | None = None
+) -> DataFrame:
     """Items whose score reaches the k-th best: ties at the line stay."""
-    cut = group_cutoff(df, grp, salt(item), F.col(score), k, "_cut")
+    cut = group_cutoff(df, hot or find_hot(df, grp), item, F.col(score), k, "_cut")
     return cut.where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
-def top_k(df: DataFrame, grp: Sequence[str], k: int, item: str = "item", prob: str = "prob", eps: float = 0.0) -> DataFrame:
+def top_k(
+    df: DataFrame, grp: Sequence[str], k: int, item: str = "item", prob: str = "prob", eps: float = 0.0,
+    hot: HotGroups | None = None,
+) -> DataFrame:
     """Exactly the k best items (the larger item first on a tie), renormalised."""
+    hot = hot or find_hot(df, grp)
     key = F.struct(F.col(prob), F.col(item))
-    cut = group_cutoff(df, grp, salt(item), key, k, "_cut")
-    return renormalise(cut.where(key >= F.col("_cut")).drop("_cut"), grp, item, prob, eps)
+    cut = group_cutoff(df, hot, item, key, k, "_cut")
+    return renormalise(cut.where(key >= F.col("_cut")).drop("_cut"), grp, item, prob, eps, hot)
 
 
-def top_p(df: DataFrame, grp: Sequence[str], p: float, item: str = "item", prob: str = "prob", eps: float = 0.0) -> DataFrame:
+def top_p(
+    df: DataFrame, grp: Sequence[str], p: float, item: str = "item", prob: str = "prob", eps: float = 0.0,
+    hot: HotGroups | None = None,
+) -> DataFrame:
     """The best items up to mass ``p``, the one that crosses it included, renormalised.
 
-    Items run by (prob descending, md5 of the item, item). Buckets follow that
-    order: probabilities a few percent apart share one, and a bucket whose
-    probabilities are all equal is cut further by the hash, so a group of many
-    equal items is spread too.
+    Items run by (prob descending, md5 of the item, item). A hot group is cut
+    along that order: probabilities a few percent apart share a bucket, and a
+    bucket whose probabilities are all equal is cut further by the hash, so a
+    group of many equal items is spread too.
     """
     grp = list(grp)
-    keyed = df.withColumn("_h", F.md5(F.col(item).cast("string").cast("binary")))
-    level = F.floor(-F.log2(prob) * 16).cast("bigint")
-    keyed = keyed.withColumn("_q", F.when(F.col(prob) > 0, level).otherwise(F.lit(1 << 20).cast("bigint")))
-    keyed = keyed.withColumn("_sub", F.substring("_h", 1, 2))
+    hot = hot or find_hot(df, grp)
+    tie = F.md5(F.col(item).cast("string").cast("binary"))
+    if hot.table is None:
+        rows, buckets, up = df.withColumn("_h", tie), [], F.lit(0.0)
+    else:
+        is_hot = F.col("_hot").isNotNull()
+        level = F.when(F.col(prob) > 0, F.floor(-F.log2(prob) * 16)).otherwise(F.lit(1 << 20)).cast("bigint")
+        keyed = hot.mark(df).withColumn("_h", tie)
+        keyed = keyed.withColumn("_q", F.when(is_hot, level).otherwise(F.lit(0).cast("bigint")))
+        keyed = keyed.withColumn("_sub", F.when(is_hot, F.substring("_h", 1, 2)).otherwise(F.lit("")))
+        rows = keyed.join(_mass_before(keyed.where(is_hot), grp, prob), [*grp, "_q", "_sub"], "left")
+        rows = rows.withColumn("_b", F.coalesce("_b", F.lit("")))
+        buckets, up = ["_q", "_b"], F.coalesce("_up", F.lit(0.0))
+    inside = Window.partitionBy(*grp, *buckets).orderBy(F.desc(prob), "_h", item)
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = up + F.coalesce(F.sum(prob).over(inside), F.lit(0.0))
+    kept = rows.withColumn("_before", before).where(F.col("_before") <= p).select(*df.columns)
+    return renormalise(kept, grp, item, prob, eps, hot)
+
 
+def _mass_before(keyed: DataFrame, grp: list[str], prob: str) -> DataFrame:
+    """``(grp.., _q, _sub, _b, _up)``: bucket of each hash part and the mass before it."""
     parts = keyed.groupBy(*grp, "_q", "_sub").agg(
         F.sum(prob).alias("_mass"), F.min(prob).alias("_lo"), F.max(prob).alias("_hi")
     )
     in_level = Window.partitionBy(*grp, "_q")  # at most 256 rows
     equal = F.min("_lo").over(in_level) == F.max("_hi").over(in_level)
     parts = parts.select(*grp, "_q", "_sub", "_mass", F.when(equal, F.col("_sub")).otherwise(F.lit("")).alias("_b"))
-    merged = parts.groupBy(*grp, "_q", "_b").agg(F.sum("_mass").alias("_mass"), F.collect_set("_sub").alias("_subs"))
+    buckets = parts.groupBy(*grp, "_q", "_b").agg(F.sum("_mass").alias("_mass"), F.collect_set("_sub").alias("_subs"))
     earlier = Window.partitionBy(*grp).orderBy("_q", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    merged = merged.select(*grp, "_q", "_b", "_subs", F.coalesce(F.sum("_mass").over(earlier), F.lit(0.0)).alias("_up"))
-    starts = merged.select(*grp, "_q", "_b", "_up", F.explode("_subs").alias("_sub"))
-
-    rows = keyed.join(starts, [*grp, "_q", "_sub"])
-    inside = Window.partitionBy(*grp, "_q", "_b").orderBy(F.desc(prob), "_h", item)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_up") + F.coalesce(F.sum(prob).over(inside), F.lit(0.0))
-    kept = rows.withColumn("_before", before).where(F.col("_before") <= p).select(*df.columns)
-    return renormalise(kept, grp, item, prob, eps)
+    buckets = buckets.select(*grp, "_q", "_b", "_subs", F.coalesce(F.sum("_mass").over(earlier), F.lit(0.0)).alias("_up"))
+    return buckets.select(*grp, "_q", "_b", "_up", F.explode("_subs").alias("_sub"))
 
 
 def arg_max(df: DataFrame, grp: Sequence[str], item: str = "item", score: str = "score") -> DataFrame:
@@ -96,24 +122,22 @@ def weighted_draw(df: DataFrame, grp: Sequence[str], item: str = "item", prob: s
 
 def repetition_penalty(
     df: DataFrame, history: DataFrame, grp: Sequence[str], penalty: float, item: str = "item", score: str = "score",
-    pos: str = "pos", newest: int | None = None,
+    pos: str = "pos", newest: int | None = None, hot: HotGroups | None = None,
 ) -> DataFrame:
     """Divide the score of items that the group's history repeats.
 
     Whole history: once per occurrence after the first. With ``newest`` only
     the last ``newest`` entries count, each once if the item came before it.
+    ``hot`` is about the history.
     """
     grp = list(grp)
     if newest is None:
-        times = F.count("*") - 1
-        counted = history.groupBy(*grp, item).agg(times.alias("_m"))
+        counted = history.groupBy(*grp, item).agg((F.count("*") - 1).alias("_m"))
     else:
-        cut = group_cutoff(history, grp, salt(pos), F.col(pos), newest, "_cut")
-        late = F.col(pos) >= F.col("_cut")
-        n_late = F.count(F.when(late, 1))
-        counted = cut.groupBy(*grp, item).agg(
-            (n_late - F.when(n_late == F.count("*"), F.least(n_late, F.lit(1))).otherwise(F.lit(0))).alias("_m")
-        )
+        cut = group_cutoff(history, hot or find_hot(history, grp), pos, F.col(pos), newest, "_cut")
+        n_late = F.count(F.when(F.col(pos) >= F.col("_cut"), 1))
+        first_is_late = F.when(n_late == F.count("*"), F.least(n_late, F.lit(1))).otherwise(F.lit(0))
+        counted = cut.groupBy(*grp, item).agg((n_late - first_is_late).alias("_m"))
     joined = df.join(counted, [*grp, item], "left")
     divided = F.col(score) / F.pow(F.lit(float(penalty)), F.coalesce("_m", F.lit(0)))
     return joined.withColumn(score, divided).select(*df.columns)

@@ -13,7 +13,7 @@ from textloom.functions.names import (
     is_step_artifact,
     split_step,
 )
-from textloom.plans.grouped import group_cutoff, row_numbers, running_totals, salt
+from textloom.plans.grouped import find_hot, group_cutoff, row_numbers, running_totals
 
 
 def tokens_seen(df: DataFrame, run: Sequence[str], step: str, n: Column, name: str = "tokens_seen") -> DataFrame:
@@ -72,7 +72,7 @@ def retention(df: DataFrame, group: Sequence[str], name: str, order: str, keep:
     listed = df.withColumn("step", step)
     ranked = listed.where("step IS NOT NULL")
     key = F.struct(F.col("step"), -F.col(order))
-    cut = group_cutoff(ranked, group, salt(order), key, keep, "_cut")
+    cut = group_cutoff(ranked, find_hot(ranked, group), order, key, keep, "_cut")
     kept = cut.select(*df.columns, "step", F.when(key >= F.col("_cut"), "keep").otherwise("delete").alias("action"))
     rest = listed.where("step IS NULL").withColumn(
         "action", F.when(is_interrupted_artifact(F.col(name)), "delete").otherwise("ignore")

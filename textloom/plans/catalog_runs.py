@@ -8,7 +8,7 @@ from textloom.functions import schedule
 from textloom.functions.names import captured_step, is_interrupted_artifact, is_step_artifact
 from textloom.operators import ranking, runs
 from textloom.plans.catalog_tokens import sql_hash60
-from textloom.plans.grouped import row_numbers
+from textloom.plans.grouped import find_hot, row_numbers
 from textloom.plans.registry import query, table
 from textloom.plans.shared_dir import fresh_path
 from textloom.sinks.writers import append_table
@@ -218,8 +218,12 @@ def _candidates(spark, d):
     return dims.withColumn("score", F.col("score").cast("double"))
 
 
-def _probs(spark, d):
-    return ranking.softmax(_candidates(spark, d), ["grp"], temperature=0.7).select("grp", "item", "prob")
+def _probs(spark, d, hot=None):
+    return ranking.softmax(_candidates(spark, d), ["grp"], temperature=0.7, hot=hot).select("grp", "item", "prob")
+
+
+def _hot(spark, d):
+    return find_hot(_candidates(spark, d), ["grp"])
 
 
 def _rounded(df):
@@ -247,7 +251,8 @@ def _(spark, d):
         SELECT grp, item, round(prob / sum(prob) OVER (PARTITION BY grp), 9) AS prob FROM r WHERE r <= 5""",
 )
 def _(spark, d):
-    return _rounded(ranking.top_k(_probs(spark, d), ["grp"], 5))
+    hot = _hot(spark, d)
+    return _rounded(ranking.top_k(_probs(spark, d, hot), ["grp"], 5, hot=hot))
 
 
 @query(
@@ -256,7 +261,8 @@ def _(spark, d):
     f"WITH {_PROB} SELECT grp, item, round(prob / (sum(prob) OVER (PARTITION BY grp) + 1e-8), 9) AS prob FROM pr",
 )
 def _(spark, d):
-    return _rounded(ranking.top_k(_probs(spark, d), ["grp"], 1000, eps=ranking.EPS))
+    hot = _hot(spark, d)
+    return _rounded(ranking.top_k(_probs(spark, d, hot), ["grp"], 1000, eps=ranking.EPS, hot=hot))
 
 
 @query(
@@ -267,7 +273,8 @@ def _(spark, d):
         SELECT grp, item, round(prob / sum(prob) OVER (PARTITION BY grp), 9) AS prob FROM r WHERE before <= 0.9""",
 )
 def _(spark, d):
-    return _rounded(ranking.top_p(_probs(spark, d), ["grp"], 0.9))
+    hot = _hot(spark, d)
+    return _rounded(ranking.top_p(_probs(spark, d, hot), ["grp"], 0.9, hot=hot))
 
 
 # event kinds in place of scores: long runs of equal probabilities per group

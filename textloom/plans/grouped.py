@@ -1,148 +1,219 @@
-"""Running totals, group totals and top-k without a hot group in one task.
+"""Running totals, group totals and cut-offs without a hot group in one task.
 
-A plain ``Window.partitionBy(group)`` sends a group to one task, and one group
-may hold a third of all rows. Here every group is first cut into buckets:
+``Window.partitionBy(group)`` sends a group to one task. That is right for the
+usual group and wrong for one that holds a third of all rows, so ``find_hot``
+looks for hot groups first: one job, a map-side combined count that reads only
+the group columns.
 
-* rows are shuffled once, by (group, bucket);
-* one row per bucket goes through a small second level (and, for running
-  totals, a third one that holds one row per ``FAN_IN`` buckets);
-* the result is joined back on (group, bucket), the partitioning the rows
-  already have.
+* Without hot groups every operation is a plain window: one shuffle by group,
+  and none at all when the rows are already partitioned by it.
+* With hot groups these are cut into buckets. Rows are shuffled by (group,
+  bucket), and what a bucket must know of the rest of its group is joined back
+  from a small table. The marked rows are written once, as both sides of that
+  join read them.
 
-The upper levels carry one row per bucket, so no hint is given: their size
-grows with the data and Spark picks the join from what it measures.
+A group is hot above ``HOT_ROWS`` rows and above one part in ``HOT_PARTS`` of the
+table. There are at most ``HOT_PARTS`` such groups, whatever the table's size,
+which bounds the tables that are collected and broadcast here.
+
+Group columns must not be null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 4096  # key range of a bucket: at most this many rows when keys are unique
-FAN_IN = 4096  # buckets per second-level bucket
-SALTS = 64  # buckets per group where only totals or top-k are needed
+from textloom.plans.shared_dir import materialise
+
+HOT_ROWS = 1_000_000
+HOT_PARTS = 100_000
+
+KEYS_PER_BUCKET = 1 << 16  # key range of a bucket: at most this many rows, keys being unique
+BUCKETS_PER_RANGE = 1 << 12  # buckets per second-level range
+ROWS_PER_SALT = 1 << 18  # aimed rows per bucket where order does not matter
+
+
+@dataclass(frozen=True)
+class HotGroups:
+    """The hot groups of a table: ``(group.., _hot)`` rows with their size, or None."""
+
+    group: tuple[str, ...]
+    table: DataFrame | None
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Add ``_hot``, null for usual groups, and write the rows once."""
+        marked = df.drop("_hot").join(F.broadcast(self.table), list(self.group), "left")
+        return materialise(marked.select(*df.columns, "_hot"), "marked")
 
 
-def key_bucket(order_key: str | Column, width: int = ROWS_PER_BUCKET) -> Column:
-    """Bucket of an integer key that is unique inside its group."""
-    key = F.col(order_key) if isinstance(order_key, str) else order_key
-    return F.floor(key / F.lit(width)).cast("bigint") if width & (width - 1) else F.shiftright(key, width.bit_length() - 1)
+def find_hot(df: DataFrame, group: Sequence[str]) -> HotGroups:
+    """Look for hot groups (runs a job)."""
+    counts = df.groupBy(*group).agg(F.count("*").alias("_hot"))
+    total = counts.agg(F.sum("_hot")).scalar()
+    large = counts.where((F.col("_hot") > HOT_ROWS) & (F.col("_hot") > total / HOT_PARTS))
+    rows = large.collect()  # at most HOT_PARTS
+    table = df.sparkSession.createDataFrame(rows, large.schema) if rows else None
+    return HotGroups(tuple(group), table)
 
 
-def salt(*cols: str, salts: int = SALTS) -> Column:
-    """Order-free bucket for totals and top-k."""
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+def key_bucket(key: str | Column, width: int | None = None) -> Column:
+    """Range of an integer key; ``width`` is a power of two."""
+    return F.shiftright(key, (width or KEYS_PER_BUCKET).bit_length() - 1)
 
 
+def _salt(column: str) -> Column:
+    """Order-free bucket of a marked row; usual groups have one bucket."""
+    n = F.ceil(F.col("_hot") / F.lit(ROWS_PER_SALT)).cast("bigint")
+    return F.when(F.col("_hot").isNull(), F.lit(0).cast("bigint")).otherwise(F.pmod(F.xxhash64(column), n))
 
 
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     values: Mapping[str, Column],
     bucket: Column | None = None,
     totals: Mapping[str, str] | None = None,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Add, per value, its sum over the rows of the group that come earlier.
 
     ``values`` maps an output column to the summed expression; the sum excludes
     the row itself. ``totals`` maps further output columns to a value name and
-    adds the sum over the whole group. ``bucket`` must not decrease along
-    ``order`` (default: ranges of the first order column, a unique integer).
+    adds the sum over the whole group. The first order column is an integer,
+    unique in its group.
+
+    With ``bucket`` all groups are cut, by a bucket that does not decrease
+    along ``order``: for groups known to be large. Without groups the whole
+    table is cut.
     """
-    group = list(group)
-    totals = dict(totals or {})
-    bucket = key_bucket(order[0]) if bucket is None else bucket
-    keyed = df.withColumn("_b", bucket)
-    names = list(values)
+    group, totals, names = list(group), dict(totals or {}), list(values)
+    cut_all = bucket is not None or not group
+    if not cut_all:
+        hot = hot or find_hot(df, group)
+    plain = not cut_all and hot.table is None
+    if cut_all:
+        keyed = df.withColumn("_b", key_bucket(order[0]) if bucket is None else bucket)
+    elif plain:
+        keyed = df.withColumn("_b", F.lit(0).cast("bigint"))
+    else:
+        keyed = hot.mark(df)
+        keyed = keyed.withColumn("_b", F.when(F.col("_hot").isNotNull(), key_bucket(order[0])).otherwise(F.lit(0).cast("bigint")))
     keyed = keyed.select("*", *[values[n].alias(f"_v_{n}") for n in names])
 
-    inside = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = keyed.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_in_{n}") for n in names])
+    together = Window.partitionBy(*group) if plain else Window.partitionBy(*group, "_b")
+    before = together.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = [F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in names]
+    of_bucket = [] if cut_all else [F.sum(f"_v_{v}").over(together).alias(f"_all_{c}") for c, v in totals.items()]
+    rows = keyed.select(*df.columns, "_b", *in_bucket, *of_bucket)
+    if plain:
+        return rows.select(
+            *df.columns, *[F.col(f"_in_{n}").alias(n) for n in names], *[F.col(f"_all_{c}").alias(c) for c in totals]
+        )
+
+    cut = keyed if cut_all else keyed.where("_hot IS NOT NULL")
+    joined = rows.join(_bucket_offsets(cut, group, names, totals), [*group, "_b"], "inner" if cut_all else "left")
+    return joined.select(
+        *[joined[c] for c in df.columns],
+        *[(F.col(f"_in_{n}") + F.coalesce(f"_off_{n}", F.lit(0))).alias(n) for n in names],
+        *[(F.col(f"_sum_{c}") if cut_all else F.coalesce(f"_sum_{c}", f"_all_{c}")).alias(c) for c in totals],
+    )
+
+
+def _bucket_offsets(keyed: DataFrame, group: list[str], names: list[str], totals: Mapping[str, str]) -> DataFrame:
+    """``(group.., _b, _off_.., _sum_..)``: totals before each bucket and of its group.
 
-    level1 = keyed.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
-    level1 = level1.withColumn("_sb", key_bucket("_b", FAN_IN))
-    level2 = level1.groupBy(*group, "_sb").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
+    Buckets are summed over ranges of buckets first, so the window that sees a
+    whole group holds one row per ``BUCKETS_PER_RANGE`` buckets. The result has
+    one row per bucket and no size bound, hence no broadcast hint.
+    """
+    buckets = keyed.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
+    buckets = buckets.withColumn("_r", key_bucket("_b", BUCKETS_PER_RANGE))
+    ranges = buckets.groupBy(*group, "_r").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
 
-    # one row per ROWS_PER_BUCKET * FAN_IN rows: small whatever the group
     whole = Window.partitionBy(*(group or [F.lit(0)]))
-    before2 = whole.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    level2 = level2.select(
+    earlier = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
         *group,
-        "_sb",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before2), F.lit(0)).alias(f"_up_{n}") for n in names],
-        *[F.sum(f"_t_{v}").over(whole).alias(c) for c, v in totals.items()],
-    )
-    before1 = Window.partitionBy(*group, "_sb").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    level1 = level1.select(
-        *group, "_b", "_sb", *[F.coalesce(F.sum(f"_s_{n}").over(before1), F.lit(0)).alias(f"_mid_{n}") for n in names]
+        "_r",
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_up_{n}") for n in names],
+        *[F.sum(f"_t_{v}").over(whole).alias(f"_sum_{c}") for c, v in totals.items()],
     )
-    offsets = level1.join(level2, [*group, "_sb"]).select(
-        *group, "_b", *[(F.col(f"_mid_{n}") + F.col(f"_up_{n}")).alias(f"_off_{n}") for n in names], *totals
+    inside = Window.partitionBy(*group, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(
+        *group, "_b", "_r", *[F.coalesce(F.sum(f"_s_{n}").over(inside), F.lit(0)).alias(f"_mid_{n}") for n in names]
     )
-    joined = rows.join(offsets, [*group, "_b"])
-    return joined.select(
-        *[joined[c] for c in df.columns],
-        *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in names],
-        *totals,
+    return buckets.join(ranges, [*group, "_r"]).select(
+        *group,
+        "_b",
+        *[(F.col(f"_mid_{n}") + F.col(f"_up_{n}")).alias(f"_off_{n}") for n in names],
+        *[f"_sum_{c}" for c in totals],
     )
 
 
 def row_numbers(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str | Column],
+    order: Sequence[str],
     name: str = "rn",
     bucket: Column | None = None,
     total: str | None = None,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """Dense 0-based position inside the group, optionally with the group size."""
-    return running_totals(
-        df, group, order, {name: F.lit(1).cast("bigint")}, bucket, {total: name} if total else None
-    )
+    one = {name: F.lit(1).cast("bigint")}
+    return running_totals(df, group, order, one, bucket, {total: name} if total else None, hot)
 
 
-def group_values(df: DataFrame, group: Sequence[str], bucket: Column, aggs: Mapping[str, tuple]) -> DataFrame:
+def group_values(
+    df: DataFrame, hot: HotGroups, spread_by: str, aggs: Mapping[str, tuple[Callable[..., Column], str]]
+) -> DataFrame:
     """Add aggregates of the whole group to each of its rows.
 
-    ``aggs`` maps an output column to ``(partial, combine)``: ``partial`` is an
-    aggregate Column over rows, ``combine`` a function of a column name that
-    merges partial results (``F.sum``, ``F.max`` ...).
+    ``aggs`` maps an output column to ``(function, column)``. ``spread_by`` is a
+    column with many values in a group; it spreads the rows of a hot one.
     """
-    group = list(group)
-    keyed = df.withColumn("_b", bucket)
-    parts = keyed.groupBy(*group, "_b").agg(*[p.alias(f"_p_{c}") for c, (p, _) in aggs.items()])
-    whole = Window.partitionBy(*group)  # at most one row per bucket of the group
-    parts = parts.select(*group, "_b", *[m(f"_p_{c}").over(whole).alias(c) for c, (_, m) in aggs.items()])
-    joined = keyed.join(parts, [*group, "_b"])
-    return joined.select(*[joined[c] for c in df.columns], *aggs)
-
-
-def group_cutoff(
-    df: DataFrame, group: Sequence[str], bucket: Column, key: Column, k: int, name: str = "cutoff"
-) -> DataFrame:
+    group = list(hot.group)
+    if hot.table is None:
+        together = Window.partitionBy(*group)
+        return df.select("*", *[f(c).over(together).alias(n) for n, (f, c) in aggs.items()])
+    marked = hot.mark(df)
+    together = Window.partitionBy(*group, "_b")
+    rows = marked.withColumn("_b", _salt(spread_by))
+    rows = rows.select("*", *[f(c).over(together).alias(f"_local_{n}") for n, (f, c) in aggs.items()])
+    # one row per hot group
+    whole = marked.where("_hot IS NOT NULL").groupBy(*group).agg(*[f(c).alias(f"_whole_{n}") for n, (f, c) in aggs.items()])
+    joined = rows.join(F.broadcast(whole), group, "left")
+    return joined.select(*df.columns, *[F.coalesce(f"_whole_{n}", f"_local_{n}").alias(n) for n in aggs])
+
+
+def group_cutoff(df: DataFrame, hot: HotGroups, spread_by: str, key: Column, k: int, name: str = "cutoff") -> DataFrame:
     """Add the ``k``-th largest key of the group (the smallest one if fewer).
 
-    A bucket can only contribute its own k largest keys, so the second step
-    sees at most ``k`` rows per bucket. ``key >= cutoff`` keeps exactly ``k``
-    rows when keys are unique, and all ties at the line when they are not.
+    ``key >= cutoff`` keeps exactly ``k`` rows when keys are unique, and all
+    ties at the line when they are not. Of a hot group each bucket passes on
+    its own ``k`` best rows only.
     """
-    group = list(group)
-    keyed = df.withColumn("_b", bucket).withColumn("_k", key)
-    local = Window.partitionBy(*group, "_b").orderBy(F.desc("_k"))
-    best = keyed.select(*group, "_b", "_k", F.row_number().over(local).alias("_r")).where(F.col("_r") <= k)
+    group = list(hot.group)
+    plain = hot.table is None
+    rows = df if plain else hot.mark(df).withColumn("_b", _salt(spread_by))
+    rows = rows.withColumn("_k", key)
+    together = Window.partitionBy(*group) if plain else Window.partitionBy(*group, "_b")
+    ranked = rows.withColumn("_r", F.row_number().over(together.orderBy(F.desc("_k"))))
+    local = F.coalesce(F.max(F.when(F.col("_r") == k, F.col("_k"))).over(together), F.min("_k").over(together))
+    if plain:
+        return ranked.withColumn(name, local).select(*df.columns, name)
+    ranked = ranked.withColumn("_local", local)
+
+    best = rows.where("_hot IS NOT NULL").withColumn("_r", F.row_number().over(together.orderBy(F.desc("_k"))))
+    best = best.where(F.col("_r") <= k).select(*group, "_k")
     overall = Window.partitionBy(*group).orderBy(F.desc("_k"))
-    ranked = best.select(*group, "_b", "_k", F.row_number().over(overall).alias("_r"))
-    # one row per bucket of the group from here on
-    per_bucket = ranked.groupBy(*group, "_b").agg(
-        F.max(F.when(F.col("_r") == k, F.col("_k"))).alias("_kth"), F.min("_k").alias("_low")
-    )
-    whole = Window.partitionBy(*group)
-    per_bucket = per_bucket.select(
-        *group, "_b", F.coalesce(F.max("_kth").over(whole), F.min("_low").over(whole)).alias(name)
-    )
-    joined = keyed.join(per_bucket, [*group, "_b"])
-    return joined.select(*[joined[c] for c in df.columns], name)
+    best = best.select(*group, "_k", F.row_number().over(overall).alias("_r")).where(F.col("_r") <= k)
+    whole = best.groupBy(*group).agg(F.min("_k").alias("_whole"))  # one row per hot group
+
+    joined = ranked.join(F.broadcast(whole), group, "left")
+    return joined.select(*df.columns, F.coalesce("_whole", "_local").alias(name))
