@@ -1,7 +1,7 @@
 """Cleaning of text columns, as Column expressions only.
 
-Script class and whitespace class are regex class bodies that Java and RE2
-read alike. Whitespace is the Unicode set that Python's ``str.strip`` uses.
+A script is a tuple of code point ranges. Whitespace is the Unicode set that
+Python's ``str.strip`` uses.
 """
 
 from __future__ import annotations
@@ -11,12 +11,35 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Regex class bodies.
-DEVANAGARI = r"\x{0900}-\x{097F}"
-LATIN = r"A-Za-z\x{00C0}-\x{024F}"
-ASCII_PUNCT = r"!-/:-@\[-`{-~"
+# Code point ranges.
+DEVANAGARI = ((0x0900, 0x097F),)
+LATIN = ((0x41, 0x5A), (0x61, 0x7A), (0x00C0, 0x024F))
+JOINERS = ((0x200C, 0x200D),)
+ASCII_MARKS = ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+
+# Regex class body of whitespace.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-JOINERS = r"\x{200C}\x{200D}"
+
+Ranges = tuple[tuple[int, int], ...]
+
+
+def class_body(ranges: Ranges) -> str:
+    """Regex class body of code point ranges; Java and RE2 read it alike."""
+    return "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges)
+
+
+def rest_body(ranges: Ranges) -> str:
+    """Class body of every other character.
+
+    The same set as ``[^...]``, which Java tests several times more slowly.
+    """
+    out, at = [], 0
+    for lo, hi in sorted(ranges):
+        if at < lo:
+            out.append((at, lo - 1))
+        at = max(at, hi + 1)
+    return class_body((*out, (at, 0x10FFFF)))
+
 
 END_OF_TEXT = "<|endoftext|>"
 
@@ -67,7 +90,7 @@ def collapse_spaces(col: Column) -> Column:
 
 def split_words(col: Column) -> Column:
     """Words between whitespace, as Python's ``str.split`` gives them."""
-    return F.regexp_extract_all(col, F.lit(rf"[^{SPACES}]+"), F.lit(0))
+    return F.array_remove(F.split(col, f"[{SPACES}]+", -1), "")
 
 
 def standardise(col: Column) -> Column:
@@ -88,11 +111,11 @@ def native_digits(col: Column, digits: str = DEVANAGARI_DIGITS) -> Column:
     return F.translate(col, ASCII_DIGITS, digits)
 
 
-def has_script(col: Column, script: str = DEVANAGARI) -> Column:
-    return col.rlike(f"[{script}]")
+def has_script(col: Column, script: Ranges = DEVANAGARI) -> Column:
+    return col.rlike(f"[{class_body(script)}]")
 
 
-def keep_script(col: Column, script: str = DEVANAGARI, punctuation: bool = True, keep_joiners: bool = False) -> Column:
+def keep_script(col: Column, script: Ranges = DEVANAGARI, punctuation: bool = True, keep_joiners: bool = False) -> Column:
     """Keep the characters of one script and spaces, and punctuation in context.
 
     With ``punctuation`` an ASCII mark stays where the next character is of the
@@ -100,26 +123,25 @@ def keep_script(col: Column, script: str = DEVANAGARI, punctuation: bool = True,
     becomes one space. Without it each other character becomes a space.
     """
     if keep_joiners:
-        script = script + JOINERS
+        script = (*script, *JOINERS)
+    letter, mark = class_body(script), class_body(ASCII_MARKS)
     if not punctuation:
-        return F.regexp_replace(col, f"[^{script} ]", " ")
-    other = f"[^{script} {ASCII_PUNCT}]"
-    mark = f"[{ASCII_PUNCT}]"
+        return F.regexp_replace(col, f"[{rest_body((*script, (0x20, 0x20)))}]", " ")
+    other = rest_body((*script, *ASCII_MARKS, (0x20, 0x20)))
     steps = [
-        (rf"(^|{other}){mark}+\z", "$1"),  # closing marks with no kept text before them
-        (rf"{mark}+([^{script}{ASCII_PUNCT}])", "$1"),  # marks before a space or foreign text
-        (rf"{mark}*({mark})([{script}]|\z)", "$1$2"),  # of several marks the last one stays
-        (rf"^{other}+|{other}+\z", ""),
-        (rf"{other}+", " "),
+        # marks before a space or foreign text go, and of several marks all but the last
+        (rf"[{mark}]+(?![{letter}{mark}]|\z)|[{mark}]+(?=[{mark}](?:[{letter}]|\z))", ""),
+        # foreign text at the ends, with a closing mark that has no kept text before it
+        (rf"[{other}]+[{mark}]?\z|^[{other}]+|^[{mark}]\z", ""),
+        (rf"[{other}]+", " "),
     ]
-    out = col
     for pattern, replacement in steps:
-        out = F.regexp_replace(out, pattern, replacement)
-    return out
+        col = F.regexp_replace(col, pattern, replacement)
+    return col
 
 
 def clean(
-    col: Column, script: str = DEVANAGARI, digits: str | None = DEVANAGARI_DIGITS, markup: bool = True, **options
+    col: Column, script: Ranges = DEVANAGARI, digits: str | None = DEVANAGARI_DIGITS, markup: bool = True, **options
 ) -> Column:
     """Markup text, standard characters, native digits, script filter, spaces."""
     from textloom.functions.html import html_text
@@ -133,7 +155,7 @@ def clean(
 
 def drop_punctuation_and_digits(col: Column) -> Column:
     """Delete ASCII marks, the double danda and digits; collapse spaces, no trim."""
-    removed = F.regexp_replace(col, rf"[{ASCII_PUNCT}\x{{0965}}0-9\x{{0966}}-\x{{096F}}]", "")
+    removed = F.regexp_replace(col, rf"[{class_body(ASCII_MARKS)}\x{{0965}}0-9\x{{0966}}-\x{{096F}}]", "")
     return F.regexp_replace(removed, rf"[{SPACES}]+", " ")
 
 

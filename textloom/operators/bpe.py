@@ -130,7 +130,9 @@ def train(
     """
     spark = counts.sparkSession
     shared_dir(spark)
-    words = symbol_words(counts, word_end).checkpoint()
+    # few bytes but much work per row: keep all cores busy
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    words = symbol_words(counts.repartition(parts, "word"), word_end).checkpoint()
     alphabet = words.select(F.explode(symbols(F.col("s"))).alias("token")).distinct()
     n_alphabet = alphabet.count()
     room = None if vocab_size is None else vocab_size - len(specials) - n_alphabet
@@ -139,10 +141,12 @@ def train(
     learnt: list[tuple[str, str, int]] = []
     made: set[str] = set()
     fetch = max(_FETCH, 4 * (approx_merges_per_round or 0))
-    rounds, held = 0, None
+    rounds, older = 0, None
     while wanted is None or len(learnt) < wanted:
         frequent = pair_counts(words).where(F.col("n") >= min_frequency)
         top = frequent.orderBy(F.desc("n"), "left", "right").limit(fetch).collect()
+        if older is not None:  # the job above has filled this round's cache
+            older.unpersist()
         ranked = [(r.left, r.right, r.n) for r in top]
         if not ranked:
             break
@@ -155,16 +159,10 @@ def train(
         learnt += batch
         made.update(a + b for a, b, _ in batch)
 
-        merged = words.withColumn("s", merge_pairs(F.col("s"), batch))
         rounds += 1
-        if rounds % _ROUNDS_PER_CHECKPOINT == 0:
-            words, fresh = merged.checkpoint(), None
-        else:
-            words = fresh = merged.persist(StorageLevel.MEMORY_AND_DISK)
-            fresh.count()
-        if held is not None:
-            held.unpersist()
-        held = fresh
+        merged = words.withColumn("s", merge_pairs(F.col("s"), batch))
+        older = words if words.is_cached else None
+        words = merged.checkpoint() if rounds % _ROUNDS_PER_CHECKPOINT == 0 else merged.persist(StorageLevel.MEMORY_AND_DISK)
 
     merges = spark.createDataFrame([(i, a, b, a + b, n) for i, (a, b, n) in enumerate(learnt)], _MERGES)
     return vocabulary(alphabet, merges, specials), merges, words

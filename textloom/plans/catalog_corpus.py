@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from textloom.functions import text as tx
 from textloom.functions.names import site_of
 from textloom.operators import sites
-from textloom.plans.catalog_text import sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
+from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
 from textloom.plans.registry import query, table
 from textloom.plans.shared_dir import fresh_path
 from textloom.sinks import writers
@@ -212,7 +212,7 @@ def _(spark, d):
 
 
 def _sql_clean(x: str) -> str:
-    return sql_collapse(sql_keep_script(sql_standardise(x), tx.LATIN))
+    return sql_collapse(sql_keep_script(sql_standardise(x), LATIN))
 
 
 def _cleaned_corpora(spark, d):

@@ -12,6 +12,9 @@ from textloom.sources.tables import non_empty
 
 # SQL spellings of the Column forms. RE2 reads the same class bodies.
 _SP = tx.SPACES
+LATIN = r"A-Za-z\x{00C0}-\x{024F}"
+DEVANAGARI = r"\x{0900}-\x{097F}"
+_MARKS = r"!-/:-@\[-`{-~"
 
 
 def _q(literal: str) -> str:
@@ -37,7 +40,7 @@ def sql_digits(x: str) -> str:
 
 
 def sql_keep_script(x: str, script: str) -> str:
-    p = tx.ASCII_PUNCT.replace("'", "''")
+    p = _MARKS
     other = f"[^{script} {p}]"
     steps = [
         (rf"(^|{other})[{p}]+\z", r"\1"),
@@ -100,12 +103,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.native_digits(F.col("text")).alias("text"))
 
 
-@query("keep_script_latin", "D4", f"SELECT doc_id, {sql_keep_script('text', tx.LATIN)} AS text FROM documents")
+@query("keep_script_latin", "D4", f"SELECT doc_id, {sql_keep_script('text', LATIN)} AS text FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN).alias("text"))
 
 
-@query("keep_script_devanagari", "D4", f"SELECT doc_id, {sql_keep_script(sql_digits('text'), tx.DEVANAGARI)} AS text FROM documents")
+@query("keep_script_devanagari", "D4", f"SELECT doc_id, {sql_keep_script(sql_digits('text'), DEVANAGARI)} AS text FROM documents")
 def _(spark, d):
     digits = tx.native_digits(F.col("text"))
     return table(spark, d, "documents").select("doc_id", tx.keep_script(digits).alias("text"))
@@ -114,7 +117,7 @@ def _(spark, d):
 @query(
     "keep_script_only",
     "D5",
-    f"SELECT doc_id, regexp_replace(text, '[^{tx.LATIN} ]', ' ', 'g') AS text FROM documents",
+    f"SELECT doc_id, regexp_replace(text, '[^{LATIN} ]', ' ', 'g') AS text FROM documents",
 )
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN, punctuation=False).alias("text"))
@@ -128,7 +131,7 @@ def _(spark, d):
 @query(
     "clean_pages",
     "D7 L2",
-    f"SELECT page_id, {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), tx.LATIN))} AS text FROM pages",
+    f"SELECT page_id, {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), LATIN))} AS text FROM pages",
 )
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
@@ -137,7 +140,7 @@ def _(spark, d):
 @query(
     "clean_documents_devanagari",
     "D7",
-    f"""SELECT doc_id, {sql_collapse(sql_keep_script(sql_digits(sql_standardise('text')), tx.DEVANAGARI))} AS text
+    f"""SELECT doc_id, {sql_collapse(sql_keep_script(sql_digits(sql_standardise('text')), DEVANAGARI))} AS text
     FROM documents""",
 )
 def _(spark, d):
@@ -148,7 +151,7 @@ def _(spark, d):
     "drop_punctuation_and_digits",
     "D8",
     f"""SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(2405), ''),
-        '[{tx.ASCII_PUNCT.replace("'", "''")}0-9\\x{{0966}}-\\x{{096F}}]', '', 'g'), '[{_SP}]+', ' ', 'g') AS text
+        '[{_MARKS}0-9\\x{{0966}}-\\x{{096F}}]', '', 'g'), '[{_SP}]+', ' ', 'g') AS text
     FROM documents""",
 )
 def _(spark, d):
@@ -231,7 +234,7 @@ def _(spark, d):
     r"SELECT doc_id, lang FROM documents WHERE regexp_matches(text, '[\x{00C0}-\x{024F}]')",
 )
 def _(spark, d):
-    return table(spark, d, "documents").where(tx.has_script(F.col("text"), r"\x{00C0}-\x{024F}")).select("doc_id", "lang")
+    return table(spark, d, "documents").where(tx.has_script(F.col("text"), ((0x00C0, 0x024F),))).select("doc_id", "lang")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.operators import bpe, chat, pack, split, words
 from textloom.operators import encode as enc
-from textloom.plans.catalog_text import sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
+from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
 from textloom.plans.registry import query, table
 from textloom.plans.shared_dir import fresh_path, materialise
 from textloom.sinks import writers
@@ -26,7 +26,7 @@ def joined(col) -> Column:
 
 # -- closed-vocabulary tokens and windows -----------------------------------------
 
-_CLEAN_SQL = sql_collapse(sql_keep_script(sql_standardise("text"), tx.LATIN))
+_CLEAN_SQL = sql_collapse(sql_keep_script(sql_standardise("text"), LATIN))
 _TOKENS_SQL = f"""WITH cleaned AS (SELECT doc_id, source, {_CLEAN_SQL} || ' <|endoftext|>' AS text FROM documents),
   w AS (SELECT doc_id, source, unnest(a) AS token, generate_subscripts(a, 1) AS i
         FROM (SELECT doc_id, source, regexp_extract_all(text, '[^{tx.SPACES}]+') AS a FROM cleaned)),
@@ -43,8 +43,9 @@ _WINDOWS_SQL = f"""{_TOKENS_SQL},
 
 
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned corpus, written once: vocabulary and encoding both read it."""
     text = tx.with_suffix(tx.clean(F.col("text"), tx.LATIN, digits=None, markup=False))
-    return table(spark, d, "documents").select("doc_id", "source", text.alias("text"))
+    return materialise(table(spark, d, "documents").select("doc_id", "source", text.alias("text")), "cleaned")
 
 
 def _closed_vocabulary(cleaned: DataFrame) -> DataFrame:
@@ -396,7 +397,7 @@ def _(spark, d):
 @query(
     "merges_of_cleaned_rows",
     "F4",
-    f"""{sql_training(f"SELECT {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), tx.LATIN))} AS text FROM pages", MERGES)}
+    f"""{sql_training(f"SELECT {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), LATIN))} AS text FROM pages", MERGES)}
         SELECT CAST(rank AS INTEGER) AS rank, "left", "right", merged, n FROM merges""",
 )
 def _(spark, d):
