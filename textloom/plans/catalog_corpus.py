@@ -9,10 +9,11 @@ from textloom.functions import text as tx
 from textloom.functions.names import site_of
 from textloom.operators import sites
 from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
-from textloom.plans.registry import query, table
+from textloom.plans.registry import query, table, text_table
 from textloom.plans.shared_dir import fresh_path
 from textloom.sinks import writers
 from textloom.sources import tables as scans
+from textloom.sources.tables import spread_small
 from textloom.sources.text_files import scan_lines, scan_whole_files
 from textloom.streaming.clean_stream import append_cleaned, read_new_files
 
@@ -218,7 +219,7 @@ def _sql_clean(x: str) -> str:
 def _cleaned_corpora(spark, d):
     pages = sites.articles_of_sites(_links(spark, d).select("page_id", "link", "html"), _new(spark, d))
     return sites.concat_corpora(
-        {"a": table(spark, d, "documents"), "b": pages},
+        {"a": text_table(spark, d, "documents"), "b": spread_small(pages, "page_id")},
         {
             "a": tx.with_suffix(tx.clean(F.col("text"), tx.LATIN, digits=None, markup=False)),
             "b": tx.with_suffix(tx.clean(F.col("html"), tx.LATIN, digits=None)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.functions.html import decode_entities, html_text, parsed_text
 from textloom.operators.chat import turn_text
-from textloom.plans.registry import query, table
+from textloom.plans.registry import query, table, text_table
 from textloom.sources.tables import non_empty
 
 # SQL spellings of the Column forms. RE2 reads the same class bodies.
@@ -71,7 +71,7 @@ def sql_html(x: str) -> str:
 
 @query("html_to_text", "D1", f"SELECT page_id, {sql_html('html')} AS text FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+    return text_table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -80,7 +80,7 @@ def _(spark, d):
     f"SELECT page_id, {sql_collapse(sql_html('html'))} AS text FROM pages",
 )
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.collapse_spaces(parsed_text("html")).alias("text"))
+    return text_table(spark, d, "pages").select("page_id", tx.collapse_spaces(parsed_text("html")).alias("text"))
 
 
 @query(
@@ -90,28 +90,28 @@ def _(spark, d):
 )
 def _(spark, d):
     escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#x27;"))
-    return table(spark, d, "documents").select("doc_id", decode_entities(escaped).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", decode_entities(escaped).alias("text"))
 
 
 @query("standardise_characters", "D2", f"SELECT doc_id, {sql_standardise('text')} AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.standardise(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.standardise(F.col("text")).alias("text"))
 
 
 @query("native_digits", "D3", f"SELECT doc_id, {sql_digits('text')} AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.native_digits(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.native_digits(F.col("text")).alias("text"))
 
 
 @query("keep_script_latin", "D4", f"SELECT doc_id, {sql_keep_script('text', LATIN)} AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN).alias("text"))
 
 
 @query("keep_script_devanagari", "D4", f"SELECT doc_id, {sql_keep_script(sql_digits('text'), DEVANAGARI)} AS text FROM documents")
 def _(spark, d):
     digits = tx.native_digits(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", tx.keep_script(digits).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.keep_script(digits).alias("text"))
 
 
 @query(
@@ -120,12 +120,12 @@ def _(spark, d):
     f"SELECT doc_id, regexp_replace(text, '[^{LATIN} ]', ' ', 'g') AS text FROM documents",
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN, punctuation=False).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.keep_script(F.col("text"), tx.LATIN, punctuation=False).alias("text"))
 
 
 @query("collapse_spaces", "D6", f"SELECT doc_id, {sql_collapse('text')} AS text FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.collapse_spaces(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.collapse_spaces(F.col("text")).alias("text"))
 
 
 @query(
@@ -134,7 +134,7 @@ def _(spark, d):
     f"SELECT page_id, {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), LATIN))} AS text FROM pages",
 )
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
+    return text_table(spark, d, "pages").select("page_id", tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
 
 
 @query(
@@ -144,7 +144,7 @@ def _(spark, d):
     FROM documents""",
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean(F.col("text"), markup=False).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.clean(F.col("text"), markup=False).alias("text"))
 
 
 @query(
@@ -155,7 +155,7 @@ def _(spark, d):
     FROM documents""",
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.drop_punctuation_and_digits(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.drop_punctuation_and_digits(F.col("text")).alias("text"))
 
 
 @query(
@@ -168,7 +168,7 @@ def _(spark, d):
        FROM documents""",
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.cut_between(F.col("text"), " the ", " of ").alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.cut_between(F.col("text"), " the ", " of ").alias("text"))
 
 
 _TURN_SQL = f"'<|start_header_id|>' || role || '<|end_header_id|>\n\n' || {sql_strip('text')} || '<|eot_id|>'"
@@ -210,7 +210,7 @@ def _sql_limit(items: str, glue: str, src: str, key: str) -> str:
 
 @query("limit_repeated_lines", "D13", _sql_limit("string_split(text, chr(10))", "chr(10)", "documents", "doc_id"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.limit_repeated_lines(F.col("text")).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.limit_repeated_lines(F.col("text")).alias("text"))
 
 
 @query(
@@ -220,7 +220,7 @@ def _(spark, d):
 )
 def _(spark, d):
     masked = F.regexp_replace("text", "[a-z]", "x")  # makes long runs of equal words
-    return table(spark, d, "documents").select("doc_id", tx.limit_repeated_words(masked).alias("text"))
+    return text_table(spark, d, "documents").select("doc_id", tx.limit_repeated_words(masked).alias("text"))
 
 
 @query("end_of_text_suffix", "C5", "SELECT doc_id, text || ' <|endoftext|>' AS text FROM documents")
@@ -273,4 +273,5 @@ def _(spark, d):
 def _(spark, d):
     from textloom.sinks.writers import corpus_lines
 
-    return table(spark, d, "documents").select("doc_id", corpus_lines(table(spark, d, "documents"), quoting="pandas").alias("line"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", corpus_lines(docs, quoting="pandas").alias("line"))

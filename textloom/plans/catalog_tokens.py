@@ -9,7 +9,7 @@ from textloom.functions import text as tx
 from textloom.operators import bpe, chat, pack, split, words
 from textloom.operators import encode as enc
 from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
-from textloom.plans.registry import query, table
+from textloom.plans.registry import query, table, text_table
 from textloom.plans.shared_dir import fresh_path, materialise
 from textloom.sinks import writers
 from textloom.sources.legacy_windows import parse_legacy, to_legacy
@@ -45,7 +45,7 @@ _WINDOWS_SQL = f"""{_TOKENS_SQL},
 def _cleaned(spark: SparkSession, d: str) -> DataFrame:
     """The cleaned corpus, written once: vocabulary and encoding both read it."""
     text = tx.with_suffix(tx.clean(F.col("text"), tx.LATIN, digits=None, markup=False))
-    return materialise(table(spark, d, "documents").select("doc_id", "source", text.alias("text")), "cleaned")
+    return materialise(text_table(spark, d, "documents").select("doc_id", "source", text.alias("text")), "cleaned")
 
 
 def _closed_vocabulary(cleaned: DataFrame) -> DataFrame:
@@ -371,12 +371,12 @@ _TRAIN_SQL = sql_training("SELECT text FROM documents", MERGES)
 
 
 def _model(spark, d):
-    return bpe.train_on_text(table(spark, d, "documents"), max_merges=MERGES)
+    return bpe.train_on_text(text_table(spark, d, "documents"), max_merges=MERGES)
 
 
 @query("word_counts", "F1", f"SELECT word, count(*) AS n FROM (SELECT unnest({sql_words('text')}) AS word FROM documents) GROUP BY word")
 def _(spark, d):
-    return words.word_counts(table(spark, d, "documents"))
+    return words.word_counts(text_table(spark, d, "documents"))
 
 
 @query(
@@ -386,7 +386,7 @@ def _(spark, d):
         FROM (SELECT n, a, unnest(range(1, len(a))) AS i FROM (SELECT n, {_SYMS} AS a FROM st)) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    return bpe.pair_counts(bpe.symbol_words(words.word_counts(table(spark, d, "documents"))))
+    return bpe.pair_counts(bpe.symbol_words(words.word_counts(text_table(spark, d, "documents"))))
 
 
 @query("learnt_merges", "F2", f'{_TRAIN_SQL} SELECT CAST(rank AS INTEGER) AS rank, "left", "right", merged, n FROM merges')
@@ -401,7 +401,7 @@ def _(spark, d):
         SELECT CAST(rank AS INTEGER) AS rank, "left", "right", merged, n FROM merges""",
 )
 def _(spark, d):
-    rows = table(spark, d, "pages").select(tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
+    rows = text_table(spark, d, "pages").select(tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
     return bpe.train_on_text(rows, max_merges=MERGES)[1]
 
 
@@ -434,7 +434,7 @@ def _(spark, d):
     f"{_TRAIN_SQL} SELECT word, array_to_string(pieces, ' ') AS pieces FROM lexicon",
 )
 def _(spark, d):
-    counts = words.word_counts(table(spark, d, "documents"))
+    counts = words.word_counts(text_table(spark, d, "documents"))
     _, merges, _ = bpe.train(counts, max_merges=MERGES)
     return enc.word_lexicon(counts, merges).select("word", F.array_join("pieces", " ").alias("pieces"))
 
@@ -445,7 +445,7 @@ def _(spark, d):
     f"{_TRAIN_SQL} SELECT doc_id, '0,' || array_to_string(ids, ',') || ',0' AS ids FROM ({sql_encoded('doc_id', 'documents', 'text')})",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     vocab, merges, _ = _model(spark, d)
     out = enc.encode(docs, words.words_of(F.col("text")), merges, vocab, bos=0, eos=0)
     return out.select("doc_id", joined("ids").alias("ids"))
@@ -469,7 +469,7 @@ def _(spark, d):
 @query("decoded_documents", "F8 F13 I4", f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS text FROM documents")
 def _(spark, d):
     vocab, merges, _ = _model(spark, d)
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = text_table(spark, d, "documents").select("doc_id", "text")
     coded = enc.encode(docs, words.words_of(F.col("text")), merges, vocab).select("doc_id", "ids")
     return enc.decode(coded, F.col("ids"), vocab, ["doc_id"]).select("doc_id", "text")
 
@@ -503,7 +503,7 @@ _PIECES_SQL = (
         FROM documents""",
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(words.pattern_pieces(F.col("text")), "|").alias("pieces"))
+    return text_table(spark, d, "documents").select("doc_id", F.array_join(words.pattern_pieces(F.col("text")), "|").alias("pieces"))
 
 
 # -- chat ----------------------------------------------------------------------------
@@ -546,5 +546,5 @@ def _(spark, d):
     vocab, merges, _ = _model(spark, d)
     n = vocab.count()
     special = {t: n + i for i, t in enumerate(chat.CHAT_SPECIALS)}
-    turns = chat.encode_turns(table(spark, d, "conversations"), merges, vocab, special)
+    turns = chat.encode_turns(text_table(spark, d, "conversations"), merges, vocab, special)
     return turns.select("conv_id", "turn", joined("ids").alias("ids"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.sources.tables import spread_small
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -32,5 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be worked on."""
+    key = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}[name]
+    return spread_small(table(spark, sf_dir, name), key)
+
+
 def load_all() -> None:
     from textloom.plans import catalog_corpus, catalog_runs, catalog_text, catalog_tokens  # noqa: F401

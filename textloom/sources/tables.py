@@ -27,6 +27,20 @@ def scan_splits(spark: SparkSession, paths: Mapping[str, str], columns: Mapping[
     return out
 
 
+SMALL_TABLE = 1 << 30  # bytes
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table too small to fill them with its files.
+
+    Cleaning text is much work per byte, and a small file is one scan task. Up
+    to ``SMALL_TABLE`` bytes a shuffle by key costs little; a larger table keeps
+    the tasks of its scan.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL_TABLE else df
+
+
 def sql_over_file(spark: SparkSession, path: str, query: str, view: str = "data") -> DataFrame:
     """SQL over a parquet file that the query calls ``view``."""
     spark.read.parquet(path).createOrReplaceTempView(view)
