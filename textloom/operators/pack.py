@@ -32,9 +32,17 @@ def n_windows(n_tokens: Column, max_length: int = MAX_LENGTH, stride: int = STRI
     return F.when(spare < 0, F.lit(0).cast("bigint")).otherwise(F.floor(spare / stride).cast("bigint") + 1)
 
 
-def stream_offsets(df: DataFrame, stream: Sequence[str], order: str, ids: str = "ids") -> DataFrame:
-    """Add ``start`` (tokens before the row) and ``n_tokens`` (of the stream)."""
-    size = F.size(ids).cast("bigint")
+def with_sizes(df: DataFrame, ids: str = "ids", name: str = "n_ids") -> DataFrame:
+    """Keep the number of ids beside them, so that counting need not read them."""
+    return df.withColumn(name, F.size(ids).cast("bigint"))
+
+
+def stream_offsets(df: DataFrame, stream: Sequence[str], order: str, ids: str = "ids", n_ids: str | None = None) -> DataFrame:
+    """Add ``start`` (tokens before the row) and ``n_tokens`` (of the stream).
+
+    ``n_ids`` names a column that holds the number of ids, see ``with_sizes``.
+    """
+    size = F.col(n_ids) if n_ids else F.size(ids).cast("bigint")
     bucket = key_bucket(order, _ROWS_PER_BUCKET)
     return running_totals(df, stream, [order], {"start": size}, bucket, {"n_tokens": "start"})
 
@@ -46,6 +54,7 @@ def pack(
     ids: str = "ids",
     max_length: int = MAX_LENGTH,
     stride: int = STRIDE,
+    n_ids: str | None = None,
 ) -> DataFrame:
     """``(stream.., win, n_tokens, input_ids, target_ids)`` for all windows.
 
@@ -54,7 +63,8 @@ def pack(
     """
     if stride < 1:
         raise ValueError("stride must be at least 1")
-    rows = stream_offsets(df.select(*stream, order, ids), stream, order, ids)
+    kept = [*stream, order, ids, *([n_ids] if n_ids else [])]
+    rows = stream_offsets(df.select(*kept), stream, order, ids, n_ids)
     return _windows(rows, list(stream), F.col("start"), F.col("n_tokens"), ids, max_length, min(stride, max_length + 1))
 
 

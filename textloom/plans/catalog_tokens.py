@@ -54,20 +54,20 @@ def _closed_vocabulary(cleaned: DataFrame) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    """``(doc_id, source, ids)``, written once: packing reads it twice."""
+    """``(doc_id, source, ids, n_ids)``, written once: packing reads it again to count."""
     cleaned = _cleaned(spark, d)
     encoded = enc.encode_words(cleaned, words.word_list(F.col("text")), _closed_vocabulary(cleaned), ["doc_id", "source"])
-    return materialise(encoded.select("doc_id", "source", "ids"), "tokens")
+    return materialise(pack.with_sizes(encoded.select("doc_id", "source", "ids")), "tokens")
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
-    return pack.pack(_tokens(spark, d), ["source"], "doc_id", max_length=L, stride=S)
+    return pack.pack(_tokens(spark, d), ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids")
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
     tokens = _tokens(spark, d)
-    streams = tokens.groupBy("source").agg(F.sum(F.size("ids").cast("bigint")).alias("n_tokens"))
-    windows = pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S)
+    streams = tokens.groupBy("source").agg(F.sum("n_ids").alias("n_tokens"))
+    windows = pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids")
     return split.number_windows(windows, streams, "source", L, S)
 
 
@@ -111,7 +111,7 @@ def _(spark, d):
         CAST(sum(len(ids)) OVER (PARTITION BY source) AS BIGINT) AS n_tokens FROM k""",
 )
 def _(spark, d):
-    return pack.stream_offsets(_tokens(spark, d), ["source"], "doc_id").select("doc_id", "source", "start", "n_tokens")
+    return pack.stream_offsets(_tokens(spark, d), ["source"], "doc_id", n_ids="n_ids").select("doc_id", "source", "start", "n_tokens")
 
 
 _WIN_COLS = "array_to_string(input_ids, ',') AS input_ids, array_to_string(target_ids, ',') AS target_ids"
@@ -139,7 +139,7 @@ def _(spark, d):
 
 @query("window_counts", "G5", f"{_WINDOWS_SQL} SELECT t.source, CAST(count(win.win) AS BIGINT) AS n FROM t LEFT JOIN win USING (source) GROUP BY t.source")
 def _(spark, d):
-    streams = _tokens(spark, d).groupBy("source").agg(F.sum(F.size("ids").cast("bigint")).alias("n_tokens"))
+    streams = _tokens(spark, d).groupBy("source").agg(F.sum("n_ids").alias("n_tokens"))
     return streams.select("source", pack.n_windows(F.col("n_tokens"), L, S).alias("n"))
 
 

@@ -116,7 +116,9 @@ def running_totals(
         )
 
     cut = keyed if cut_all else keyed.where("_hot IS NOT NULL")
-    joined = rows.join(_bucket_offsets(cut, group, names, totals), [*group, "_b"], "inner" if cut_all else "left")
+    # rows already lie by (group, bucket); the hint keeps them there on small data too
+    offsets = _bucket_offsets(cut, group, names, totals).hint("shuffle_hash")
+    joined = rows.join(offsets, [*group, "_b"], "inner" if cut_all else "left")
     return joined.select(
         *[joined[c] for c in df.columns],
         *[(F.col(f"_in_{n}") + F.coalesce(f"_off_{n}", F.lit(0))).alias(n) for n in names],
@@ -131,17 +133,18 @@ def _bucket_offsets(keyed: DataFrame, group: list[str], names: list[str], totals
     whole group holds one row per ``BUCKETS_PER_RANGE`` buckets. The result has
     one row per bucket and no size bound, hence no broadcast hint.
     """
-    buckets = keyed.groupBy(*group, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
-    buckets = buckets.withColumn("_r", key_bucket("_b", BUCKETS_PER_RANGE))
-    ranges = buckets.groupBy(*group, "_r").agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in names])
+    sums = [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names]
+    in_range = key_bucket("_b", BUCKETS_PER_RANGE)
+    buckets = keyed.groupBy(*group, "_b").agg(*sums).withColumn("_r", in_range)
+    ranges = keyed.groupBy(*group, in_range.alias("_r")).agg(*sums)
 
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     earlier = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select(
         *group,
         "_r",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_up_{n}") for n in names],
-        *[F.sum(f"_t_{v}").over(whole).alias(f"_sum_{c}") for c, v in totals.items()],
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_up_{n}") for n in names],
+        *[F.sum(f"_s_{v}").over(whole).alias(f"_sum_{c}") for c, v in totals.items()],
     )
     inside = Window.partitionBy(*group, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(
