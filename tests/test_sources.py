@@ -146,10 +146,7 @@ def test_weighted_draw_follows_the_weights(spark):
     assert 2 not in n and abs(n[0] / 6000 - 0.6) < 0.03
 
 
-def test_observed_progress(spark):
-    from pyspark.sql import Observation
-
-    seen = Observation("clean")
-    df = spark.range(25).observe(seen, F.count("*").alias("rows_read"))
-    df.where("id < 5").collect()
-    assert seen.get["rows_read"] == 25
+def test_counters_of_a_job(spark):
+    df, seen = runs.counted(spark.range(25), "clean", last=F.max("id"))
+    df.where("id % 2 = 0").agg(F.sum("id")).collect()
+    assert seen.get == {"rows": 25, "last": 24}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions.names import (
@@ -51,6 +51,15 @@ def long_metrics(df: DataFrame, run: str, step: str, metrics: Mapping[str, Colum
     return df.select(F.col(run).alias("run_id"), F.col(step).alias("step"), F.inline(pairs))
 
 
+def counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """The same rows, with counters that are filled while a job reads them.
+
+    ``rows`` is the true number of rows; further aggregates can be named.
+    """
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows"), *[m.alias(k) for k, m in metrics.items()]), seen
+
+
 def latest_artifact(df: DataFrame, group: Sequence[str], name: str, order: str) -> DataFrame:
     """Name with the highest step per group; the first listed one on a tie.
 
