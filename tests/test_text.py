@@ -98,8 +98,9 @@ def test_html(spark):
         "a<!-- gone --><b> b\n c </b>&nbsp;d &lt;e&gt; &amp;lt; &#2325;&#x915; &unknown;",
         "",
         "no markup < here & there",
+        "a<script>x <!-- </script>b<!-- <script> -->c<style>p{} </style >d<SCRIPT>never closed",
     ]
-    want = ["Hi there Example text", "a b\n c d <e> &lt; कक &unknown;", "", "no markup < here & there"]
+    want = ["Hi there Example text", "a b\n c d <e> &lt; कक &unknown;", "", "no markup < here & there", "a b c d"]
     assert column(spark, pages, html_text) == want
     assert column(spark, pages[:1] + [None], parsed_text) == [want[0], None]
 

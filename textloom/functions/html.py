@@ -20,12 +20,12 @@ from textloom.functions.text import SPACES, let
 _NODE_END = "\ue000"  # private use: stands for a markup boundary
 _AMP = "\ue001"  # private use: a decoded ampersand that must not start an entity
 
-_BLOCKS = [
-    r"(?s)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?s)<[!/?a-zA-Z][^>]*>",
-]
+# One pass, so that a comment in a script and a script in a comment end where they should.
+# What is never closed runs to the end of the page.
+_MARKUP = (
+    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"|[!/?a-z][^>]*>)"
+)
 _ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
@@ -68,10 +68,7 @@ def decode_entities(col: Column) -> Column:
 
 
 def html_text(col: Column) -> Column:
-    out = col
-    for block in _BLOCKS:
-        out = F.regexp_replace(out, block, _NODE_END)
-    out = let(out, decode_entities)
+    out = let(F.regexp_replace(col, _MARKUP, _NODE_END), decode_entities)
     space = f"[{SPACES}]"
     out = F.regexp_replace(out, f"{space}*{_NODE_END}[{SPACES}{_NODE_END}]*", " ")
     return F.regexp_replace(out, rf"^{space}+|{space}+\z", "")
