@@ -36,10 +36,7 @@ def _code_point(number: Column) -> Column:
 def _entity_char(name: Column) -> Column:
     """The character of an entity name, null when the name is unknown."""
     names = [n for n in sorted(name2codepoint) if n != "amp"]
-    table = F.map_from_arrays(
-        F.lit(names).cast(T.ArrayType(T.StringType())),
-        F.lit([chr(name2codepoint[n]) for n in names]).cast(T.ArrayType(T.StringType())),
-    )
+    known = F.get(F.lit([chr(name2codepoint[n]) for n in names]), (F.array_position(F.lit(names), name) - 1).cast("int"))
     hexadecimal = F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")
     decimal = F.substr(name, F.lit(2)).cast("bigint")
     number = F.when(name.rlike("^#[xX]"), hexadecimal).when(name.startswith("#"), decimal)
@@ -47,7 +44,7 @@ def _entity_char(name: Column) -> Column:
     return (
         F.when((name == "amp") | (number == 38), F.lit(_AMP))
         .when(valid, _code_point(number))
-        .when(number.isNull(), F.element_at(table, name))
+        .when(number.isNull(), known)
     )
 
 
