@@ -128,16 +128,16 @@ def keep_script(col: Column, script: Ranges = DEVANAGARI, punctuation: bool = Tr
     if not punctuation:
         return F.regexp_replace(col, f"[{rest_body((*script, (0x20, 0x20)))}]", " ")
     other = rest_body((*script, *ASCII_MARKS, (0x20, 0x20)))
-    steps = [
-        # marks before a space or foreign text go, and of several marks all but the last
-        (rf"[{mark}]+(?![{letter}{mark}]|\z)|[{mark}]+(?=[{mark}](?:[{letter}]|\z))", ""),
+    # marks before a space or foreign text go, and of several marks all but the last
+    last_mark = F.regexp_replace(col, rf"[{mark}]+(?![{letter}{mark}]|\z)|[{mark}]+(?=[{mark}](?:[{letter}]|\z))", "")
+
+    def cut_ends(text: Column) -> Column:
         # foreign text at the ends, with a closing mark that has no kept text before it
-        (rf"[{other}]+[{mark}]?\z|^[{other}]+|^[{mark}]\z", ""),
-        (rf"[{other}]+", " "),
-    ]
-    for pattern, replacement in steps:
-        col = F.regexp_replace(col, pattern, replacement)
-    return col
+        cut = F.regexp_replace(text, rf"[{other}]+[{mark}]?\z|^[{other}]+|^[{mark}]\z", "")
+        foreign = F.substring(text, 1, 1).rlike(f"[{other}{mark}]") | F.substring(text, -2, 2).rlike(f"[{other}]")
+        return F.when(foreign, cut).otherwise(text)
+
+    return F.regexp_replace(let(last_mark, cut_ends), f"[{other}]+", " ")
 
 
 def clean(
@@ -150,7 +150,8 @@ def clean(
     out = standardise(out)
     if digits:
         out = native_digits(out, digits)
-    return collapse_spaces(keep_script(out, script, **options))
+    # only plain spaces are left
+    return F.trim(F.regexp_replace(keep_script(out, script, **options), " {2,}", " "))
 
 
 def drop_punctuation_and_digits(col: Column) -> Column:
