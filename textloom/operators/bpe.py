@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.words import SPECIALS, WORD_PATTERN, word_counts
-from textloom.plans.shared_dir import shared_dir
+from textloom.plans.shared_dir import materialise
 
 WORD_END = "</w>"
 _OPEN, _CLOSE = "\x01", "\x02"  # around each symbol of a word
 _FETCH = 512  # ranked pairs looked at per round
-_ROUNDS_PER_CHECKPOINT = 16
+_WORDS_PER_TASK = 200_000
+_ROUNDS_PER_TABLE = 16  # rounds kept in the cache before the word table is written anew
 
 _MERGES = "rank int, left string, right string, merged string, n bigint"
 
@@ -129,13 +130,12 @@ def train(
     the exact one.
     """
     spark = counts.sparkSession
-    shared_dir(spark)
+    counted = materialise(counts, "word-counts")
     # few bytes but much work per row: keep all cores busy
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    words = symbol_words(counts.repartition(parts, "word"), word_end).checkpoint()
+    parts = max(counted.count() // _WORDS_PER_TASK, spark.sparkContext.defaultParallelism)
+    words = symbol_words(counted.repartition(parts, "word"), word_end).persist(StorageLevel.MEMORY_AND_DISK)
     alphabet = words.select(F.explode(symbols(F.col("s"))).alias("token")).distinct()
-    n_alphabet = alphabet.count()
-    room = None if vocab_size is None else vocab_size - len(specials) - n_alphabet
+    room = None if vocab_size is None else vocab_size - len(specials) - alphabet.count()
     wanted = min((x for x in (room, max_merges) if x is not None), default=None)
 
     learnt: list[tuple[str, str, int]] = []
@@ -162,8 +162,14 @@ def train(
         rounds += 1
         merged = words.withColumn("s", merge_pairs(F.col("s"), batch))
         older = words if words.is_cached else None
-        words = merged.checkpoint() if rounds % _ROUNDS_PER_CHECKPOINT == 0 else merged.persist(StorageLevel.MEMORY_AND_DISK)
+        if rounds % _ROUNDS_PER_TABLE == 0:
+            words = materialise(merged, "words")
+        else:
+            words = merged.persist(StorageLevel.MEMORY_AND_DISK)
 
+    for cached in (older, words):
+        if cached is not None and cached.is_cached:
+            cached.unpersist()
     merges = spark.createDataFrame([(i, a, b, a + b, n) for i, (a, b, n) in enumerate(learnt)], _MERGES)
     return vocabulary(alphabet, merges, specials), merges, words
 

@@ -107,30 +107,27 @@ def _pieces_by_join(df, ids, vocab, key) -> DataFrame:
 
 
 def _word_pieces(word: str, ranks: dict[tuple[str, str], int], word_end: str) -> list[str]:
-    """Apply the learnt merges to one word, lowest rank first."""
+    """Split one word: merge the leftmost pair of the lowest rank while there is one."""
+    none = len(ranks)
     pieces = [*word[:-1], word[-1] + word_end]
-    while len(pieces) > 1:
-        rank, at = min((ranks.get(pair, len(ranks)), i) for i, pair in enumerate(zip(pieces, pieces[1:])))
-        if rank == len(ranks):
-            break
-        left, right = pieces[at], pieces[at + 1]
-        out, i = [], 0
-        while i < len(pieces):
-            if i + 1 < len(pieces) and pieces[i] == left and pieces[i + 1] == right:
-                out.append(left + right)
-                i += 2
-            else:
-                out.append(pieces[i])
-                i += 1
-        pieces = out
+    steps = [ranks.get(pair, none) for pair in zip(pieces, pieces[1:])]
+    while steps and (best := min(steps)) < none:
+        at = steps.index(best)
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+        del steps[at]
+        for i in (at - 1, at):
+            if 0 <= i < len(steps):
+                steps[i] = ranks.get((pieces[i], pieces[i + 1]), none)
     return pieces
 
 
 def _merge_ranks(merges: DataFrame) -> dict[tuple[str, str], int]:
+    """Rank of each pair, counted from 0; a pair learnt twice keeps its first one."""
     rows = lookup_rows(merges.select("rank", "left", "right"))
     if rows is None:
         raise ValueError(f"more than {MAX_LOOKUP} merges: not a byte-pair vocabulary of this library")
-    return {(r.left, r.right): r["rank"] for r in rows}
+    pairs = dict.fromkeys((r.left, r.right) for r in sorted(rows, key=lambda r: r["rank"]))
+    return {pair: i for i, pair in enumerate(pairs)}
 
 
 def word_lexicon(words: DataFrame, merges: DataFrame, word: str = "word", word_end: str = "</w>") -> DataFrame:

@@ -15,7 +15,6 @@ from textloom.functions.hashing import HASH_BITS, hash60
 from textloom.operators.pack import n_windows
 from textloom.plans.grouped import row_numbers
 
-_HASH_BUCKETS = 1 << 16
 _RANGE_BITS = 16  # windows per join range: 65,536
 
 
@@ -76,11 +75,16 @@ def hash_split(df: DataFrame, key: Sequence[str], ratio: float = 0.9, seed: int
     return df.withColumn("split", F.when(train, "train").otherwise("test"))
 
 
-def shuffled_numbers(df: DataFrame, key: Sequence[str], seed: int = 42, name: str = "rn") -> DataFrame:
-    """Position of each row in a seeded random order of the whole table."""
+def shuffled_numbers(
+    df: DataFrame, key: Sequence[str], seed: int = 42, name: str = "rn", bucket_bits: int = 16
+) -> DataFrame:
+    """Position of each row in a seeded random order of the whole table.
+
+    Rows are ordered in ``2 ** bucket_bits`` even buckets of the hash.
+    """
     hashed = df.withColumn("_h", hash60(*key, seed=seed))
-    shift = HASH_BITS - (_HASH_BUCKETS.bit_length() - 1)
-    out = row_numbers(hashed, [], ["_h", *key], name, bucket=F.shiftright("_h", shift), total="n_rows")
+    bucket = F.shiftright("_h", HASH_BITS - bucket_bits)
+    out = row_numbers(hashed, [], ["_h", *key], name, bucket=bucket, total="n_rows")
     return out.drop("_h")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 
 def read_new_files(
-    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int = 64
+    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int = 1000
 ) -> DataFrame:
     """Parquet files of a folder as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
