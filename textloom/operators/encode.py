@@ -3,7 +3,8 @@
 Encoding and decoding look a bounded vocabulary up once per token. While the
 vocabulary is at most ``MAX_LOOKUP`` rows, checked by a count, it travels to
 the tasks as one dictionary and texts are mapped in place, with no shuffle at
-all; a larger one is joined, with the token stream salted against hot words.
+all; a larger one is joined, with the token stream salted against hot words: a
+word that is a third of all tokens is spread over every shuffle partition.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import types as T
 
 MAX_LOOKUP = 300_000  # vocabulary rows that may go to every task
 _CACHE = 200_000  # words a task remembers
-_SALTS = 64
 
 UNK_ID = 1
 IDS = T.ArrayType(T.IntegerType())
@@ -59,11 +59,17 @@ def encode_words(
     return df.withColumn(name, encode(words))
 
 
+def _salted_join(tokens: DataFrame, vocab: DataFrame, on: str) -> DataFrame:
+    """Left join of a token stream with the vocabulary, repeated once per salt."""
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt"))
+    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in tokens.columns if c != on]), F.lit(n)).cast("int"))
+    return salted.join(spread, [on, "_salt"], "left")
+
+
 def _encode_by_join(df, words, vocab, key, name, unk_id) -> DataFrame:
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    spread = vocab.select("token", "id", salts.alias("_salt"))
-    tokens = df.select(*key, F.posexplode(words).alias("_pos", "token")).withColumn("_salt", F.col("_pos") % _SALTS)
-    found = tokens.join(spread, ["token", "_salt"], "left")
+    tokens = df.select(*key, F.posexplode(words).alias("_pos", "token"))
+    found = _salted_join(tokens, vocab, "token")
     missing = F.raise_error(F.concat(F.lit("word not in vocabulary: "), "token")).cast("int") if unk_id is None else F.lit(unk_id)
     ids = found.select(*key, "_pos", F.coalesce("id", missing).alias("id")).groupBy(*key)
     ids = ids.agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_a"))
@@ -95,10 +101,8 @@ def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: s
 
 
 def _pieces_by_join(df, ids, vocab, key) -> DataFrame:
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    spread = vocab.select("id", "token", salts.alias("_salt"))
-    tokens = df.select(*key, F.posexplode(ids).alias("_pos", "id")).withColumn("_salt", F.col("_pos") % _SALTS)
-    found = tokens.join(spread, ["id", "_salt"], "left").groupBy(*key)
+    tokens = df.select(*key, F.posexplode(ids).alias("_pos", "id"))
+    found = _salted_join(tokens, vocab, "id").groupBy(*key)
     found = found.agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_a"))
     return df.join(found.select(*key, F.col("_a.token").alias("_pieces")), key, "left")
 

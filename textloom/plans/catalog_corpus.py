@@ -14,7 +14,7 @@ from textloom.plans.shared_dir import fresh_path
 from textloom.sinks import writers
 from textloom.sources import tables as scans
 from textloom.sources.tables import spread_small
-from textloom.sources.text_files import scan_lines, scan_whole_files
+from textloom.sources.text_files import scan_stream_lines, scan_whole_files
 from textloom.streaming.clean_stream import append_cleaned, read_new_files
 
 # -- scans and sinks ------------------------------------------------------------
@@ -87,14 +87,7 @@ _LINES_SQL = f"""SELECT source, row_number() OVER (PARTITION BY source ORDER BY
 def _(spark, d):
     path = fresh_path(spark, "corpus-text")
     writers.write_corpus(table(spark, d, "documents"), path, "source", "doc_id")
-    lines = scan_lines(spark, path, ["source"])
-    # a source is spread over files named in order: lines of earlier files come first
-    per_file = lines.groupBy("source", "file").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy("source").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_file.select("source", "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return lines.join(starts, ["source", "file"]).select("source", (F.col("before") + F.col("line")).alias("line"), "text")
+    return scan_stream_lines(spark, path, "source")
 
 
 @query(

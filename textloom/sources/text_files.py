@@ -34,6 +34,19 @@ def scan_lines(spark: SparkSession, path: str, partitions: Sequence[str] = ()) -
     return joined.select(*partitions, "file", (F.col("_before") + F.col("_in")).alias("line"), "text")
 
 
+def scan_stream_lines(spark: SparkSession, path: str, stream: str) -> DataFrame:
+    """``(stream, line, text)``: lines numbered through all files of a stream.
+
+    A stream is a directory column; its files follow one another by name, as
+    ``sinks.write_corpus`` leaves them.
+    """
+    lines = scan_lines(spark, path, [stream])
+    files = lines.groupBy(stream, "file").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(stream).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    starts = files.select(stream, "file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return lines.join(starts, [stream, "file"]).select(stream, (F.col("_before") + F.col("line")).alias("line"), "text")
+
+
 def scan_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """``(file, text)``: one row per file."""
     whole = spark.read.text(path, wholetext=True)
