@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import chat, pack, split, words
+from textloom.operators import chat, loader, pack, split, words
 from textloom.operators import encode as enc
 from textloom.plans.shared_dir import materialise
 from textloom.sources.legacy_windows import LEGACY_COLUMN, parse_legacy, to_legacy
@@ -142,3 +142,26 @@ def test_chat_ids(spark):
     special = {t: 50000 + i for i, t in enumerate(chat.CHAT_SPECIALS)}
     ids = spark.range(1).select(chat.turn_ids(F.array(F.lit(7)), F.array(F.lit(8), F.lit(9)), special).alias("i")).collect()[0].i
     assert ids == [50002, 7, 50003, 50005, 8, 9, 50004]
+
+
+def test_text_loader(spark):
+    texts = {i: "".join(chr(97 + (i * j) % 7) for j in range(n)) for i, n in enumerate([0, 30, 100, 41])}
+    df = spark.createDataFrame(list(texts.items()), "d bigint, text string")
+
+    def letters(t):  # one id per character
+        codes = F.transform(F.regexp_extract_all("text", F.lit("."), F.lit(0)), lambda c: F.ascii(c))
+        return t.withColumn("ids", codes)
+
+    got = loader.text_batches(df, letters, "d", batch_size=5, max_length=5, stride=3).collect()
+    want = {"train": [], "validation": []}
+    for i, t in texts.items():
+        cut = int(len(t) * 0.9)
+        for name, part in (("train", t[:cut]), ("validation", t[cut:])):
+            want[name] += [(i, k, a, b) for k, a, b in windows_of([ord(c) for c in part], 5, 3)]
+    rows = {s: sorted((r.rn, r.batch_id, r.d, r.win, r.input_ids, r.target_ids) for r in got if r.split == s) for s in want}
+    assert [r[2:] for r in rows["validation"]] == want["validation"]
+    assert [r[1] for r in rows["validation"]] == [i // 5 for i in range(len(want["validation"]))]
+    n_train = len(want["train"]) // 5 * 5
+    assert [r[0] for r in rows["train"]] == list(range(n_train)) and n_train < len(want["train"])
+    seen = [r[2:] for r in rows["train"]]
+    assert all(r in want["train"] for r in seen) and seen != want["train"][:n_train]

@@ -107,13 +107,15 @@ def n_batches(n_rows: Column, batch_size: int) -> Column:
     return F.floor(n_rows / batch_size).cast("bigint")
 
 
-def collate(df: DataFrame, columns: Sequence[str] = ("input_ids", "target_ids"), rn: str = "rn") -> DataFrame:
+def collate(
+    df: DataFrame, columns: Sequence[str] = ("input_ids", "target_ids"), rn: str = "rn", by: Sequence[str] = ("batch_id",)
+) -> DataFrame:
     """One row per batch: the rows' arrays stacked in order.
 
     A batch has at most ``batch_size`` rows. Arrays of unequal length fail.
     """
     rows = F.array_sort(F.collect_list(F.struct(rn, *columns)))
-    stacked = df.groupBy("batch_id").agg(rows.alias("_r")).select("batch_id", *[F.col(f"_r.{c}").alias(c) for c in columns])
+    stacked = df.groupBy(*by).agg(rows.alias("_r")).select(*by, *[F.col(f"_r.{c}").alias(c) for c in columns])
     for c in columns:
         sizes = F.transform(c, lambda ids: F.size(ids))
         even = F.array_max(sizes) == F.array_min(sizes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.operators import bpe, chat, pack, split, words
+from textloom.operators import bpe, chat, loader, pack, split, words
 from textloom.operators import encode as enc
 from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
 from textloom.plans.registry import query, table, text_table
@@ -318,6 +318,36 @@ def _(spark, d):
     return split.repeat_epochs(rows, 3, split.n_batches(F.col("n_rows"), BATCH)).select("doc_id", "epoch", "step")
 
 
+_HALVES_SQL = f"""{_TOKENS_SQL},
+  h AS (SELECT doc_id, split, text FROM (
+      SELECT doc_id, 'train' AS split, substr(text, 1, CAST(floor(length(text) * 0.9::DOUBLE) AS INTEGER)) AS text FROM cleaned
+      UNION ALL SELECT doc_id, 'validation', substr(text, CAST(floor(length(text) * 0.9::DOUBLE) AS INTEGER) + 1) FROM cleaned)),
+  hw AS (SELECT doc_id, split, unnest(a) AS token, generate_subscripts(a, 1) AS i
+         FROM (SELECT doc_id, split, regexp_extract_all(text, '[^{tx.SPACES}]+') AS a FROM h)),
+  hk AS (SELECT doc_id, split, list(coalesce(id, 1) ORDER BY i) AS ids FROM hw LEFT JOIN v USING (token) GROUP BY doc_id, split),
+  hn AS (SELECT doc_id, split, st // {S} AS win, ids[st + 1:st + {L}] AS input_ids, ids[st + 2:st + {L} + 1] AS target_ids
+         FROM (SELECT doc_id, split, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM hk)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id, win) - 1 AS p, count(*) OVER (PARTITION BY split) AS n FROM hn),
+  b AS (SELECT *, (CASE WHEN split = 'train' THEN row_number() OVER (PARTITION BY split ORDER BY {sql_hash60('p')}, p) - 1 ELSE p END) AS rn FROM o)"""
+
+
+@query(
+    "text_loader_batches",
+    "H6 H7 H8 G4 G5",
+    f"""{_HALVES_SQL} SELECT split, doc_id, CAST(win AS BIGINT) AS win, rn // {BATCH} AS batch_id, {_WIN_COLS} FROM b
+        WHERE split = 'validation' OR rn // {BATCH} < n // {BATCH}""",
+)
+def _(spark, d):
+    cleaned = _cleaned(spark, d)
+    vocab = _closed_vocabulary(cleaned)
+
+    def encode(df):
+        return enc.encode_words(df, words.word_list(F.col("text")), vocab, ["doc_id"])
+
+    rows = loader.text_batches(cleaned, encode, "doc_id", batch_size=BATCH, max_length=L, stride=S)
+    return _shown(rows, "split", "doc_id", "win", "batch_id")
+
+
 # -- byte-pair vocabulary -------------------------------------------------------------
 
 _PATTERN_SQL = words.WORD_PATTERN.replace("'", "''")
