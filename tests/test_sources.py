@@ -14,7 +14,7 @@ from textloom.sources import tables
 from textloom.sources.text_files import scan_lines, scan_whole_files
 from textloom.streaming.clean_stream import append_cleaned, read_new_files
 
-TEXTS = ["plain", 'quoted "x", comma', "two\nlines\n", " edges ", "", None, "क" * 50_000]
+TEXTS = ["plain", 'quoted "x", comma', "two\nlines\n", " edges ", "", None, "क" * 50_000, "a\r\nb", "c\rd", "\\ back \\", "tab\t\"q\""]
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_csv_round_trip(spark, tmp_path):
     back = tables.scan_csv(spark, path, df.schema, ["i", "t"])
     got = {r.i: r.t for r in back.collect()}
     assert {i: t or None for i, t in got.items()} == {i: t or None for i, t in enumerate(TEXTS)}
-    assert back.where(tables.non_empty("t")).count() == 5
+    assert back.where(tables.non_empty("t")).count() == 9
 
 
 def test_csv_delimiter_and_types(spark, tmp_path):

@@ -4,6 +4,7 @@ import itertools
 import random
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -98,9 +99,10 @@ def test_html(spark):
         "a<!-- gone --><b> b\n c </b>&nbsp;d &lt;e&gt; &amp;lt; &#2325;&#x915; &unknown;",
         "",
         "no markup < here & there",
+        "open tag <b never closed",
         "a<script>x <!-- </script>b<!-- <script> -->c<style>p{} </style >d<SCRIPT>never closed",
     ]
-    want = ["Hi there Example text", "a b\n c d <e> &lt; कक &unknown;", "", "no markup < here & there", "a b c d"]
+    want = ["Hi there Example text", "a b\n c d <e> &lt; कक &unknown;", "", "no markup < here & there", "open tag", "a b c d"]
     assert column(spark, pages, html_text) == want
     assert column(spark, pages[:1] + [None], parsed_text) == [want[0], None]
 
@@ -121,6 +123,14 @@ def test_cut_between(spark):
     assert column(spark, texts, lambda c: tx.cut_between(c, "<a>", "<b>", after_start=True)) == ["<a> mid ", "<a> then ", None]
 
 
+def test_cut_between_strict(spark):
+    df = spark.createDataFrame([("x <a> mid <b>",)], "t string")
+    strict = df.select(tx.cut_between(F.col("t"), "<a>", "<b>", strict=True).alias("o"))
+    assert strict.collect()[0].o == "<a> mid "
+    with pytest.raises(Exception, match="not in text"):
+        df.select(tx.cut_between(F.col("t"), "<a>", "<z>", strict=True)).collect()
+
+
 def test_reply_cleaning(spark):
     head = "assistant<|end_header_id|>\n\n"
     assert column(spark, ["q" + head + " hello ", "plain "], lambda c: tx.after_header(c, head)) == ["hello", "plain "]
@@ -156,6 +166,17 @@ def test_minimal_csv_quoting(spark):
     assert "\n".join(column(spark, texts, tx.minimal_csv_quoting)) + "\n" == out.getvalue()
 
 
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    n = 300_000
+    runs = ["中" * n + "x.", "x" + " " * n + "x", "." * n + "x" + "." * n, "<a" * n, "&" * n, "x <!--" + " <p " * n, "a " * n]
+    start = time.time()
+    for clean in (tx.clean, lambda c: tx.clean(c, tx.LATIN), tx.strip, tx.collapse_spaces, html_text):
+        assert len(column(spark, runs, clean)) == len(runs)
+    assert time.time() - start < 60
+
+
 def test_cleaning_stays_in_the_jvm(spark):
     df = spark.createDataFrame([("x",)], "t string").select(tx.clean(F.col("t")))
     plan = df._jdf.queryExecution().executedPlan().toString()

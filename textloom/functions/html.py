@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.text import SPACES, let
+from textloom.functions.text import SPACES, let, strip
 
 _NODE_END = "\ue000"  # private use: stands for a markup boundary
 _AMP = "\ue001"  # private use: a decoded ampersand that must not start an entity
@@ -24,7 +24,7 @@ _AMP = "\ue001"  # private use: a decoded ampersand that must not start an entit
 # What is never closed runs to the end of the page.
 _MARKUP = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|[!/?a-z][^>]*>)"
+    r"|[!/?a-z][^>]*(?:>|\z))"
 )
 _ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
@@ -66,9 +66,8 @@ def decode_entities(col: Column) -> Column:
 
 def html_text(col: Column) -> Column:
     out = let(F.regexp_replace(col, _MARKUP, _NODE_END), decode_entities)
-    space = f"[{SPACES}]"
-    out = F.regexp_replace(out, f"{space}*{_NODE_END}[{SPACES}{_NODE_END}]*", " ")
-    return F.regexp_replace(out, rf"^{space}+|{space}+\z", "")
+    out = F.regexp_replace(out, f"(?<![{SPACES}])[{SPACES}]*+{_NODE_END}[{SPACES}{_NODE_END}]*", " ")
+    return strip(out)
 
 
 @F.pandas_udf(T.StringType())

@@ -20,6 +20,9 @@ ASCII_MARKS = ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 # Regex class body of whitespace.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# The look-behind lets a run of whitespace be tried once, not once per character.
+END_SPACES = rf"^[{SPACES}]++|(?<![{SPACES}])[{SPACES}]++\z"
+
 Ranges = tuple[tuple[int, int], ...]
 
 
@@ -80,7 +83,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.regexp_replace(col, END_SPACES, "")
 
 
 def collapse_spaces(col: Column) -> Column:
@@ -133,7 +136,8 @@ def keep_script(col: Column, script: Ranges = DEVANAGARI, punctuation: bool = Tr
 
     def cut_ends(text: Column) -> Column:
         # foreign text at the ends, with a closing mark that has no kept text before it
-        cut = F.regexp_replace(text, rf"[{other}]+[{mark}]?\z|^[{other}]+|^[{mark}]\z", "")
+        at_end = rf"(?<![{other}])[{other}]++[{mark}]?\z"  # tried once per run
+        cut = F.regexp_replace(text, rf"{at_end}|^[{other}]++|^[{mark}]\z", "")
         foreign = F.substring(text, 1, 1).rlike(f"[{other}{mark}]") | F.substring(text, -2, 2).rlike(f"[{other}]")
         return F.when(foreign, cut).otherwise(text)
 
