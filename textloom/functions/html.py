@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from textloom.functions.text import SPACES, let, strip
 
 _NODE_END = "\ue000"  # private use: stands for a markup boundary
-_AMP = "\ue001"  # private use: a decoded ampersand that must not start an entity
 
 # One pass, so that a comment in a script and a script in a comment end where they should.
 # What is never closed runs to the end of the page.
@@ -26,42 +25,49 @@ _MARKUP = (
     r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)"
     r"|[!/?a-z][^>]*(?:>|\z))"
 )
-_ENTITY = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_ENTITY = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
+_NAMED = "".join(f";{name}={chr(point)}" for name, point in sorted(name2codepoint.items()))
+
+
 def _entity_char(name: Column) -> Column:
     """The character of an entity name, null when the name is unknown."""
-    names = [n for n in sorted(name2codepoint) if n != "amp"]
-    known = F.get(F.lit([chr(name2codepoint[n]) for n in names]), (F.array_position(F.lit(names), name) - 1).cast("int"))
+    at = F.instr(F.lit(_NAMED), F.concat(F.lit(";"), name, F.lit("=")))
+    known = F.when(at > 0, F.substr(F.lit(_NAMED), at + F.length(name) + 2, F.lit(1)))
     hexadecimal = F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")
     decimal = F.substr(name, F.lit(2)).cast("bigint")
-    number = F.when(name.rlike("^#[xX]"), hexadecimal).when(name.startswith("#"), decimal)
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    return (
-        F.when((name == "amp") | (number == 38), F.lit(_AMP))
-        .when(valid, _code_point(number))
-        .when(number.isNull(), known)
-    )
+    number = F.when(name.rlike("^#[xX]"), hexadecimal).otherwise(decimal)
+
+    def numbered(n: Column) -> Column:
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        return F.when(valid, _code_point(n))
+
+    return F.when(name.startswith("#"), let(number, numbered)).otherwise(known)
 
 
 def decode_entities(col: Column) -> Column:
     """Decode named and numeric entities, each text position once.
 
-    Only the distinct entities of a text are looked up, and texts without an
-    ampersand skip the work.
+    The text is cut at ampersands and each part looks at its own beginning, so
+    the work is one pass whatever the number of entities.
     """
-    found = F.array_distinct(F.regexp_extract_all(col, F.lit(_ENTITY), F.lit(1)))
 
-    def decode(text: Column, name: Column) -> Column:
-        whole = F.concat(F.lit("&"), name, F.lit(";"))
-        return F.replace(text, whole, F.coalesce(_entity_char(name), whole))
+    def decode(part: Column, i: Column) -> Column:
+        plain = F.concat(F.lit("&"), part)
+
+        def replaced(name: Column) -> Column:
+            rest = F.substr(part, F.length(name) + 2)
+            return let(_entity_char(name), lambda char: F.coalesce(F.concat(char, rest), plain))
+
+        return F.when(i == 0, part).otherwise(let(F.regexp_extract(part, _ENTITY, 1), replaced))
 
-    decoded = F.translate(F.aggregate(found, col, decode), _AMP, "&")
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+    whole = F.array_join(F.transform(F.split(col, "&", -1), decode), "")
+    return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
 
 
 def html_text(col: Column) -> Column:
