@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import hash_tree, simhash
+from textloom.llm import anchors, containment, hash_tree, simhash
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,26 @@ def simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+@query("op7_fixed_block_anchors")
+def fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = anchors.without_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_prefix_filter")
+def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = containment.contained(docs, _table(spark, sf_dir, "benchmark"), with_text=False)
+    return found.select(
+        "doc_id",
+        "containment.n_words",
+        "containment.n_hit",
+        "containment.n_items",
+        F.sha2(F.array_join("containment.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("containment.n_hit") > 0).alias("contaminated"),
+    )
+
+
 SHARDS = 8
 
 
