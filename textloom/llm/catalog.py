@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import anchors, containment, hash_tree, simhash
+from textloom.llm import anchors, containment, hash_tree, packing, simhash, token_scan, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +36,31 @@ def simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+SEPARATOR = 49407  # the tokenizer's end of text
+
+
+@query("op4_separator_scan")
+def separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written, documents = token_scan.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path(), SEPARATOR)
+    found = token_scan.token_counts(written, SEPARATOR)
+    return found.join(documents, ["file", "document"]).select("doc_id", "document", "start", "n_tokens", "ended")
+
+
+@query("op5_warc_index")
+def warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_records(index, with_payload=False)
+
+
+@query("op6_tournament_packing")
+def tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 @query("op7_fixed_block_anchors")
 def fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = anchors.without_repeats(_table(spark, sf_dir, "documents"))

@@ -17,8 +17,7 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21  # texts are worked on in runs of about this many bytes; one text is never cut
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]  # odd, so that they have an inverse
 _WINDOW = 0xD6E8FEB86659FD93
 
 #: Separators of ``[^\x20\x09-\x0D]+`` words.
@@ -92,17 +91,16 @@ def _split(rows: slice, data: np.ndarray, bounds: np.ndarray, separators: np.nda
     return Words(rows, data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of a base modulo 2**64."""
+    if len(_POWERS.get(base, "")) < n:
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,10 +110,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    n = len(words.data)
-    power, inverse = _powers(n + 1)
+def word_hashes(words: Words, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of every word; ``which`` chooses one of two independent ones."""
+    n, base = len(words.data), _BASES[which]
+    power, inverse = _powers(base, n + 1), _powers(pow(base, -1, 1 << 64), n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     raw = (sums[words.ends] - sums[words.starts]) * inverse[words.starts]
