@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import anchors, containment, hash_tree, packing, simhash, token_scan, warc
+from textloom.llm import anchors, containment, hash_tree, language_mix, packing, simhash, token_scan, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,16 @@ def simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+@query("op1_language_mixture")
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_mix.fit(language_mix.learning_rows(docs))
+    found = language_mix.identify(docs.select("doc_id", "text"), model).drop("text")
+    return found.select(
+        "doc_id", language_mix.held_out().alias("held_out"), "language.lang_pred", "language.score", F.size("language.languages").alias("n_languages")
+    )
+
+
 def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
