@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import anchors, containment, hash_tree, language_mix, packing, simhash, token_scan, warc
+from textloom.llm import anchors, containment, disclosure, divergence, hash_tree, language_mix, packing, simhash, token_scan, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,23 @@ def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_disclosure")
+def disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), "private", with_text=False)
+    base, terms = F.col("private.base"), F.col("private.terms")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in disclosure.KINDS]
+    own = disclosure.digest(base)
+    spans = F.concat_ws(",", F.when(F.size(base) > 0, own), F.when(F.size(terms) > 0, disclosure.digest(terms)))
+    return found.select("doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+@query("op3_divergence")
+def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = divergence.judge(docs, divergence.learn(docs))
+    return found.select("doc_id", "quality.*")
+
+
 def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
