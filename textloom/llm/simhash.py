@@ -176,15 +176,39 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     only as a member, and a component without any other has component_id null.
     Other columns are ignored. Empty in, empty out.
     """
-    prints = materialise(with_fingerprints(docs.select("doc_id", "text"), size), "fingerprints")
+    return _grouped(docs.select("doc_id", "text"), radius, size).select("doc_id", "fingerprint", "component_id")
+
+
+def _grouped(rows: DataFrame, radius: int, size: int) -> DataFrame:
+    """``rows`` without ``text``, with ``fingerprint``, ``component_id`` and the least fingerprint of the component, ``root``."""
+    prints = materialise(with_fingerprints(rows, size), "fingerprints")
     groups = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_doc")), "distinct-fingerprints")
     roots = component_roots(linked_fingerprints(groups.select("fingerprint"), radius))
     member = groups.join(roots, F.col("fingerprint") == F.col("node"), "left")
     member = member.select("fingerprint", "least_doc", F.coalesce("root", "fingerprint").alias("root"))
     member = materialise(member, "members")
     named = materialise(member.groupBy("root").agg(F.min("least_doc").alias("component_id")), "components")
-    by_print = materialise(member.join(named, "root").select("fingerprint", "component_id"), "component-of-fingerprint")
-    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    by_print = materialise(member.join(named, "root").select("fingerprint", "root", "component_id"), "component-of-fingerprint")
+    return prints.join(by_print, "fingerprint")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """One row of every group of near duplicates, with the columns of ``docs``.
+
+    The row with the least doc_id stays, a null id counting as largest; among
+    equal ids the one with the least hash of its text, and any one of rows equal
+    in both. Null and empty texts are one group. Empty in, empty out.
+    """
+    kept = docs.columns
+    text = F.coalesce("text", F.lit(""))
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id")]
+    key += [F.xxhash64(text).alias("_print"), F.xxhash64(F.lit(1), text).alias("_more")]
+    names = ["_none", "_id", "_print", "_more"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *key)
+    grouped = _grouped(docs.select(F.col("doc_id"), *key, "text"), radius, size)
+    first = grouped.groupBy("root").agg(F.min(F.struct(*names)).alias("k")).select("k.*")  # combined before the shuffle
+    chosen = rows.join(materialise(first, "chosen"), names, "left_semi").dropDuplicates(names)
+    return chosen.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)])
 
 
 def hexadecimal(value: str = "fingerprint"):
