@@ -17,8 +17,11 @@ per batch, and nothing ever lists pairs. A group of the shuffle is a range of
 hashes sized by the corpus (``GROUP_BYTES`` of text).
 
 First-step hashes are cut to as many bits as keep chance hits rare; such a hit
-only adds windows to the second step, which compares 96 bits of two
+only adds windows to the second step, which compares 80 bits of two
 independent hashes of the whole window.
+
+Texts that occur more than once are found first: a copy with a larger id than
+another holds nothing but repeats and takes no part in the two steps.
 """
 
 from __future__ import annotations
@@ -34,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import texts
+from textloom.plans.shared_dir import materialise
 
 WINDOW = 13
 BATCH_WORDS = 3_000_000
 GROUP_BYTES = 8 << 20
 LAST_ID = (1 << 63) - 1  # where null ids sort
 
+_PRINT = ["_print", "_more"]  # 128 bits for a text
+
 _ENTRIES, _TABLE = 0, 1
 _SHIPPED = "part bigint, batch bigint, kind int, data binary"
 _SHIPPED_ARROW = pa.schema([("part", pa.int64()), ("batch", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -88,7 +94,7 @@ class Batch:
     hits: list[np.ndarray]
 
     def table(self, found: np.ndarray) -> bytes:
-        return _pack(self.first, self.ids.view(np.uint64), self.prints.view(np.uint64), found)
+        return _pack(self.first, self.ids.view(np.uint64), *self.prints.T.view(np.uint64), found)
 
     def document_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
@@ -105,7 +111,8 @@ def _batches(source: Iterator[pa.RecordBatch], window: int) -> Iterator[Batch]:
 
     for rows in source:
         names = rows.schema.names
-        all_ids, all_prints = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_print"))
+        all_ids, *both = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_id", *_PRINT))
+        all_prints = np.stack(both, axis=1)
         for words in texts.split(rows.column("text"), texts.SPACES):
             long = words.counts >= window
             if not long.any():
@@ -165,10 +172,14 @@ def _probe(window: int, bits: int, parts: int) -> Callable:
             order = np.argsort(key, kind="stable")
             key, at, anchor = key[order], at[order], anchor[order]
             starts = _groups(key)
-            several = _sizes(starts, len(key)) > 1
-            local = at[np.repeat(several, _sizes(starts, len(key)))]
-            mark = np.logical_or.reduceat(anchor, starts)
-            key, where = key[starts], at[starts] * 2 + mark
+            # in several documents of the batch: settled here, and one is sent on for all
+            sizes, doc = _sizes(starts, len(key)), batch.document_of(at)
+            shared = np.repeat(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts), sizes)
+            local = at[shared]
+            anchor = np.repeat(np.logical_or.reduceat(anchor, starts), sizes)
+            sent = ~shared
+            sent[starts] = True
+            key, where = key[sent], at[sent] * 2 + anchor[sent]
 
             def pack(s: slice, key=key, where=where) -> bytes:
                 return _pack(_steps(key[s]), where[s])
@@ -196,7 +207,7 @@ def _answer(batches: list[int], source: np.ndarray, found: np.ndarray, passed: l
 
 
 def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Positions whose block hash is an anchor and occurs in another batch as well."""
+    """Positions whose block hash is an anchor and occurs in more places."""
     sent, source, batches, passed = _gather(frame)
     if not sent:
         return _answer([], source, source, passed)
@@ -226,7 +237,7 @@ def _extend(window: int, parts: int) -> Callable:
             whole[texts.whole_windows(batch.first, window)] = True
             at = np.flatnonzero(near & whole)
             key = texts.window_hashes(batch.hashes, window, seed=1)[at]
-            second = texts.window_hashes(batch.hashes, window, seed=2)[at] >> np.uint64(32)
+            second = texts.window_hashes(batch.hashes, window, seed=2)[at] >> np.uint64(48)
             order = np.lexsort((second, key))
             key, second, at = key[order], second[order], at[order]
             ids = batch.ids[batch.document_of(at)]
@@ -261,7 +272,7 @@ def _settle(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
     """What was found in a batch, per document, as ascending word positions."""
-    first, ids, prints, local = _unpack(frame.loc[frame["kind"] == _TABLE, "data"].iloc[0])
+    first, ids, print_, more, local = _unpack(frame.loc[frame["kind"] == _TABLE, "data"].iloc[0])
     found = [_unpack(d)[0] for d in frame.loc[frame["kind"] == _ENTRIES, "data"]]
     at = np.unique(np.concatenate([local, *found])).astype(np.int64)
     first = first.astype(np.int64)
@@ -269,24 +280,26 @@ def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
     own = np.unique(doc)
     cuts = np.searchsorted(doc, own, "left").tolist() + [len(at)]
     data = [_pack(at[a:b] - first[d]) for d, a, b in zip(own, cuts, cuts[1:], strict=False)]
-    return pd.DataFrame({"_id": _signed(ids)[own], "_print": _signed(prints)[own], "_found": data})
+    return pd.DataFrame({"_own": _signed(ids)[own], "_print": _signed(print_)[own], "_more": _signed(more)[own], "_found": data})
 
 
 def _round(shipped: DataFrame, meet: Callable) -> DataFrame:
     met = shipped.groupBy("part").applyInPandas(meet, "batch bigint, kind int, data binary")
-    found = met.groupBy("batch").applyInPandas(_by_document, "_id bigint, _print bigint, _found binary")
-    # rows equal in id and text have found the same; either will do
-    return found.groupBy("_id", "_print").agg(F.max("_found").alias("_found"))
+    found = met.groupBy("batch").applyInPandas(_by_document, "_own bigint, _print bigint, _more bigint, _found binary")
+    # rows left with equal texts have equal ids too and have found the same; either will do
+    return found.groupBy(*_PRINT).agg(F.max("_own").alias("_own"), F.max("_found").alias("_found"))
 
 
 def _cut(window: int) -> Callable:
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
             n_words, n_removed, kept = [], [], []
-            for text, found in zip(rows.column("text"), rows.column("_found"), strict=True):
-                words = (text.as_py() or "").encode().split()
+            for text, found, copy in zip(rows.column("text"), rows.column("_found"), rows.column("_copy"), strict=True):
+                words = text.as_py().encode().split()
                 n_words.append(len(words))
-                if (found := found.as_py()) is not None:
+                if copy.as_py():
+                    words = words if len(words) < window else []
+                elif (found := found.as_py()) is not None:
                     gone = texts.covered(len(words), _unpack(found)[0].astype(np.int64), window)
                     words = [words[i] for i in np.flatnonzero(~gone).tolist()]
                 n_removed.append(n_words[-1] - len(words))
@@ -312,14 +325,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(text).alias("_print"), text.alias("text")
+        "doc_id",
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("_id"),
+        F.xxhash64(text).alias("_print"),
+        F.xxhash64(F.lit(1), text).alias("_more"),
+        text.alias("text"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, total // GROUP_BYTES)
     bits = min(64, max(36, total.bit_length() + 10))
-    hits = _round(rows.select("_id", "_print", "text").mapInArrow(_probe(window, bits, parts), _SHIPPED), _meet)
-    extended = rows.join(hits, ["_id", "_print"]).mapInArrow(_extend(window, parts), _SHIPPED)
-    repeats = _round(extended, _settle)
+    copied = rows.groupBy(*_PRINT).agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    copied = materialise(copied.select(*_PRINT, "_least"), "copied-texts")
+    marked = rows.join(copied, _PRINT, "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)))
+    # all three steps read the same columns by the same key, so that the texts are dealt out once
+    whole = marked.where("NOT _copy").select(*rows.columns)
+    hits = _round(whole.mapInArrow(_probe(window, bits, parts), _SHIPPED), _meet)
+    extended = rows.join(hits, _PRINT).where("_id = _own")
+    repeats = _round(extended.select(*rows.columns, "_found").mapInArrow(_extend(window, parts), _SHIPPED), _settle)
     schema = f"doc_id {id_type.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    return rows.join(repeats, ["_id", "_print"], "left").mapInArrow(_cut(window), schema)
-
+    return marked.join(repeats.drop("_own"), _PRINT, "left").mapInArrow(_cut(window), schema)

@@ -187,7 +187,11 @@ def read_records(index: DataFrame, with_payload: bool = True, gap: int = GAP_BYT
                     found.append(own if with_payload else own | {"payload": None})
                 yield pa.RecordBatch.from_pylist(found, schema=_READ)
 
-    out = ranges(index, gap, most).select("file", "start", "end", "records").mapInArrow(work, _RECORD)
+    # dealt out by what there is to read; the index itself is small and would be gathered in few tasks
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, total // most)
+    spans = ranges(index, gap, most).select("file", "start", "end", "records").repartition(tasks, "file", "start")
+    out = spans.mapInArrow(work, _RECORD)
     return out if with_payload else out.drop("payload")
 
 
