@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import anchors, containment, disclosure, divergence, hash_tree, language_mix, packing, simhash, token_scan, warc
@@ -50,7 +50,11 @@ def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), "private", with_text=False)
     base, terms = F.col("private.base"), F.col("private.terms")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in disclosure.KINDS]
+
+    def count_of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count_of(kind) for kind in disclosure.KINDS]
     own = disclosure.digest(base)
     spans = F.concat_ws(",", F.when(F.size(base) > 0, own), F.when(F.size(terms) > 0, disclosure.digest(terms)))
     return found.select("doc_id", *counts, F.sha2(own.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
