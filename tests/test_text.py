@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.html import html_text, parsed_text
+from textloom.functions.html import html_text
 
 
 def column(spark, texts, expr):
@@ -104,7 +104,15 @@ def test_html(spark):
     ]
     want = ["Hi there Example text", "a b\n c d <e> &lt;&&#38; &#0;&#xD800; कक &unknown;", "", "no markup < here & there", "open tag", "a b c d"]
     assert column(spark, pages, html_text) == want
-    assert column(spark, pages[:1] + [None], parsed_text) == [want[0], None]
+
+
+def test_html_quotes_and_names(spark):
+    pages = [
+        "<p>it&apos;s</p>", '<a title="x > y">link</a> z', "a&nbspb &copy2 &ampx &notit;", "<p title=it's>don't</p>", "<i a='>\">'>k</i>",
+        "1 &NotEqualTilde; 2 &fjlig; &semi;&equals; &unknown; &#39;", '<b a="open>t</b>', "<a " + "=" * 50_000 + ">x",
+    ]
+    want = ["it's", "link z", "a\xa0b ©2 &x ¬it;", "don't", "k", "1 ≂̸ 2 fj ;= &unknown; '", "t", "x"]
+    assert column(spark, pages, html_text) == want
 
 
 def test_spaces(spark):

@@ -141,3 +141,17 @@ def test_pattern_pieces_like_the_regex_library(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     got = [r.p for r in df.select(words.pattern_pieces(F.col("t")).alias("p")).collect()]
     assert got == [regex.findall(words.SPLIT_PATTERN, t) for t in texts]
+
+
+def test_all_words_are_ranked_and_unknown_ids_fail(spark):
+    rows = [(f"w{i:03d}", 1 + i % 7) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word string, n bigint").repartition(5)
+    want = ["<|endoftext|>", "<|unk|>", *[w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]]
+    vocab = words.ranked_vocabulary(counts)
+    assert sorted((r.id, r.token) for r in vocab.collect()) == list(enumerate(want))
+    assert sorted(r.id for r in words.ranked_vocabulary(counts, 10).collect()) == list(range(12))
+    df = spark.createDataFrame([(0, [2, 999])], "i int, ids array<int>")
+    for limit in (10_000, 0):
+        with pytest.raises(Exception, match="id not in vocabulary"):
+            enc.decode(df, F.col("ids"), vocab, ["i"], word_end=None, limit=limit).collect()
+        assert enc.decode(df, F.col("ids"), vocab, ["i"], word_end=None, limit=limit, unk="?").first().text == f"{want[2]} ?"

@@ -3,17 +3,15 @@
 Comments, ``script`` and ``style`` blocks and tags end a text node; every text
 node is stripped and nodes are joined by one space. Whitespace inside a node is
 kept. Malformed markup is read by these rules, not by a browser's repair rules.
-``parsed_text`` offers the standard library's parser instead.
+A ``>`` in a quoted attribute value does not end its tag.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions.text import SPACES, let, strip
 
@@ -21,24 +19,28 @@ _NODE_END = "\ue000"  # private use: stands for a markup boundary
 
 # One pass, so that a comment in a script and a script in a comment end where they should.
 # What is never closed runs to the end of the page.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""  # a quote opens a value only behind its equals sign
 _MARKUP = (
-    r"(?is)<(?:!--.*?(?:-->|\z)|script\b[^>]*>.*?(?:</script\s*>|\z)|style\b[^>]*>.*?(?:</style\s*>|\z)"
-    r"|[!/?a-z][^>]*(?:>|\z))"
+    rf"(?is)<(?:!--.*?(?:-->|\z)|script\b{_ATTRIBUTES}>.*?(?:</script\s*>|\z)|style\b{_ATTRIBUTES}>.*?(?:</style\s*>|\z)"
+    rf"|[!?][^>]*+(?:>|\z)|[/a-z]{_ATTRIBUTES}(?:>|\z))"
 )
-_ENTITY = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Names of old stand without a semicolon too, the longest one counts.
+_BARE = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name)))
+_ENTITIES = ("^((?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)", f"^({_BARE})")
 
 
 def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-_NAMED = "".join(f";{name}={chr(point)}" for name, point in sorted(name2codepoint.items()))
+_FILL = "\ue001"  # private use: fills a single character up to two
+_NAMED = "".join(f";{name[:-1]}={chars:{_FILL}<2}" for name, chars in sorted(html5.items()) if name.endswith(";"))
 
 
 def _entity_char(name: Column) -> Column:
     """The character of an entity name, null when the name is unknown."""
     at = F.instr(F.lit(_NAMED), F.concat(F.lit(";"), name, F.lit("=")))
-    known = F.when(at > 0, F.substr(F.lit(_NAMED), at + F.length(name) + 2, F.lit(1)))
+    known = F.when(at > 0, F.replace(F.substr(F.lit(_NAMED), at + F.length(name) + 2, F.lit(2)), F.lit(_FILL), F.lit("")))
     hexadecimal = F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")
     decimal = F.substr(name, F.lit(2)).cast("bigint")
     number = F.when(name.rlike("^#[xX]"), hexadecimal).otherwise(decimal)
@@ -60,11 +62,12 @@ def decode_entities(col: Column) -> Column:
     def decode(part: Column, i: Column) -> Column:
         plain = F.concat(F.lit("&"), part)
 
-        def replaced(name: Column) -> Column:
-            rest = F.substr(part, F.length(name) + 2)
-            return let(_entity_char(name), lambda char: F.coalesce(F.concat(char, rest), plain))
+        def replaced(found: Column) -> Column:
+            rest = F.substr(part, F.length(found) + 1)
+            return let(_entity_char(F.rtrim(found, F.lit(";"))), lambda char: F.concat(char, rest))
 
-        return F.when(i == 0, part).otherwise(let(F.regexp_extract(part, _ENTITY, 1), replaced))
+        tried = [let(F.regexp_extract(part, pattern, 1), replaced) for pattern in _ENTITIES]
+        return F.when(i == 0, part).otherwise(F.coalesce(*tried, plain))
 
     whole = F.array_join(F.transform(F.split(col, "&", -1), decode), "")
     return F.when(F.contains(col, F.lit("&")), whole).otherwise(col)
@@ -74,36 +77,3 @@ def html_text(col: Column) -> Column:
     out = let(F.regexp_replace(col, _MARKUP, _NODE_END), decode_entities)
     out = F.regexp_replace(out, f"(?<![{SPACES}])[{SPACES}]*+{_NODE_END}[{SPACES}{_NODE_END}]*", " ")
     return strip(out)
-
-
-@F.pandas_udf(T.StringType())
-def parsed_text(pages: pd.Series) -> pd.Series:
-    """``html_text`` by the standard library's tolerant parser (Python workers)."""
-    from html.parser import HTMLParser
-
-    class Nodes(HTMLParser):
-        def __init__(self) -> None:
-            super().__init__(convert_charrefs=True)
-            self.found: list[str] = []
-            self.hidden = 0
-
-        def handle_starttag(self, tag, attrs):
-            self.hidden += tag in ("script", "style")
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style") and self.hidden:
-                self.hidden -= 1
-
-        def handle_data(self, data):
-            if not self.hidden and data.strip():
-                self.found.append(data.strip())
-
-    def text(page: str | None) -> str | None:
-        if page is None:
-            return None
-        nodes = Nodes()
-        nodes.feed(page)
-        nodes.close()
-        return " ".join(nodes.found)
-
-    return pages.map(text)

@@ -49,13 +49,13 @@ def is_interrupted_artifact(name: Column) -> Column:
 
 
 def captured_step(name: Column) -> Column:
-    """Step number of ``model_pg_<step>_steps.pth`` anywhere in the name, else null."""
+    """Step number of ``model_pg_<step>_steps.pth`` anywhere in the name, else null; so is one beyond 64 bits."""
     digits = F.regexp_extract(name, r"model_pg_(\d+)_steps\.pth", 1)
-    return F.when(digits != "", digits.cast("bigint"))
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def split_step(name: Column) -> Column:
     """Step between the last prefix and the first suffix behind it; null if no number."""
     middle = F.substring_index(F.substring_index(name, ARTIFACT_PREFIX, -1), STEPS_SUFFIX, 1)
     known = F.contains(name, F.lit(ARTIFACT_PREFIX)) & F.contains(name, F.lit(STEPS_SUFFIX))
-    return F.when(known & middle.rlike(r"^[0-9]+\z"), middle.cast("bigint"))
+    return F.when(known & middle.rlike(r"^[0-9]+\z"), middle.try_cast("bigint"))

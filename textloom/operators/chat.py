@@ -58,9 +58,11 @@ def render_conversations(
     A conversation of up to ``turns_per_part`` turns is one row. A longer one
     continues in further parts, so that no row and no task has to hold a
     conversation of any length; concatenating the parts gives the whole.
+    A null text is an empty one, a null role the default one.
     """
     part = F.floor(F.col(turn) / turns_per_part).cast("bigint")
-    message = F.struct(turn, turn_text(F.col(text), F.col(role)).alias("said"))
+    said = turn_text(F.coalesce(text, F.lit("")), F.coalesce(role, F.lit(USER_ROLE)))
+    message = F.struct(turn, said.alias("said"))
     parts = df.groupBy(*key, part.alias("part")).agg(
         F.count("*").alias("n_turns"), F.array_sort(F.collect_list(message)).alias("_m")
     )

@@ -3,8 +3,9 @@
 Encoding and decoding look a bounded vocabulary up once per token. While the
 vocabulary is at most ``MAX_LOOKUP`` rows, checked by a count, it travels to
 the tasks as one dictionary and texts are mapped in place, with no shuffle at
-all; a larger one is joined, with the token stream salted against hot words: a
-word that is a third of all tokens is spread over every shuffle partition.
+all; a larger one is joined. Ids follow frequency, so the words that can be hot
+are those of the first ``FREQUENT`` ids: only these are repeated once per shuffle
+partition and their tokens salted.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_LOOKUP = 300_000  # vocabulary rows that may go to every task
+FREQUENT = 1024  # ids whose tokens are salted when the vocabulary is joined
 _CACHE = 200_000  # words a task remembers
 
 UNK_ID = 1
@@ -60,10 +62,18 @@ def encode_words(
 
 
 def _salted_join(tokens: DataFrame, vocab: DataFrame, on: str) -> DataFrame:
-    """Left join of a token stream with the vocabulary, repeated once per salt."""
+    """Left join of a token stream with the vocabulary, frequent words salted."""
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = vocab.select("token", "id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_salt"))
-    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in tokens.columns if c != on]), F.lit(n)).cast("int"))
+    frequent, one = F.col("id") < FREQUENT, F.lit(0)
+    salts = F.when(frequent, F.sequence(one, F.lit(n - 1))).otherwise(F.array(one))
+    spread = vocab.select("token", "id", F.explode(salts).alias("_salt"))
+    salt = F.pmod(F.xxhash64(*[c for c in tokens.columns if c != on]), F.lit(n)).cast("int")
+    if on == "id":
+        salted = tokens.withColumn("_salt", F.when(frequent, salt).otherwise(one))
+    else:
+        head = vocab.where(frequent).select("token", F.lit(True).alias("_frequent"))  # FREQUENT rows at most: ids are unique
+        marked = tokens.join(F.broadcast(head), on, "left")
+        salted = marked.withColumn("_salt", F.when(F.col("_frequent"), salt).otherwise(one)).drop("_frequent")
     return salted.join(spread, [on, "_salt"], "left")
 
 
@@ -79,8 +89,11 @@ def _encode_by_join(df, words, vocab, key, name, unk_id) -> DataFrame:
 
 
 def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: str = "text", word_end: str | None = "</w>",
-           limit: int = MAX_LOOKUP) -> DataFrame:
-    """Text of an id array: pieces joined, the word-end mark read as a space."""
+           limit: int = MAX_LOOKUP, unk: str | None = None) -> DataFrame:
+    """Text of an id array: pieces joined, the word-end mark read as a space.
+
+    An id that is not in the vocabulary reads as ``unk`` or, if that is None, fails.
+    """
     rows = lookup_rows(vocab.select("token", "id"), limit)
     if rows is None:
         piece_lists = _pieces_by_join(df, ids, vocab, key)
@@ -93,6 +106,8 @@ def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: s
             return batch.map(lambda xs: [get(x) for x in xs], na_action="ignore")
 
         piece_lists = df.withColumn("_pieces", pieces(ids))
+    missing = F.raise_error(F.lit("id not in vocabulary")).cast("string") if unk is None else F.lit(unk)
+    piece_lists = piece_lists.withColumn("_pieces", F.transform("_pieces", lambda p: F.coalesce(p, missing)))
     if word_end is None:
         joined = F.array_join("_pieces", " ")
     else:

@@ -22,9 +22,9 @@ def softmax(
     df: DataFrame, grp: Sequence[str], item: str = "item", score: str = "score", temperature: float = 1.0,
     hot: HotGroups | None = None,
 ) -> DataFrame:
-    """Add ``prob``: softmax of the score over the group at a temperature above 0."""
+    """Add ``prob``: softmax of the score over the group; temperature 0 leaves the scores unscaled."""
     hot = hot or find_hot(df, grp)
-    scaled = df.withColumn("_x", F.col(score) / F.lit(temperature))
+    scaled = df.withColumn("_x", F.col(score) / F.lit(temperature) if temperature else F.col(score))
     peaked = group_values(scaled, hot, item, {"_max": (F.max, "_x")})
     powered = peaked.withColumn("_e", F.exp(F.col("_x") - F.col("_max")))
     summed = group_values(powered, hot, item, {"_sum": (F.sum, "_e")})

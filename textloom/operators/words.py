@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import SPACES, split_words
+from textloom.plans.shared_dir import materialise
 
 # Words for the byte-pair vocabulary: one punctuation mark, or a run without any.
 _MARKS = r"\p{P}!-/:-@\[-`{-~"
@@ -34,19 +35,30 @@ def word_counts(df: DataFrame, text: str = "text", pattern: str = WORD_PATTERN)
     return df.select(F.explode(words_of(F.col(text), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def ranked_vocabulary(counts: DataFrame, size: int, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
+def ranked_vocabulary(counts: DataFrame, size: int | None = None, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """``(token, id, is_special)``: specials first, then words by count and name.
 
-    ``size`` bounds the words taken, so the one row that ranks them is bounded
-    too.
+    All words are ranked unless ``size`` asks for the most frequent ones only.
+    They are written in ranges along their order; each range is numbered by
+    itself and shifted by the words of the ranges before it, so what is ordered
+    as a whole is one row per range.
     """
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))).alias("a"))
-    words = ranked.select(F.posexplode("a").alias("i", "w")).select(
-        F.col("w.word").alias("token"), (F.col("i") + len(specials)).cast("int").alias("id"), F.lit(False).alias("is_special")
+    spark = counts.sparkSession
+    order = [F.desc("n"), F.asc("word")]
+    ranges = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    ranged = materialise(ranges.select("word", "n", F.spark_partition_id().alias("_range")), "ranked-words")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = totals.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_at", inside).join(F.broadcast(before), "_range")
+    words = numbered.select(
+        F.col("word").alias("token"), (F.col("_before") + F.col("_at") - 1 + len(specials)).cast("int").alias("id"), F.lit(False).alias("is_special")
     )
+    if size is not None:
+        words = words.where(F.col("id") < size + len(specials))
     head = [(t, i, True) for i, t in enumerate(specials)]
-    return counts.sparkSession.createDataFrame(head, "token string, id int, is_special boolean").unionByName(words)
+    return spark.createDataFrame(head, "token string, id int, is_special boolean").unionByName(words)
 
 
 def add_specials(vocab: DataFrame, tokens: list[str], first_id: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.html import decode_entities, html_text, parsed_text
+from textloom.functions.html import decode_entities, html_text
 from textloom.operators.chat import turn_text
 from textloom.plans.registry import query, table, text_table
 from textloom.sources.tables import non_empty
@@ -74,15 +74,6 @@ def _(spark, d):
     return text_table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-@query(
-    "html_to_text_parsed",
-    "D1 L2",
-    f"SELECT page_id, {sql_collapse(sql_html('html'))} AS text FROM pages",
-)
-def _(spark, d):
-    return text_table(spark, d, "pages").select("page_id", tx.collapse_spaces(parsed_text("html")).alias("text"))
-
-
 @query(
     "decode_entities",
     "D1",

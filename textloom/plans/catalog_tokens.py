@@ -15,7 +15,6 @@ from textloom.sinks import writers
 from textloom.sources.legacy_windows import parse_legacy, to_legacy
 
 L, S = 32, 24  # window and stride of the registered queries
-VOCAB = 5000  # words of the closed vocabulary
 MERGES = 40  # merges of the byte-pair queries
 BATCH = 16
 
@@ -31,7 +30,7 @@ _TOKENS_SQL = f"""WITH cleaned AS (SELECT doc_id, source, {_CLEAN_SQL} || ' <|en
   w AS (SELECT doc_id, source, unnest(a) AS token, generate_subscripts(a, 1) AS i
         FROM (SELECT doc_id, source, regexp_extract_all(text, '[^{tx.SPACES}]+') AS a FROM cleaned)),
   v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id
-        FROM (SELECT token, count(*) AS n FROM w WHERE token <> '<|endoftext|>' GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB})
+        FROM (SELECT token, count(*) AS n FROM w WHERE token <> '<|endoftext|>' GROUP BY token)
         UNION ALL SELECT '<|endoftext|>', 0),
   k AS (SELECT doc_id, source, list(coalesce(id, 1) ORDER BY i) AS ids FROM w LEFT JOIN v USING (token) GROUP BY doc_id, source),
   t AS (SELECT source, flatten(list(ids ORDER BY doc_id)) AS ids FROM k GROUP BY source)"""
@@ -50,7 +49,7 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def _closed_vocabulary(cleaned: DataFrame) -> DataFrame:
     counts = cleaned.select(F.explode(words.word_list(F.col("text"))).alias("word")).where(F.col("word") != tx.END_OF_TEXT)
-    return words.ranked_vocabulary(counts.groupBy("word").agg(F.count("*").alias("n")), VOCAB)
+    return words.ranked_vocabulary(counts.groupBy("word").agg(F.count("*").alias("n")))
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -48,16 +48,16 @@ def sql_over_file(spark: SparkSession, path: str, query: str, view: str = "data"
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str], sep: str = ",") -> DataFrame:
-    """Quoted CSV with line breaks and fields of any size; only ``columns`` are parsed."""
+    """Quoted CSV with line breaks and fields of any size; only ``columns`` are parsed. A row that does not fit fails."""
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("sep", sep)
     reader = reader.option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1)
-    reader = reader.option("lineSep", "\n")
+    reader = reader.option("lineSep", "\n").option("mode", "FAILFAST")
     return reader.csv(path).select(*columns)
 
 
 def scan_csv_inferred(spark: SparkSession, path: str, sep: str = ",", sample: float = 1.0) -> DataFrame:
-    """CSV whose types are inferred from a share of its rows."""
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    """CSV whose types are inferred from a share of its rows; a row that does not fit them fails."""
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("mode", "FAILFAST")
     return reader.option("inferSchema", True).option("samplingRatio", sample).csv(path)
 
 
