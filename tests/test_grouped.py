@@ -140,6 +140,25 @@ def test_newest_repetitions(spark, sizes):
     assert {(r.g, r.item): r.score for r in out} == want
 
 
+def test_entries_of_the_prompt_count_as_seen(spark, sizes):
+    hist = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z")], "g string, pos bigint, item string")
+    scores = spark.createDataFrame([("a", x, 8.0) for x in "xyz"], "g string, item string, score double")
+    out = ranking.repetition_penalty(scores, hist, ["g"], 2.0, newest=2, prompt=2)
+    assert {r.item: r.score for r in out.collect()} == {"x": 8.0, "y": 4.0, "z": 8.0}
+
+
+def test_more_hot_groups_than_are_sent(spark, monkeypatch):
+    for name, value in {"HOT_ROWS": 20, "HOT_PARTS": 1, "ROWS_PER_SALT": 8}.items():
+        monkeypatch.setattr(grouped, name, value)
+    df = spark.createDataFrame([(i % 3, i, i % 7) for i in range(90)] + [(9, 500, 1)], "g int, k bigint, v int")
+    hot = grouped.find_hot(df, ["g"])
+    assert not hot.few and hot.table.count() == 3
+    out = grouped.group_values(df, hot, "k", {"s": (F.sum, "v")}).select("g", "s").distinct().collect()
+    assert {r.g: r.s for r in out} == {g: sum(i % 7 for i in range(90) if i % 3 == g) for g in range(3)} | {9: 1}
+    numbered = grouped.row_numbers(df, ["g"], ["k"], hot=hot).collect()
+    assert {(r.g, r.k): r.rn for r in numbered} == {(i % 3, i): i // 3 for i in range(90)} | {(9, 500): 0}
+
+
 def test_usual_groups_share_one_shuffle(spark, log):
     _, df = log
     df = df.withColumn("score", F.col("v").cast("double"))

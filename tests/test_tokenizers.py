@@ -155,3 +155,28 @@ def test_all_words_are_ranked_and_unknown_ids_fail(spark):
         with pytest.raises(Exception, match="id not in vocabulary"):
             enc.decode(df, F.col("ids"), vocab, ["i"], word_end=None, limit=limit).collect()
         assert enc.decode(df, F.col("ids"), vocab, ["i"], word_end=None, limit=limit, unk="?").first().text == f"{want[2]} ?"
+
+
+def test_long_words_split_like_the_plain_rule():
+    from random import Random
+
+    from textloom.operators.encode import _word_pieces
+
+    def plain(word, ranks, end):
+        pieces = [*word[:-1], word[-1] + end]
+        while True:
+            found = [(ranks[p], i) for i, p in enumerate(zip(pieces, pieces[1:])) if p in ranks]
+            if not found:
+                return pieces
+            _, at = min(found)
+            pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+
+    draw = Random(5)
+    symbols = ["a", "b", "c", "ab", "ba", "aa", "bc", "aab", "abab", "aaaa", "c</w>", "bc</w>", "a</w>"]
+    pairs = [(x, y) for x in symbols for y in symbols if not x.endswith("</w>")]
+    for _ in range(200):
+        ranks = {p: i for i, p in enumerate(draw.sample(pairs, 30))}
+        word = "".join(draw.choices("abc", k=draw.randint(1, 60)))
+        assert _word_pieces(word, ranks, "</w>") == plain(word, ranks, "</w>")
+    long = _word_pieces("ab" * 100_000, {("a", "b"): 0, ("ab", "ab"): 1}, "</w>")
+    assert "".join(long) == "ab" * 100_000 + "</w>" and len(long) == 49_999 + 3  # the last "b" ends the word: abab.., ab, a, b</w>

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,18 +127,32 @@ def _pieces_by_join(df, ids, vocab, key) -> DataFrame:
 
 
 def _word_pieces(word: str, ranks: dict[tuple[str, str], int], word_end: str) -> list[str]:
-    """Split one word: merge the leftmost pair of the lowest rank while there is one."""
-    none = len(ranks)
-    pieces = [*word[:-1], word[-1] + word_end]
-    steps = [ranks.get(pair, none) for pair in zip(pieces, pieces[1:])]
-    while steps and (best := min(steps)) < none:
-        at = steps.index(best)
-        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
-        del steps[at]
-        for i in (at - 1, at):
-            if 0 <= i < len(steps):
-                steps[i] = ranks.get((pieces[i], pieces[i + 1]), none)
-    return pieces
+    """Split one word: merge the leftmost pair of the lowest rank while there is one.
+
+    Pairs wait in a heap by (rank, place) and pieces know their neighbours, so
+    a word of n characters takes n log n steps. A pair that has changed since
+    it was put in is skipped.
+    """
+    pieces: list[str | None] = [*word[:-1], word[-1] + word_end]
+    n = len(pieces)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    waiting = [(ranks[pair], at) for at, pair in enumerate(zip(pieces, pieces[1:])) if pair in ranks]
+    heapify(waiting)
+    while waiting:
+        rank, at = heappop(waiting)
+        gone = after[at]
+        if gone == n or ranks.get((pieces[at], pieces[gone])) != rank:
+            continue
+        pieces[at], pieces[gone] = pieces[at] + pieces[gone], None
+        after[at] = after[gone]
+        if after[at] < n:
+            before[after[at]] = at
+        for left in (before[at], at):
+            if left >= 0 and after[left] < n:
+                pair = pieces[left], pieces[after[left]]
+                if pair in ranks:
+                    heappush(waiting, (ranks[pair], left))
+    return [p for p in pieces if p is not None]
 
 
 def _merge_ranks(merges: DataFrame) -> dict[tuple[str, str], int]:

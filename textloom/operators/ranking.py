@@ -122,12 +122,13 @@ def weighted_draw(df: DataFrame, grp: Sequence[str], item: str = "item", prob: s
 
 def repetition_penalty(
     df: DataFrame, history: DataFrame, grp: Sequence[str], penalty: float, item: str = "item", score: str = "score",
-    pos: str = "pos", newest: int | None = None, hot: HotGroups | None = None,
+    pos: str = "pos", newest: int | None = None, hot: HotGroups | None = None, prompt: int = 0,
 ) -> DataFrame:
     """Divide the score of items that the group's history repeats.
 
     Whole history: once per occurrence after the first. With ``newest`` only
-    the last ``newest`` entries count, each once if the item came before it.
+    the last ``newest`` entries count, each once if the item came before it or
+    the entry lies in the prompt, the positions below ``prompt``.
     ``hot`` is about the history.
     """
     grp = list(grp)
@@ -136,7 +137,7 @@ def repetition_penalty(
     else:
         cut = group_cutoff(history, hot or find_hot(history, grp), pos, F.col(pos), newest, "_cut")
         n_late = F.count(F.when(F.col(pos) >= F.col("_cut"), 1))
-        first_is_late = F.when(n_late == F.count("*"), F.least(n_late, F.lit(1))).otherwise(F.lit(0))
+        first_is_late = F.when((n_late == F.count("*")) & (F.min(pos) >= prompt), F.least(n_late, F.lit(1))).otherwise(F.lit(0))
         counted = cut.groupBy(*grp, item).agg((n_late - first_is_late).alias("_m"))
     joined = df.join(counted, [*grp, item], "left")
     divided = F.col(score) / F.pow(F.lit(float(penalty)), F.coalesce("_m", F.lit(0)))

@@ -480,6 +480,29 @@ def _(spark, d):
     return out.select("doc_id", joined("ids").alias("ids"))
 
 
+_MARKED_IDS_SQL = f"""{_TRAIN_SQL},
+  bk AS (SELECT d.doc_id, d.source, list_append(coalesce(e.ids, []), 0) AS ids
+         FROM documents d LEFT JOIN ({sql_encoded('doc_id', 'documents', 'text')}) e ON e.doc_id = d.doc_id),
+  bt AS (SELECT source, flatten(list(ids ORDER BY doc_id)) AS ids FROM bk GROUP BY source)"""
+
+
+@query(
+    "bpe_packed_windows",
+    "F6 G1 G2 G3",
+    f"""{_MARKED_IDS_SQL} SELECT source, CAST(st // {S} AS BIGINT) AS win, CAST(len(ids) AS BIGINT) AS n_tokens,
+        array_to_string(ids[st + 1:st + {L}], ',') AS input_ids, array_to_string(ids[st + 2:st + {L} + 1], ',') AS target_ids
+        FROM (SELECT source, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM bt)""",
+)
+def _(spark, d):
+    docs = text_table(spark, d, "documents")
+    vocab, merges, _ = _model(spark, d)
+    marked = docs.select("doc_id", "source", tx.with_suffix(F.coalesce("text", F.lit(""))).alias("text"))
+    split_up = enc.words_with_specials(F.col("text"), [tx.END_OF_TEXT], words.WORD_PATTERN)
+    ids = enc.encode(marked, split_up, merges, vocab).select("doc_id", "source", "ids")
+    tokens = materialise(pack.with_sizes(ids), "bpe-tokens")
+    return _shown(pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids"), "source", "win", "n_tokens")
+
+
 _ITEM_WORDS = f"SELECT unnest({sql_words('text')}) FROM benchmark"
 
 

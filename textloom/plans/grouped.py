@@ -12,9 +12,9 @@ the group columns.
   from a small table. The marked rows are written once, as both sides of that
   join read them.
 
-A group is hot above ``HOT_ROWS`` rows and above one part in ``HOT_PARTS`` of the
-table. There are at most ``HOT_PARTS`` such groups, whatever the table's size,
-which bounds the tables that are collected and broadcast here.
+A group is hot above ``HOT_ROWS`` rows, at any size of the table. Up to
+``HOT_PARTS`` hot groups travel to the tasks; more are written as a table and
+joined.
 
 Group columns must not be null.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from textloom.plans.shared_dir import materialise
 
 HOT_ROWS = 1_000_000
-HOT_PARTS = 100_000
+HOT_PARTS = 100_000  # hot groups that may go to every task
 
 KEYS_PER_BUCKET = 1 << 16  # key range of a bucket: at most this many rows, keys being unique
 BUCKETS_PER_RANGE = 1 << 12  # buckets per second-level range
@@ -43,19 +43,25 @@ class HotGroups:
 
     group: tuple[str, ...]
     table: DataFrame | None
+    few: bool = True
+
+    def sent(self, per_group: DataFrame) -> DataFrame:
+        """A table of one row per hot group, to be joined: broadcast if they are few."""
+        return F.broadcast(per_group) if self.few else per_group
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Add ``_hot``, null for usual groups, and write the rows once."""
-        marked = df.drop("_hot").join(F.broadcast(self.table), list(self.group), "left")
+        marked = df.drop("_hot").join(self.sent(self.table), list(self.group), "left")
         return materialise(marked.select(*df.columns, "_hot"), "marked")
 
 
 def find_hot(df: DataFrame, group: Sequence[str]) -> HotGroups:
     """Look for hot groups (runs a job)."""
     counts = df.groupBy(*group).agg(F.count("*").alias("_hot"))
-    total = counts.agg(F.sum("_hot")).scalar()
-    large = counts.where((F.col("_hot") > HOT_ROWS) & (F.col("_hot") > total / HOT_PARTS))
-    rows = large.collect()  # at most HOT_PARTS
+    large = counts.where(F.col("_hot") > HOT_ROWS)
+    rows = large.limit(HOT_PARTS + 1).collect()
+    if len(rows) > HOT_PARTS:
+        return HotGroups(tuple(group), materialise(large, "hot-groups"), few=False)
     table = df.sparkSession.createDataFrame(rows, large.schema) if rows else None
     return HotGroups(tuple(group), table)
 
@@ -190,7 +196,7 @@ def group_values(
     rows = rows.select("*", *[f(c).over(together).alias(f"_local_{n}") for n, (f, c) in aggs.items()])
     # one row per hot group
     whole = marked.where("_hot IS NOT NULL").groupBy(*group).agg(*[f(c).alias(f"_whole_{n}") for n, (f, c) in aggs.items()])
-    joined = rows.join(F.broadcast(whole), group, "left")
+    joined = rows.join(hot.sent(whole), group, "left")
     return joined.select(*df.columns, *[F.coalesce(f"_whole_{n}", f"_local_{n}").alias(n) for n in aggs])
 
 
@@ -218,5 +224,5 @@ def group_cutoff(df: DataFrame, hot: HotGroups, spread_by: str, key: Column, k:
     best = best.select(*group, "_k", F.row_number().over(overall).alias("_r")).where(F.col("_r") <= k)
     whole = best.groupBy(*group).agg(F.min("_k").alias("_whole"))  # one row per hot group
 
-    joined = ranked.join(F.broadcast(whole), group, "left")
+    joined = ranked.join(hot.sent(whole), group, "left")
     return joined.select(*df.columns, F.coalesce("_whole", "_local").alias(name))
