@@ -124,3 +124,19 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, PROSE, None)], "doc_id bigint, text string, lang string")
     assert dv.judge(one, refs).select("quality.kept").first()[0]
     assert dv.judge(one.drop("lang"), refs).where(F.col("quality.n_words") > 0).count() == 1
+
+
+def test_texts_without_common_words_are_not_kept(spark):
+    rng = random.Random(6)
+    usual = "the of and to a in is it that was for on are with as his they be at one".split()
+    prose = lambda n: " ".join(rng.choice(usual) if rng.random() < 0.27 else f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n))
+    other = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n))
+    rows = [(i, prose(300), "en") for i in range(60)] + [(70 + i, prose(200), lang) for i, lang in enumerate(("en", None))]
+    rows += [(80, other(200), "en"), (81, other(200), None), (82, other(5_000), "en"), (83, other(40), "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    refs = dv.learn(docs)
+    found = {r.doc_id: r.quality for r in dv.judge(docs, refs).collect()}
+    assert all(found[i].kept for i in [*range(60), 70, 71]) and found[83].kept  # the last is too short to judge
+    assert not any(found[i].kept for i in (80, 81, 82))
+    assert all(found[i].class_distance <= dv.CLASS_DISTANCE and found[i].word_distance <= dv.WORD_DISTANCE for i in (80, 81, 82))
+    assert found[80].word_distance == pytest.approx(dv.without_common([s for _, s in refs.words["en"]]), abs=1e-3)

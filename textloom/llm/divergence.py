@@ -6,12 +6,19 @@ Jensen-Shannon distance; prose is near its reference, and lists of symbols,
 codes or a repeated word are far from it. Short documents have ragged histograms
 and are not judged.
 
+How far a text without any common word is depends on the share those words have
+in the reference (0.39 for 27 %), so the word distance is also held against that
+distance: from ``NO_COMMON`` of it on a text is far. A text of no known language
+shares few words with all languages together even if it is prose; it is far in
+this sense if it has next to no word that is common in any language.
+
 References come from all labelled documents; a document without a known
 language is compared with the reference of all labelled documents together.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +35,7 @@ JUDGED_WORDS = 50  # shorter documents pass
 JUDGED_COMMON = 15  # common words expected at least, or the word histogram is not judged
 CLASS_DISTANCE = 0.3
 WORD_DISTANCE = 0.53
+NO_COMMON = 0.95  # of the distance of a text without common words
 
 
 def let(value: Column, body) -> Column:
@@ -163,6 +171,26 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
+def _jensen_shannon(p: float, q: float) -> float:
+    """Jensen-Shannon distance of the shares (p, 1 - p) and (q, 1 - q)."""
+    own = lambda x, y: x * math.log2(2 * x / (x + y)) if x > 0 else 0.0
+    return math.sqrt(max(0.0, (own(p, q) + own(q, p) + own(1 - p, 1 - q) + own(1 - q, 1 - p)) / 2))
+
+
+def without_common(shares: list[float]) -> float:
+    """The word distance of a text that uses none of the common words with these shares."""
+    return _jensen_shannon(0.0, min(1.0, sum(shares)))
+
+
+def _next_to_none(share: float) -> float:
+    """Common words up to this share are as good as none where ``share`` is usual."""
+    low, high = 0.0, share
+    for _ in range(50):
+        half = (low + high) / 2
+        low, high = (half, high) if _jensen_shannon(half, share) >= NO_COMMON * _jensen_shannon(0.0, share) else (low, half)
+    return low
+
+
 def _by_language(values: dict, kind: str) -> Column:
     """The document's language's value, or that of all languages."""
     own = [x for lang, v in values.items() if lang is not None for x in (F.lit(lang), v)]
@@ -205,9 +233,16 @@ def judge(docs: DataFrame, references: References, name: str = "quality") -> Dat
         expected = total(usual) * m("n_words")
         long = m("n_words") >= JUDGED_WORDS
         rows = rows.withColumn("_class", F.when(long, by_class)).withColumn("_word", F.when(long & (expected >= JUDGED_COMMON), by_word))
+        bounds = {k: F.lit(NO_COMMON * without_common([x for _, x in v])) for k, v in references.words.items()}
+        bounds[None] = F.lit(None).cast("double")  # prose of one language is as far from all of them together
+        least = min(sum(x for _, x in v) for k, v in references.words.items() if k is not None)
+        bound = _by_language(bounds, "double")
+        foreign = long & (least * m("n_words") >= JUDGED_COMMON) & (F.size(used) <= _next_to_none(least) * m("n_words"))
+        rows = rows.withColumn("_few", F.when(bound.isNotNull(), F.col("_word") >= bound).otherwise(foreign))
     else:
         rows = rows.withColumn("_class", F.lit(None).cast("double")).withColumn("_word", F.lit(None).cast("double"))
-    far = F.coalesce(F.col("_class") > CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("_word") > WORD_DISTANCE, F.lit(False))
+        rows = rows.withColumn("_few", F.lit(False))
+    far = F.coalesce(F.col("_class") > CLASS_DISTANCE, F.lit(False)) | F.coalesce((F.col("_word") > WORD_DISTANCE) | F.col("_few"), F.lit(False))
     found = F.struct(
         *[m(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         failed.alias("base_failed"),
