@@ -140,3 +140,15 @@ def test_texts_without_common_words_are_not_kept(spark):
     assert not any(found[i].kept for i in (80, 81, 82))
     assert all(found[i].class_distance <= dv.CLASS_DISTANCE and found[i].word_distance <= dv.WORD_DISTANCE for i in (80, 81, 82))
     assert found[80].word_distance == pytest.approx(dv.without_common([s for _, s in refs.words["en"]]), abs=1e-3)
+
+
+def test_pooled_words_count_in_every_language(spark):
+    # "shared" ranks behind 32 words of its own in either language, but first in both together
+    own = lambda lang: " ".join(f"{lang}{i} " * 6 for i in range(dv.COMMON)) + "shared " * 5
+    docs = spark.createDataFrame([(own("a"), "a"), (own("b") + " Shared", "b")], "text string, lang string")
+    refs = dv.learn(docs)
+    counts = Counter(w.lower() for t in (own("a"), own("b") + " Shared") for w in words_of(t))
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: dv.COMMON]
+    assert want[0] == ("shared", 11) and "shared" not in dict(refs.words["a"])
+    assert [w for w, _ in refs.words[None]] == [w for w, _ in want]
+    assert [s for _, s in refs.words[None]] == pytest.approx([n / counts.total() for _, n in want])

@@ -130,7 +130,7 @@ def learn(docs: DataFrame, common: int = COMMON) -> References:
 
     Counts are combined before the shuffle. What reaches the driver is one row
     of class counts and ``common`` words per language, checked by
-    ``MAX_LANGUAGES``.
+    ``MAX_LANGUAGES``, and the ``common`` words of all languages together.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").dropna()
     rows = rows.withColumn("_words", words(F.col("text")))
@@ -140,7 +140,11 @@ def learn(docs: DataFrame, common: int = COMMON) -> References:
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counted = rows.select("lang", F.explode("_words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    counted = counted.groupBy("lang", F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
+    lowered = counted.select("lang", F.lower("w").alias("w"), "n").repartition("w")  # serves both groupings below
+    counted = lowered.groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    words_in = counted.groupBy("w").agg(F.collect_list(F.struct("lang", "n")).alias("own"), F.sum("n").alias("n"))  # an entry a language
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.col("n")))
+    counted = words_in.select("w", F.explode(F.concat("own", whole)).alias("x")).select("x.lang", "w", "x.n")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
     top = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= common).orderBy("lang", "r").collect()
 
@@ -152,11 +156,7 @@ def learn(docs: DataFrame, common: int = COMMON) -> References:
     if counts:
         whole = [sum(c) for c in zip(*counts.values(), strict=True)]
         shares[None] = [x / max(1, sum(whole)) for x in whole]
-        pooled: dict[str, int] = {}
-        for r in top:
-            pooled[r["w"]] = pooled.get(r["w"], 0) + r["n"]
-        first = sorted(pooled.items(), key=lambda x: (-x[1], x[0]))[:common]
-        frequent[None] = [(w, n / sum(total.values())) for w, n in first]
+        frequent[None] = [(r["w"], r["n"] / sum(total.values())) for r in top if r["lang"] is None]
     return References(shares, frequent)
 
 
