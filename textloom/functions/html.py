@@ -33,14 +33,36 @@ def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-_FILL = "\ue001"  # private use: fills a single character up to two
-_NAMED = "".join(f";{name[:-1]}={chars:{_FILL}<2}" for name, chars in sorted(html5.items()) if name.endswith(";"))
+_LONGEST = max(len(name) for name in html5)
+_A = ord("A")  # a name begins with a letter
+
+
+def _names_by_place() -> str:
+    """Names and characters as `` name=chars ``, a line for each first letter and length."""
+    lines = [""] * ((ord("z") - _A + 1) * _LONGEST)
+    for name, chars in sorted(html5.items()):
+        if name.endswith(";") and chars != "\n":
+            lines[(ord(name[0]) - _A) * _LONGEST + len(name) - 1] += f" {name[:-1]}={chars} "
+    return "\n".join(lines)
+
+
+_NAMES = _names_by_place()
+
+
+def _named_char(name: Column) -> Column:
+    """The character of a name; only the names of its first letter and length are compared."""
+    place = F.when(F.length(name) < _LONGEST, (F.ascii(name) - _A) * _LONGEST + F.length(name))
+    entry = F.concat(F.lit(" "), name, F.lit("="))
+
+    def found(names: Column) -> Column:
+        rest = F.substr(names, F.instr(names, entry) + F.length(entry))
+        return F.when(F.contains(names, entry), F.substring_index(rest, " ", 1))
+
+    return F.when(name == "NewLine", F.lit("\n")).otherwise(let(F.get(F.split(F.lit(_NAMES), "\n", -1), place), found))
 
 
 def _entity_char(name: Column) -> Column:
     """The character of an entity name, null when the name is unknown."""
-    at = F.instr(F.lit(_NAMED), F.concat(F.lit(";"), name, F.lit("=")))
-    known = F.when(at > 0, F.replace(F.substr(F.lit(_NAMED), at + F.length(name) + 2, F.lit(2)), F.lit(_FILL), F.lit("")))
     hexadecimal = F.conv(F.substr(name, F.lit(3)), 16, 10).cast("bigint")
     decimal = F.substr(name, F.lit(2)).cast("bigint")
     number = F.when(name.rlike("^#[xX]"), hexadecimal).otherwise(decimal)
@@ -49,7 +71,7 @@ def _entity_char(name: Column) -> Column:
         valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
         return F.when(valid, _code_point(n))
 
-    return F.when(name.startswith("#"), let(number, numbered)).otherwise(known)
+    return F.when(name.startswith("#"), let(number, numbered)).otherwise(_named_char(name))
 
 
 def decode_entities(col: Column) -> Column:
@@ -64,7 +86,8 @@ def decode_entities(col: Column) -> Column:
 
         def replaced(found: Column) -> Column:
             rest = F.substr(part, F.length(found) + 1)
-            return let(_entity_char(F.rtrim(found, F.lit(";"))), lambda char: F.concat(char, rest))
+            char = let(_entity_char(F.rtrim(found, F.lit(";"))), lambda c: F.concat(c, rest))
+            return F.when(found != "", char)
 
         tried = [let(F.regexp_extract(part, pattern, 1), replaced) for pattern in _ENTITIES]
         return F.when(i == 0, part).otherwise(F.coalesce(*tried, plain))
