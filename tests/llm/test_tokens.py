@@ -26,9 +26,9 @@ ODD = [
 ]
 
 
-@pytest.mark.parametrize("memo", [1_500_000, 5])
+@pytest.mark.parametrize("memo", [48 << 20, 2000, 5])
 def test_ids_equal_those_of_whole_texts(monkeypatch, memo):
-    monkeypatch.setattr(tokens, "MEMO_WORDS", memo)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", memo)
     own = tokens.WordTokenizer(PATH)
     for _ in range(2):
         for words in texts.split(pa.array(ODD, pa.string()), texts.SPACES):

@@ -79,12 +79,15 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
 _PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_row"]
 
 
-def _fit(capacity: int, columns: list[str]):
+_PLACE = "_row bigint, sequence_id bigint, offset bigint"
+
+
+def _fit(capacity: int):
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_row", ignore_index=True)
         at, frame["offset"] = first_fit_decreasing(frame["length"].to_numpy(), capacity)
         frame["sequence_id"] = 2 * ((key[0] << 32) + at)
-        return frame[columns]
+        return frame[["_row", "sequence_id", "offset"]]
 
     return work
 
@@ -111,7 +114,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     whole = whole.withColumn("sequence_id", 2 * F.col("_row") + 1).withColumn("offset", F.lit(0).cast("bigint"))
     rest = rows.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // GROUP))
-    out = T.StructType([*schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    rest = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
-    packed = rest.groupBy("_group").applyInPandas(_fit(capacity, out.names), out)
-    return whole.select(*out.names).union(packed).drop("_row")
+    sizes = rest.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group"))
+    placed = sizes.groupBy("_group").applyInPandas(_fit(capacity), _PLACE)  # token ids stay in the written pieces
+    return whole.union(rest.join(placed, "_row").select(*whole.columns)).drop("_row")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21  # texts are worked on in runs of about this many bytes; one text is never cut
+CHUNK_BYTES = 1 << 19  # texts are worked on in runs of about this many bytes; one text is never cut
 
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]  # odd, so that they have an inverse
 _WINDOW = 0xD6E8FEB86659FD93
@@ -96,10 +96,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """Powers of a base modulo 2**64."""
-    if len(_POWERS.get(base, "")) < n:
+    if n > len(_POWERS.get(base, "")):
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
-        _POWERS[base] = np.multiply.accumulate(steps)
+        steps = np.multiply.accumulate(steps)
+        if n > CHUNK_BYTES + 1:  # of one very long text: not kept
+            return steps
+        _POWERS[base] = steps
     return _POWERS[base]
 
 

@@ -14,13 +14,14 @@ from tokenizers import Tokenizer
 
 from textloom.llm import texts
 
-MEMO_WORDS = 1_500_000
+MEMO_BYTES = 48 << 20  # of a worker
+_WORD_BYTES = 32  # of a remembered word, besides its ids
 
 _LOADED: dict[tuple, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Encodes the words of a run of texts; remembers up to ``MEMO_WORDS`` words by a 128-bit hash."""
+    """Encodes the words of a run of texts; remembers up to ``MEMO_BYTES`` of words by a 128-bit hash."""
 
     def __init__(self, path: str, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,14 +73,12 @@ class WordTokenizer:
     def _learn(self, key: np.ndarray, second: np.ndarray, ids: list[list[int]]) -> None:
         length = np.array([len(i) for i in ids], np.int64)
         flat = np.array([x for i in ids for x in i], np.uint32)
-        if len(self.key) + len(key) > MEMO_WORDS:
-            self.forget()
         at = np.searchsorted(self.key, key)
         self.begin = np.insert(self.begin, at, self.used + np.cumsum(length) - length)
         self.length = np.insert(self.length, at, length)
         self.key, self.second = np.insert(self.key, at, key), np.insert(self.second, at, second)
         if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(len(self.ids) + len(flat), np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
@@ -96,9 +95,12 @@ class WordTokenizer:
             raw = words.data.tobytes()
             spans = zip(words.starts[example[new]].tolist(), words.ends[example[new]].tolist(), strict=True)
             fresh = self._encode([raw[a:b].decode() for a, b in spans])
-            if len(self.key) + len(new) > MEMO_WORDS:  # start again with the words of these texts
-                self.forget()
-                return self.encode(words, end) if len(distinct) <= MEMO_WORDS else self._encode_apart(words, end)
+            size = _WORD_BYTES * (len(self.key) + len(new)) + 4 * (self.used + sum(map(len, fresh)))
+            if size > MEMO_BYTES:
+                if not len(self.key):
+                    return self._encode_apart(words, end)
+                self.forget()  # start again with the words of these texts
+                return self.encode(words, end)
             self._learn(distinct[new], second[example[new]], fresh)
         at = self._find(distinct, second[example])[which]
         return self._laid_out(self.begin[at], self.length[at], self.ids[: self.used], words.first, end)
