@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import anchors, containment, disclosure, divergence, hash_tree, language_mix, packing, simhash, token_scan, warc
+from textloom.llm import (
+    anchors, chat_tree, containment, disclosure, divergence, hash_tree, language_mix, merkle, packing, simhash, token_scan, warc, whitening,
+)
+
+from textloom.llm.catalog_sql import CHAT_SQL, MERKLE_SQL
+from textloom.plans.shared_dir import materialise
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -120,3 +126,42 @@ def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = hash_tree.even_tree(SHARDS)
     placed = hash_tree.place(_table(spark, sf_dir, "documents"), tree, next_tree=hash_tree.grown(tree, SHARDS))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op11_bidiagonal_whitening")
+def bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialise(whitening.usable(_table(spark, sf_dir, "embeddings")).select("vec_id", "x"), "quantised")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+@query("op12_merkle_log", sql=MERKLE_SQL)
+def merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(tampered, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), changed=changed)
+    hex_of = lambda c: F.lower(F.hex(c))
+    found = found.withColumn("folded", merkle.folded(F.col("other"), F.col("path")))
+    return found.select(
+        "doc_id", *[hex_of(c).alias(c) for c in ("leaf", "subroot", "root")], merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        hex_of("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"), "log_position",
+    )
+
+
+CHAT_TOKENIZER, CHAT_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query("op13_chat_prefix_tree", sql=CHAT_SQL)
+def chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    kind = "conv_id bigint, turn bigint, role string, text string"
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], kind)
+    files = public_tokenizers.path(CHAT_TOKENIZER), public_tokenizers.path(CHAT_RANKS)
+    packed, ends = chat_tree.pack_tree(_table(spark, sf_dir, "conversations").select(*columns).unionByName(own), *files)
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digests = chat_tree.read_back(packed, *files).select(
+        "node", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("trained").cast("bigint").alias("loss_chars"), F.sha2(F.col("trained").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    return ends.join(materialise(digests, "read-back"), "node").drop("node")
