@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textloom.operators import bpe, words
@@ -62,20 +64,52 @@ def test_vocabulary_size_and_frequency_stop(toy):
     assert all(r.n >= 900 for r in merges.collect())
 
 
-def test_approximate_rounds_learn_pairs_that_occur(toy):
+@pytest.mark.parametrize("frontier", [3, 17])
+def test_frontier_that_does_not_hold_all_pairs(toy, frontier):
     counts, df = toy
-    _, merges, table = bpe.train(df, vocab_size=None, max_merges=30, min_frequency=1, approx_merges_per_round=8)
-    assert merges.count() == 30
-    rejoined = {r.word for r in table.select(F.array_join(bpe.symbols(F.col("s")), "").alias("word")).collect()}
-    assert rejoined == {w + "</w>" for w in counts}
-
-
-def test_product_that_exists_already_ends_a_batch():
-    ranked = [("x", "yz", 9), ("p", "q", 8), ("r", "s", 7)]
-    assert bpe.exact_batch(ranked, set(), True) == ranked
-    assert bpe.exact_batch(ranked, {"pq"}, True) == ranked[:1]
-    assert bpe.exact_batch([("a", "b", 9), ("b", "c", 8)], set(), True) == [("a", "b", 9)]
-    assert bpe.exact_batch([("a", "b", 9), ("c", "d", 8), ("a", "e", 8)], set(), False) == [("a", "b", 9)]
+    _, merges, _ = bpe.train(df, vocab_size=None, max_merges=45, min_frequency=5, frontier=frontier)
+    assert [(r.left, r.right, r.n) for r in merges.orderBy("rank").collect()] == plain_merges(counts, 45, 5)[0]
+
+
+def pairs_of(state, counts):
+    pairs = Counter()
+    for w, syms in state.items():
+        for pair in zip(syms, syms[1:]):
+            pairs[pair] += counts[w]
+    return pairs
+
+
+def ranked(pairs):
+    return sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda p: (-p[2], p[0], p[1]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.text(alphabet="abc", min_size=1, max_size=9), st.integers(1, 6), min_size=1, max_size=25), st.integers(1, 12))
+def test_batches_equal_single_merges(counts, size):
+    want, _ = plain_merges(counts, 60)
+    state = {w: [*w[:-1], w[-1] + "</w>"] for w in counts}
+    made, got, known, complete = set(), [], None, False
+    while len(got) < 60:
+        batch = known.batch(made, 60 - len(got)) if known else []
+        if not batch:
+            top = ranked(pairs_of(state, counts))
+            if known and not known.stale and complete or not top:
+                break
+            complete, top = len(top) < size, top[:size]
+            known = bpe.Frontier(top, (-0.5,) if complete else (-top[-1][2], *top[-1][:2]))
+            continue
+        before = pairs_of(state, counts)
+        for left, right, _ in batch:
+            for w, syms in state.items():
+                text = "".join(f"<{x}>" for x in syms).replace(f"<{left}><{right}>", f"<{left + right}>")
+                state[w] = text[1:-1].split("><")
+        after = pairs_of(state, counts)
+        change = [(*p, after[p] - before[p]) for p in {*before, *after} if after[p] != before[p]]
+        products = {a + b for a, b, _ in batch} - made
+        made |= products
+        known.apply(change, products)
+        got += batch
+    assert got == want
 
 
 def test_encode_decode_round_trip(spark, toy):

@@ -5,22 +5,26 @@ word table ``(word, n, s)``: ``s`` holds the word's symbols, each between two
 control characters, so that one ``replace`` of an adjacent pair is exactly the
 left-to-right merge of that pair.
 
-Each round counts adjacent pairs (explode, map-side sum, shuffle by pair),
-brings the best few hundred to the driver and merges a batch of them. The
-batch gives the same merges, in the same order, as one merge at a time:
-
-* pairs are ranked by (count descending, left, right);
-* the batch is a prefix of that ranking in which no pair can overlap another
-  (no right symbol is another's left symbol) and no product is a symbol that
-  exists already. Merging such pairs leaves the other counts of the batch as
-  they are, and every new pair is at most as frequent as an old pair that
-  touches the batch;
-* such a touching pair ranks behind the batch, so the batch is cut to counts
-  above the first pair left out. The best pair always goes.
+Pairs are counted over all words once. The most frequent ones (``FRONTIER``) are
+the driver's frontier, and every other pair is known to be no more frequent than
+the last of them. A round merges a batch in the word table and returns only what
+changed: the counts of the pairs next to the merged ones, summed over the words
+that hold them. Counts of old pairs never grow and those of new pairs are fully
+in that difference, so the frontier stays exact until its best pair is no better
+than the pairs it does not know; then all words are counted again.
+
+A batch gives the same merges, in the same order, as one merge at a time. Pairs
+are ranked by (count descending, left, right), and the batch is a prefix of that
+ranking. Merging (a, b) changes only pairs that touch it, (x, a) and (b, y), which
+can but fall, and makes (x, ab) and (ab, y), which are at most as frequent as
+those. The batch goes on while the next pair ranks before all of them. A pair of
+equal symbols, and one whose product is a symbol already, goes alone.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +34,9 @@ from textloom.plans.shared_dir import materialise
 
 WORD_END = "</w>"
 _OPEN, _CLOSE = "\x01", "\x02"  # around each symbol of a word
-_FETCH = 512  # ranked pairs looked at per round
+FRONTIER = 200_000  # pairs the driver keeps
 _WORDS_PER_TASK = 200_000
-_ROUNDS_PER_TABLE = 16  # rounds kept in the cache before the word table is written anew
+_ROUNDS_PER_TABLE = 8  # rounds kept in the cache before the word table is written anew: nested caches have long plans
 
 _MERGES = "rank int, left string, right string, merged string, n bigint"
 
@@ -65,42 +69,78 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
-def exact_batch(ranked: list[tuple[str, str, int]], made: set[str], complete: bool) -> list[tuple[str, str, int]]:
-    """The longest safe prefix of the ranked pairs (module docstring)."""
-    batch: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    products: set[str] = set()
-    limit = None if complete else ranked[-1][2]
-    for left, right, n in ranked:
-        product = left + right
-        overlaps = left in rights or right in lefts or left == right
-        if overlaps or product in made or product in products:
-            limit = n
-            break
-        batch.append((left, right, n))
-        lefts.add(left)
-        rights.add(right)
-        products.add(product)
-    if limit is not None:
-        batch = [p for p in batch if p[2] > limit]
-    return batch or ranked[:1]
-
-
-def disjoint_batch(ranked: list[tuple[str, str, int]], made: set[str], most: int) -> list[tuple[str, str, int]]:
-    """Up to ``most`` best pairs that cannot overlap: approximate, see ``train``."""
-    batch: list[tuple[str, str, int]] = []
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    for left, right, n in ranked:
-        if len(batch) == most:
-            break
-        if left in rights or right in lefts or left == right or left + right in made:
-            continue
-        batch.append((left, right, n))
-        lefts.add(left)
-        rights.add(right)
-    return batch or ranked[:1]
+class Frontier:
+    """The most frequent pairs and their exact counts, with the rule of batches."""
+
+    def __init__(self, ranked: list[tuple[str, str, int]], last: tuple):
+        """``ranked`` holds every pair that ranks up to ``last``, as (-count, left, right)."""
+        self.last = last
+        self.count: dict[tuple[str, str], int] = {}
+        self.heap: list[tuple[int, str, str]] = []
+        self.with_left: dict[str, set[str]] = {}
+        self.with_right: dict[str, set[str]] = {}
+        self.stale = False
+        for left, right, n in ranked:
+            self._set(left, right, n)
+
+    def _set(self, left: str, right: str, n: int) -> None:
+        if n <= 0:
+            self.count.pop((left, right), None)
+            self.with_left.get(left, set()).discard(right)
+            self.with_right.get(right, set()).discard(left)
+            return
+        self.count[left, right] = n
+        self.with_left.setdefault(left, set()).add(right)
+        self.with_right.setdefault(right, set()).add(left)
+        heapq.heappush(self.heap, (-n, left, right))
+
+    def _best(self) -> tuple[int, str, str] | None:
+        while self.heap and self.count.get(self.heap[0][1:]) != -self.heap[0][0]:
+            heapq.heappop(self.heap)
+        return None if self.stale or not self.heap or self.heap[0] > self.last else self.heap[0]
+
+    def _barrier(self, left: str, right: str) -> tuple[int, str, str]:
+        """No pair that merging this one changes or makes can rank before this."""
+        n, product = self.count[left, right], left + right
+        first = (1, "", "")
+        for x in self.with_right.get(left, ()):
+            m = self.count[x, left]
+            first = min(first, (-m, x, left), (-min(m, n), x, product))
+        for y in self.with_left.get(right, ()):
+            m = self.count[right, y]
+            first = min(first, (-m, right, y), (-min(m, n), product, y))
+        return first
+
+    def batch(self, made: set[str], most: int | None) -> list[tuple[str, str, int]]:
+        """The next merges; none if the frontier has to be counted anew."""
+        found: list[tuple[str, str, int]] = []
+        barrier = (1, "", "")
+        products: set[str] = set()
+        while (best := self._best()) is not None and best < barrier and (most is None or len(found) < most):
+            n, left, right = best
+            alone = left == right or left + right in made
+            if found and (alone or left + right in products):
+                break
+            heapq.heappop(self.heap)
+            found.append((left, right, -n))
+            if alone:
+                break
+            products.add(left + right)
+            barrier = min(barrier, self._barrier(left, right), (self.last[0], "", ""))  # pairs not known may touch it too
+        for left, right, n in found:  # until the difference takes it away
+            heapq.heappush(self.heap, (-n, left, right))
+        return found
+
+    def apply(self, difference: list[tuple[str, str, int]], products: set[str]) -> None:
+        """Change counts by what a round has changed; ``products`` are the symbols it has made first."""
+        for left, right, change in difference:
+            old = self.count.get((left, right))
+            if old is not None:
+                self._set(left, right, old + change)
+            elif left in products or right in products:
+                self._set(left, right, change)
+            elif change > 0:  # a pair that is not known has grown
+                self.stale = True
 
 
 def merge_pairs(s: Column, batch: list[tuple[str, str, int]]) -> Column:
@@ -111,6 +151,13 @@ def merge_pairs(s: Column, batch: list[tuple[str, str, int]]) -> Column:
     return F.aggregate(rules, s, lambda acc, r: F.replace(acc, r["old"], r["new"]))
 
 
+def changed_counts(merged: DataFrame) -> DataFrame:
+    """``(left, right, n)``: changes of pair counts from symbols ``old`` to ``s``, where there are any."""
+    changed = merged.where(F.col("old") != F.col("s"))
+    both = changed.select(F.explode(F.array(F.struct((-F.col("n")).alias("n"), F.col("old").alias("s")), F.struct("n", "s"))).alias("x")).select("x.*")
+    return pair_counts(both).where(F.col("n") != 0)
+
+
 def train(
     counts: DataFrame,
     vocab_size: int | None = 50_000,
@@ -118,16 +165,14 @@ def train(
     max_merges: int | None = None,
     specials: tuple[str, ...] = SPECIALS,
     word_end: str = WORD_END,
-    approx_merges_per_round: int | None = None,
+    frontier: int = FRONTIER,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Learn merges from ``(word, n)``; returns ``(vocab, merges, words)``.
 
     Stops when the vocabulary has ``vocab_size`` tokens, after ``max_merges``
     merges, or when no pair occurs ``min_frequency`` times. ``words`` is the
-    word table after all merges. ``approx_merges_per_round`` takes that many
-    non-overlapping pairs per round without the count cut: far fewer rounds
-    for large vocabularies, at the price of a merge order that is only close to
-    the exact one.
+    word table after all merges. The driver holds ``frontier`` pairs and the
+    merges; a round's difference has at most a few pairs per symbol and merge.
     """
     spark = counts.sparkSession
     counted = materialise(counts, "word-counts")
@@ -140,36 +185,35 @@ def train(
 
     learnt: list[tuple[str, str, int]] = []
     made: set[str] = set()
-    fetch = max(_FETCH, 4 * (approx_merges_per_round or 0))
-    rounds, older = 0, None
+    known, complete, rounds, cached = None, False, 0, words
     while wanted is None or len(learnt) < wanted:
-        frequent = pair_counts(words).where(F.col("n") >= min_frequency)
-        top = frequent.orderBy(F.desc("n"), "left", "right").limit(fetch).collect()
-        if older is not None:  # the job above has filled this round's cache
-            older.unpersist()
-        ranked = [(r.left, r.right, r.n) for r in top]
-        if not ranked:
-            break
-        if approx_merges_per_round:
-            batch = disjoint_batch(ranked, made, approx_merges_per_round)
-        else:
-            batch = exact_batch(ranked, made, complete=len(ranked) < fetch)
-        if wanted is not None:
-            batch = batch[: wanted - len(learnt)]
+        batch = known.batch(made, None if wanted is None else wanted - len(learnt)) if known else []
+        if not batch:
+            if known and not known.stale and complete:
+                break
+            frequent = pair_counts(words).where(F.col("n") >= min_frequency)
+            top = [tuple(r) for r in frequent.orderBy(F.desc("n"), "left", "right").limit(frontier).collect()]
+            complete = len(top) < frontier
+            known = Frontier(top, (0.5 - min_frequency,) if complete else (-top[-1][2], *top[-1][:2]))
+            if not top:
+                break
+            continue
         learnt += batch
-        made.update(a + b for a, b, _ in batch)
+        products = {a + b for a, b, _ in batch} - made
+        made |= products
 
         rounds += 1
-        merged = words.withColumn("s", merge_pairs(F.col("s"), batch))
-        older = words if words.is_cached else None
+        merged = words.select("word", "n", F.col("s").alias("old"), merge_pairs(F.col("s"), batch).alias("s"))
+        merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
+        known.apply([tuple(r) for r in changed_counts(merged).collect()], products)
+        cached.unpersist()
+        words, cached = merged.drop("old"), merged
         if rounds % _ROUNDS_PER_TABLE == 0:
-            words = materialise(merged, "words")
-        else:
-            words = merged.persist(StorageLevel.MEMORY_AND_DISK)
-
-    for cached in (older, words):
-        if cached is not None and cached.is_cached:
+            words = materialise(words, "words").persist(StorageLevel.MEMORY_AND_DISK)
             cached.unpersist()
+            cached = words
+    cached.unpersist()
+
     merges = spark.createDataFrame([(i, a, b, a + b, n) for i, (a, b, n) in enumerate(learnt)], _MERGES)
     return vocabulary(alphabet, merges, specials), merges, words
 

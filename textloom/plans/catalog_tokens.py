@@ -15,7 +15,7 @@ from textloom.sinks import writers
 from textloom.sources.legacy_windows import parse_legacy, to_legacy
 
 L, S = 32, 24  # window and stride of the registered queries
-MERGES = 40  # merges of the byte-pair queries
+VOCABULARY, LEAST = 400, 10  # tokens of the byte-pair queries, and the least frequency of a merge
 BATCH = 16
 
 
@@ -64,7 +64,10 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
+    return _numbered_windows(_tokens(spark, d))
+
+
+def _numbered_windows(tokens: DataFrame) -> DataFrame:
     streams = tokens.groupBy("source").agg(F.sum("n_ids").alias("n_tokens"))
     windows = pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids")
     return split.number_windows(windows, streams, "source", L, S)
@@ -185,8 +188,12 @@ def _(spark, d):
         FROM num GROUP BY ALL""",
 )
 def windows_per_source_and_split(spark, d):
-    """The flagship: raw text, cleaned, encoded, packed, numbered and split."""
-    rows = split.positional_split(_numbered(spark, d))
+    """Raw text, cleaned, encoded, packed, numbered and split."""
+    return _per_split(_numbered(spark, d))
+
+
+def _per_split(numbered: DataFrame) -> DataFrame:
+    rows = split.positional_split(numbered)
 
     def total(c):
         return F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x))
@@ -359,13 +366,15 @@ def sql_words(x: str) -> str:
 _SYMS = "string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))"
 
 
-def sql_training(texts: str, merges: int, more_words: str = "SELECT NULL WHERE false") -> str:
-    """Merges one at a time; ``more_words`` are split along without being counted."""
+def sql_training(texts: str, tokens: int = VOCABULARY, more_words: str = "SELECT NULL WHERE false") -> str:
+    """Merges one at a time until there are ``tokens`` or none is frequent; ``more_words`` are split along without being counted."""
     return f"""WITH RECURSIVE wc AS (
       SELECT word, sum(n) AS n FROM (
         SELECT unnest({sql_words('text')}) AS word, 1 AS n FROM ({texts})
         UNION ALL SELECT word, 0 FROM ({more_words}) AS m(word)) GROUP BY word),
     boxed AS (SELECT word, n, regexp_replace(word, '(?s)(.)', chr(1) || '\\1' || chr(2), 'g') AS b FROM wc),
+    alphabet AS (SELECT DISTINCT unnest(string_split(substr(e, 2, length(e) - 2), chr(2) || chr(1))) AS token
+      FROM (SELECT substr(b, 1, length(b) - 1) || '</w>' || chr(2) AS e FROM boxed WHERE n > 0)),
     st AS (
       SELECT 0 AS step, word, n, substr(b, 1, length(b) - 1) || '</w>' || chr(2) AS s,
              '' AS l, '' AS r, CAST(0 AS HUGEINT) AS c FROM boxed
@@ -375,9 +384,8 @@ def sql_training(texts: str, merges: int, more_words: str = "SELECT NULL WHERE f
       FROM st, (SELECT a[i] AS l, a[i + 1] AS r, CAST(sum(n) AS HUGEINT) AS c
                 FROM (SELECT n, a, unnest(range(1, len(a))) AS i FROM (SELECT n, {_SYMS} AS a FROM st))
                 GROUP BY 1, 2 ORDER BY c DESC, l, r LIMIT 1) AS p
-      WHERE st.step < {merges}),
+      WHERE st.step < {tokens} - 2 - (SELECT count(*) FROM alphabet) AND p.c >= {LEAST}),
     merges AS (SELECT DISTINCT step - 1 AS rank, l AS "left", r AS "right", l || r AS merged, CAST(c AS BIGINT) AS n FROM st WHERE step > 0),
-    alphabet AS (SELECT DISTINCT unnest({_SYMS}) AS token FROM st WHERE step = 0 AND n > 0),
     vocab AS (
       SELECT '<|endoftext|>' AS token, 0 AS id, true AS is_special UNION ALL SELECT '<|unk|>', 1, true UNION ALL
       SELECT token, CAST(row_number() OVER (ORDER BY part, rank, token) + 1 AS INTEGER), false FROM (
@@ -386,7 +394,7 @@ def sql_training(texts: str, merges: int, more_words: str = "SELECT NULL WHERE f
     lexicon AS (
       SELECT word, list(coalesce(id, 1) ORDER BY j) AS ids, list(piece ORDER BY j) AS pieces FROM (
         SELECT word, unnest(a) AS piece, generate_subscripts(a, 1) AS j
-        FROM (SELECT word, {_SYMS} AS a FROM st WHERE step = {merges})) LEFT JOIN vocab ON piece = token GROUP BY word)"""
+        FROM (SELECT word, {_SYMS} AS a FROM st WHERE step = (SELECT max(step) FROM st))) LEFT JOIN vocab ON piece = token GROUP BY word)"""
 
 
 def sql_encoded(key: str, source: str, text: str) -> str:
@@ -396,11 +404,11 @@ def sql_encoded(key: str, source: str, text: str) -> str:
         JOIN lexicon USING (word) GROUP BY {key}"""
 
 
-_TRAIN_SQL = sql_training("SELECT text FROM documents", MERGES)
+_TRAIN_SQL = sql_training("SELECT text FROM documents")
 
 
 def _model(spark, d):
-    return bpe.train_on_text(text_table(spark, d, "documents"), max_merges=MERGES)
+    return bpe.train_on_text(text_table(spark, d, "documents"), vocab_size=VOCABULARY, min_frequency=LEAST)
 
 
 @query("word_counts", "F1", f"SELECT word, count(*) AS n FROM (SELECT unnest({sql_words('text')}) AS word FROM documents) GROUP BY word")
@@ -426,12 +434,12 @@ def _(spark, d):
 @query(
     "merges_of_cleaned_rows",
     "F4",
-    f"""{sql_training(f"SELECT {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), LATIN))} AS text FROM pages", MERGES)}
+    f"""{sql_training(f"SELECT {sql_collapse(sql_keep_script(sql_standardise(sql_html('html')), LATIN))} AS text FROM pages")}
         SELECT CAST(rank AS INTEGER) AS rank, "left", "right", merged, n FROM merges""",
 )
 def _(spark, d):
     rows = text_table(spark, d, "pages").select(tx.clean(F.col("html"), tx.LATIN, digits=None).alias("text"))
-    return bpe.train_on_text(rows, max_merges=MERGES)[1]
+    return bpe.train_on_text(rows, vocab_size=VOCABULARY, min_frequency=LEAST)[1]
 
 
 @query("trained_vocabulary", "F3 F10", f"{_TRAIN_SQL} SELECT token, id, is_special FROM vocab")
@@ -464,7 +472,7 @@ def _(spark, d):
 )
 def _(spark, d):
     counts = words.word_counts(text_table(spark, d, "documents"))
-    _, merges, _ = bpe.train(counts, max_merges=MERGES)
+    _, merges, _ = bpe.train(counts, vocab_size=VOCABULARY, min_frequency=LEAST)
     return enc.word_lexicon(counts, merges).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
@@ -494,13 +502,32 @@ _MARKED_IDS_SQL = f"""{_TRAIN_SQL},
         FROM (SELECT source, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM bt)""",
 )
 def _(spark, d):
+    return _shown(pack.pack(_bpe_tokens(spark, d), ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids"), "source", "win", "n_tokens")
+
+
+def _bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
     docs = text_table(spark, d, "documents")
     vocab, merges, _ = _model(spark, d)
     marked = docs.select("doc_id", "source", tx.with_suffix(F.coalesce("text", F.lit(""))).alias("text"))
     split_up = enc.words_with_specials(F.col("text"), [tx.END_OF_TEXT], words.WORD_PATTERN)
     ids = enc.encode(marked, split_up, merges, vocab).select("doc_id", "source", "ids")
-    tokens = materialise(pack.with_sizes(ids), "bpe-tokens")
-    return _shown(pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids"), "source", "win", "n_tokens")
+    return materialise(pack.with_sizes(ids), "bpe-tokens")
+
+
+@query(
+    "bpe_windows_per_source_and_split",
+    "F2 F6 G2 H2 H3 J1",
+    f"""{_MARKED_IDS_SQL},
+      win AS (SELECT source, CAST(st // {S} AS BIGINT) AS win, ids[st + 1:st + {L}] AS input_ids, ids[st + 2:st + {L} + 1] AS target_ids
+              FROM (SELECT source, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM bt)),
+      num AS (SELECT *, row_number() OVER (ORDER BY source, win) - 1 AS rn, count(*) OVER () AS n_rows FROM win)
+      SELECT source, CASE WHEN rn < {_CUT} THEN 'train' ELSE 'test' END AS split, count(*) AS n_windows,
+        CAST(sum(len(input_ids)) AS BIGINT) AS n_tokens, CAST(sum(list_sum(input_ids)) AS BIGINT) AS input_sum,
+        CAST(sum(list_sum(target_ids)) AS BIGINT) AS target_sum FROM num GROUP BY ALL""",
+)
+def bpe_windows_per_source_and_split(spark, d):
+    """The flagship: raw text, a trained vocabulary, ids with end marks, windows, numbers, splits."""
+    return _per_split(_numbered_windows(_bpe_tokens(spark, d)))
 
 
 _ITEM_WORDS = f"SELECT unnest({sql_words('text')}) FROM benchmark"
@@ -509,7 +536,7 @@ _ITEM_WORDS = f"SELECT unnest({sql_words('text')}) FROM benchmark"
 @query(
     "encoded_second_corpus",
     "F6 F7 F13",
-    f"""{sql_training("SELECT text FROM documents", MERGES, _ITEM_WORDS)} SELECT item_id, array_to_string(ids, ',') AS ids
+    f"""{sql_training("SELECT text FROM documents", VOCABULARY, _ITEM_WORDS)} SELECT item_id, array_to_string(ids, ',') AS ids
         FROM ({sql_encoded('item_id', 'benchmark', 'text')})""",
 )
 def _(spark, d):
@@ -529,7 +556,7 @@ def _(spark, d):
 @query(
     "token_pieces",
     "F9",
-    f"""{sql_training("SELECT text FROM documents", MERGES, _ITEM_WORDS)}
+    f"""{sql_training("SELECT text FROM documents", VOCABULARY, _ITEM_WORDS)}
         SELECT item_id, CAST(pos AS INTEGER) AS pos, e.id, replace(token, '</w>', '') AS piece FROM (
           SELECT item_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM ({sql_encoded('item_id', 'benchmark', 'text')})) e
         JOIN vocab ON vocab.id = e.id""",
@@ -584,15 +611,18 @@ def _(spark, d):
     return chat.render_conversations(table(spark, d, "conversations"))
 
 
+_CHAT_IDS_SQL = f"""{sql_training("SELECT text FROM documents", VOCABULARY, f"SELECT unnest({sql_words('text')}) FROM conversations UNION ALL SELECT unnest({sql_words('role')}) FROM conversations")},
+      n AS (SELECT count(*) AS n FROM vocab),
+      said AS ({sql_encoded('conv_id, turn', 'conversations', 'text')}),
+      roles AS ({sql_encoded('conv_id, turn', 'conversations', 'role')}),
+      coded AS (SELECT conv_id, turn, concat_ws(',', n + 2, array_to_string(roles.ids, ','), n + 3, n + 5, array_to_string(said.ids, ','), n + 4) AS ids
+      FROM roles LEFT JOIN said USING (conv_id, turn), n)"""
+
+
 @query(
     "chat_turn_ids",
     "I1 I2 F13",
-    f"""{sql_training("SELECT text FROM documents", MERGES, f"SELECT unnest({sql_words('text')}) FROM conversations UNION ALL SELECT unnest({sql_words('role')}) FROM conversations")},
-      n AS (SELECT count(*) AS n FROM vocab),
-      said AS ({sql_encoded('conv_id, turn', 'conversations', 'text')}),
-      roles AS ({sql_encoded('conv_id, turn', 'conversations', 'role')})
-      SELECT conv_id, turn, concat_ws(',', n + 2, array_to_string(roles.ids, ','), n + 3, n + 5, array_to_string(said.ids, ','), n + 4) AS ids
-      FROM roles LEFT JOIN said USING (conv_id, turn), n""",
+    f"{_CHAT_IDS_SQL} SELECT conv_id, turn, ids FROM coded",
 )
 def _(spark, d):
     vocab, merges, _ = _model(spark, d)
@@ -600,3 +630,24 @@ def _(spark, d):
     special = {t: n + i for i, t in enumerate(chat.CHAT_SPECIALS)}
     turns = chat.encode_turns(text_table(spark, d, "conversations"), merges, vocab, special)
     return turns.select("conv_id", "turn", joined("ids").alias("ids"))
+
+
+_CHAT_TOKENS_SQL = "UNION ALL ".join(f"SELECT '{t}' AS token, {i} + (SELECT n FROM n) AS id " for i, t in enumerate(chat.CHAT_SPECIALS))
+
+
+@query(
+    "chat_ids_decoded",
+    "I4 F8",
+    f"""{_CHAT_IDS_SQL},
+      tokens AS (SELECT token, id FROM vocab UNION ALL {_CHAT_TOKENS_SQL}),
+      placed AS (SELECT conv_id, turn, unnest(string_split(ids, ',')) AS id, generate_subscripts(string_split(ids, ','), 1) AS i FROM coded)
+      SELECT conv_id, turn, rtrim(replace(string_agg(token, '' ORDER BY i), '</w>', ' ')) AS text
+      FROM placed JOIN tokens ON tokens.id = CAST(placed.id AS BIGINT) GROUP BY conv_id, turn""",
+)
+def _(spark, d):
+    vocab, merges, _ = _model(spark, d)
+    n = vocab.count()
+    special = {t: n + i for i, t in enumerate(chat.CHAT_SPECIALS)}
+    turns = chat.encode_turns(text_table(spark, d, "conversations"), merges, vocab, special).select("conv_id", "turn", "ids")
+    tokens = words.add_specials(vocab, chat.CHAT_SPECIALS, n)
+    return enc.decode(turns, F.col("ids"), tokens, ["conv_id", "turn"]).select("conv_id", "turn", "text")
