@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plans.shared_dir import materialise
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"  # fixed values of the base rules
 WINDOW = 5
@@ -44,7 +46,7 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACES), "")
 
 
 def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
@@ -83,13 +85,19 @@ def _left(text: Column, characters: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
-def classes(text: Column, word_chars: Column, n_symbols: Column) -> list[Column]:
+def _marked(text: Column) -> Column:
+    """What of a text is neither white space, a small letter nor beyond ASCII: little, so that classes are cheap to count in it."""
+    return F.regexp_replace(text, r"[^!-`{-~]+", "")
+
+
+def classes(text: Column, marked: Column, word_chars: Column) -> list[Column]:
     """Character counts by class: upper case, digits, symbols, marks, bytes beyond ASCII, space, and the rest."""
+    symbols = _left(marked, SYMBOLS)
     parts = [
-        _left(text, "A-Z"),
-        _left(text, "0-9"),
-        n_symbols,
-        _left(text, r"!-/:-@\[-`{-~") - n_symbols,
+        _left(marked, "A-Z"),
+        _left(marked, "0-9"),
+        symbols,
+        _left(marked, r"!-/:-@\[-`{-~") - symbols,
         F.octet_length(text) - F.length(text),
         F.length(text) - word_chars,
     ]
@@ -99,18 +107,18 @@ def classes(text: Column, word_chars: Column, n_symbols: Column) -> list[Column]
     return [*parts, rest]
 
 
-N_CLASSES = 7
+N_CLASSES, SPACE_CLASS = 7, 5
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_text`` (null: empty), ``_words`` and the base counts in ``_m``."""
     rows = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_words", words(F.col("_text")))
     hashes = F.transform("_words", lambda w: F.xxhash64(w))
-    rows = rows.withColumn("_chars", F.length(F.array_join("_words", ""))).withColumn("_symbols", _left(F.col("_text"), SYMBOLS))
+    rows = rows.withColumn("_chars", F.length(F.array_join("_words", ""))).withColumn("_marked", _marked(F.col("_text")))
     base = F.struct(
         F.size("_words").cast("bigint").alias("n_words"),
         F.col("_chars").cast("bigint").alias("word_chars"),
-        F.col("_symbols").cast("bigint").alias("n_symbols"),
+        _left(F.col("_marked"), SYMBOLS).cast("bigint").alias("n_symbols"),
         repeated_lines(F.col("_text")).cast("bigint").alias("n_dup_lines"),
         let(hashes, lambda h: repeated_words(h)).cast("bigint").alias("n_repeat_words"),
     )
@@ -133,13 +141,17 @@ def learn(docs: DataFrame, common: int = COMMON) -> References:
     ``MAX_LANGUAGES``, and the ``common`` words of all languages together.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), "text").dropna()
-    rows = rows.withColumn("_words", words(F.col("text")))
-    parts = classes(F.col("text"), F.length(F.array_join("_words", "")), _left(F.col("text"), SYMBOLS))
-    sums = rows.groupBy("lang").agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate(parts)], F.sum(F.size("_words")).alias("n"))
-    found = sums.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
+    lengths = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
+    if len(lengths) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counted = rows.select("lang", F.explode("_words").alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = rows.select("lang", F.explode(words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = materialise(counted, "word-counts")
+    w = F.col("w")
+    parts = classes(w, _marked(w), F.length(w))  # of each different word once; white space is what the words leave
+    sums = counted.groupBy("lang").agg(
+        *[F.sum(p * F.col("n")).alias(f"c{i}") for i, p in enumerate(parts)], F.sum(F.length(w) * F.col("n")).alias("inside"), F.sum("n").alias("n")
+    )
+    found = sums.collect()
     lowered = counted.select("lang", F.lower("w").alias("w"), "n").repartition("w")  # serves both groupings below
     counted = lowered.groupBy("lang", "w").agg(F.sum("n").alias("n"))
     words_in = counted.groupBy("w").agg(F.collect_list(F.struct("lang", "n")).alias("own"), F.sum("n").alias("n"))  # an entry a language
@@ -149,7 +161,8 @@ def learn(docs: DataFrame, common: int = COMMON) -> References:
     top = counted.withColumn("r", F.row_number().over(best)).where(F.col("r") <= common).orderBy("lang", "r").collect()
 
     shares, frequent, total = {}, {}, {r["lang"]: r["n"] for r in found if r["n"]}
-    counts = {r["lang"]: [r[f"c{i}"] for i in range(N_CLASSES)] for r in found if r["n"]}
+    chars = {r["lang"]: r["chars"] for r in lengths}
+    counts = {r["lang"]: [r[f"c{i}"] if i != SPACE_CLASS else chars[r["lang"]] - r["inside"] for i in range(N_CLASSES)] for r in found if r["n"]}
     for lang, c in counts.items():
         shares[lang] = [x / max(1, sum(c)) for x in c]
         frequent[lang] = [(r["w"], r["n"] / total[lang]) for r in top if r["lang"] == lang]
@@ -217,17 +230,20 @@ def judge(docs: DataFrame, references: References, name: str = "quality") -> Dat
     m = lambda c: F.col(f"_m.{c}")
     failed = (m("n_words") < LEAST_WORDS) | (100 * m("n_repeat_words") > MOST_REPEATED * m("n_words"))
     if references.classes:
-        counts = F.array(*[c.cast("double") for c in classes(F.col("_text"), F.col("_chars"), F.col("_symbols"))])
+        counts = F.array(*[c.cast("double") for c in classes(F.col("_text"), F.col("_marked"), F.col("_chars"))])
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
         share = lambda a: let(a, lambda x: let(F.greatest(total(x), F.lit(1.0)), lambda t: F.transform(x, lambda v: v / t)))
         reference = _by_language({k: F.array(*map(F.lit, v)) for k, v in references.classes.items()}, "array<double>")
         by_class = distance(share(counts), reference)
 
         every = sorted({w for v in references.words.values() for w, _ in v})
-        used = F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(every))
         names = _by_language({k: F.array(*[F.lit(w) for w, _ in v]) for k, v in references.words.items()}, "array<string>")
         usual = _by_language({k: F.array(*[F.lit(s) for _, s in v]) for k, v in references.words.items()}, "array<double>")
-        seen = let(used, lambda u: F.transform(names, lambda w: F.size(F.filter(u, lambda x: x == w)) / m("n_words")))
+        # each word's place among the common ones, 0 for others; then how often each place occurs
+        placed = let(names, lambda own: F.transform("_words", lambda w: F.array_position(own, F.lower(w))))
+        how_often = lambda at: F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.size(at) - F.size(F.array_remove(at, k)))
+        found_at = let(placed, lambda at: F.array_remove(at, 0))
+        seen = let(found_at, lambda at: F.transform(how_often(at), lambda c: c / m("n_words")))
         rest = lambda a: F.concat(a, F.array(F.greatest(F.lit(1.0) - total(a), F.lit(0.0))))
         by_word = distance(let(seen, rest), let(usual, rest))
         expected = total(usual) * m("n_words")
@@ -237,6 +253,7 @@ def judge(docs: DataFrame, references: References, name: str = "quality") -> Dat
         bounds[None] = F.lit(None).cast("double")  # prose of one language is as far from all of them together
         least = min(sum(x for _, x in v) for k, v in references.words.items() if k is not None)
         bound = _by_language(bounds, "double")
+        used = F.filter("_words", lambda w: F.lower(w).isin(every))
         foreign = long & (least * m("n_words") >= JUDGED_COMMON) & (F.size(used) <= _next_to_none(least) * m("n_words"))
         rows = rows.withColumn("_few", F.when(bound.isNotNull(), F.col("_word") >= bound).otherwise(foreign))
     else:
