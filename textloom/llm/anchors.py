@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import texts
@@ -336,11 +336,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = min(64, max(36, total.bit_length() + 10))
     copied = rows.groupBy(*_PRINT).agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
     copied = materialise(copied.select(*_PRINT, "_least"), "copied-texts")
-    marked = rows.join(copied, _PRINT, "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False)))
-    # all three steps read the same columns by the same key, so that the texts are dealt out once
-    whole = marked.where("NOT _copy").select(*rows.columns)
-    hits = _round(whole.mapInArrow(_probe(window, bits, parts), _SHIPPED), _meet)
-    extended = rows.join(hits, _PRINT).where("_id = _own")
+    # texts are dealt out by their print once: both joins below read the same columns in the same way
+    first_only = rows.join(copied, _PRINT, "left").where(~_is_copy()).select(*rows.columns)
+    hits = _round(first_only.mapInArrow(_probe(window, bits, parts), _SHIPPED), _meet)
+    # not an equality: that would become a key of the join, and the texts would be dealt out in another way
+    extended = rows.join(hits.hint("shuffle_hash"), _PRINT).where("_id <= _own AND _id >= _own")
     repeats = _round(extended.select(*rows.columns, "_found").mapInArrow(_extend(window, parts), _SHIPPED), _settle)
+    known = repeats.drop("_own").join(copied, _PRINT, "full")
+    cut = rows.join(known.hint("shuffle_hash"), _PRINT, "left").withColumn("_copy", _is_copy()).drop("_least")
     schema = f"doc_id {id_type.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    return marked.join(repeats.drop("_own"), _PRINT, "left").mapInArrow(_cut(window), schema)
+    return cut.mapInArrow(_cut(window), schema)
+
+
+def _is_copy() -> Column:
+    return F.coalesce(F.col("_id") > F.col("_least"), F.lit(False))
