@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import uniform
-from textloom.plans.grouped import HotGroups, find_hot, group_cutoff, group_values
+from textloom.plans.grouped import LARGE_K, HotGroups, find_hot, group_cutoff, group_values
 
 EPS = 1e-8  # fixed value: keeps a share finite
 
@@ -39,10 +39,10 @@ def renormalise(
 
 
 def top_k_ties(
-    df: DataFrame, grp: Sequence[str], k: int, item: str = "item", score: str = "score", hot: HotGroups | None = None
+    df: DataFrame, grp: Sequence[str], k: int, item: str = "item", score: str = "score"
 ) -> DataFrame:
     """Items whose score reaches the k-th best: ties at the line stay."""
-    cut = group_cutoff(df, hot or find_hot(df, grp), item, F.col(score), k, "_cut")
+    cut = group_cutoff(df, grp, item, F.col(score), k, "_cut")
     return cut.where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
@@ -51,10 +51,14 @@ def top_k(
     hot: HotGroups | None = None,
 ) -> DataFrame:
     """Exactly the k best items (the larger item first on a tie), renormalised."""
-    hot = hot or find_hot(df, grp)
     key = F.struct(F.col(prob), F.col(item))
-    cut = group_cutoff(df, hot, item, key, k, "_cut")
-    return renormalise(cut.where(key >= F.col("_cut")).drop("_cut"), grp, item, prob, eps, hot)
+    if k > LARGE_K:
+        cut = group_cutoff(df, grp, item, key, k, "_cut")
+        return renormalise(cut.where(key >= F.col("_cut")).drop("_cut"), grp, item, prob, eps, hot)
+    best = Window.partitionBy(*grp).orderBy(F.desc(prob), F.desc(item))
+    kept = df.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")  # limited before the shuffle
+    total = F.sum(prob).over(Window.partitionBy(*grp))
+    return kept.withColumn("_sum", total).withColumn(prob, F.col(prob) / (F.col("_sum") + F.lit(eps))).drop("_sum")
 
 
 def top_p(
@@ -122,20 +126,19 @@ def weighted_draw(df: DataFrame, grp: Sequence[str], item: str = "item", prob: s
 
 def repetition_penalty(
     df: DataFrame, history: DataFrame, grp: Sequence[str], penalty: float, item: str = "item", score: str = "score",
-    pos: str = "pos", newest: int | None = None, hot: HotGroups | None = None, prompt: int = 0,
+    pos: str = "pos", newest: int | None = None, prompt: int = 0,
 ) -> DataFrame:
     """Divide the score of items that the group's history repeats.
 
     Whole history: once per occurrence after the first. With ``newest`` only
     the last ``newest`` entries count, each once if the item came before it or
     the entry lies in the prompt, the positions below ``prompt``.
-    ``hot`` is about the history.
     """
     grp = list(grp)
     if newest is None:
         counted = history.groupBy(*grp, item).agg((F.count("*") - 1).alias("_m"))
     else:
-        cut = group_cutoff(history, hot or find_hot(history, grp), pos, F.col(pos), newest, "_cut")
+        cut = group_cutoff(history, grp, pos, F.col(pos), newest, "_cut")
         n_late = F.count(F.when(F.col(pos) >= F.col("_cut"), 1))
         first_is_late = F.when((n_late == F.count("*")) & (F.min(pos) >= prompt), F.least(n_late, F.lit(1))).otherwise(F.lit(0))
         counted = cut.groupBy(*grp, item).agg((n_late - first_is_late).alias("_m"))

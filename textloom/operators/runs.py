@@ -13,7 +13,7 @@ from textloom.functions.names import (
     is_step_artifact,
     split_step,
 )
-from textloom.plans.grouped import find_hot, group_cutoff, row_numbers, running_totals
+from textloom.plans.grouped import best_keys, group_cutoff, row_numbers, running_totals
 
 
 def tokens_seen(df: DataFrame, run: Sequence[str], step: str, n: Column, name: str = "tokens_seen") -> DataFrame:
@@ -22,6 +22,12 @@ def tokens_seen(df: DataFrame, run: Sequence[str], step: str, n: Column, name: s
     return out.withColumn(name, F.col(name) + F.col("_n")).drop("_n")
 
 
+def first_batches(df: DataFrame, split: Sequence[str], batch_id: str, n: int, loss: str = "loss") -> DataFrame:
+    """``(split.., loss)`` of the first ``n`` batches of each split, limited before the shuffle."""
+    key = F.struct((-F.col(batch_id)).alias("b"), F.col(loss).alias("l"))
+    return best_keys(df, split, key, n).select(*split, F.col("_k.l").alias(loss))
+
+
 def mean_first_batches(df: DataFrame, splits: Sequence[str], num_batches: int | None, split: str = "split",
                        batch_id: str = "batch_id", loss: str = "loss") -> DataFrame:
     """Mean loss of the first batches per split; NaN for a split without any."""
@@ -33,8 +39,8 @@ def mean_first_batches(df: DataFrame, splits: Sequence[str], num_batches: int |
 
 def sampled_steps(df: DataFrame, run: Sequence[str], step: str, every: int) -> DataFrame:
     """Every ``every``-th step, and the first step of each run."""
-    numbered = row_numbers(df, run, [step], "_rn")
-    return numbered.where((F.col(step) % every == 0) | (F.col("_rn") == 0)).drop("_rn")
+    first = df.groupBy(*run).agg(F.min(step).alias("_first"))
+    return df.join(first, list(run)).where((F.col(step) % every == 0) | (F.col(step) == F.col("_first"))).drop("_first").select(*df.columns)
 
 
 def even_axis(df: DataFrame, run: Sequence[str], step: str, end: Column | float, name: str = "axis") -> DataFrame:
@@ -81,7 +87,7 @@ def retention(df: DataFrame, group: Sequence[str], name: str, order: str, keep:
     listed = df.withColumn("step", step)
     ranked = listed.where("step IS NOT NULL")
     key = F.struct(F.col("step"), -F.col(order))
-    cut = group_cutoff(ranked, find_hot(ranked, group), order, key, keep, "_cut")
+    cut = group_cutoff(ranked, group, order, key, keep, "_cut")
     kept = cut.select(*df.columns, "step", F.when(key >= F.col("_cut"), "keep").otherwise("delete").alias("action"))
     rest = listed.where("step IS NULL").withColumn(
         "action", F.when(is_interrupted_artifact(F.col(name)), "delete").otherwise("ignore")

@@ -45,9 +45,9 @@ def _(spark, d):
         FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'empty']) AS split) LEFT JOIN m USING (split)""",
 )
 def _(spark, d):
-    batches = row_numbers(_log(spark, d), ["kind"], ["step"], "batch_id").withColumnRenamed("kind", "split")
+    batches = runs.first_batches(_log(spark, d).withColumnRenamed("kind", "split"), ["split"], "step", 20)
     names = ["click", "error", "purchase", "signup", "view", "empty"]
-    return runs.mean_first_batches(batches, names, 20).select("split", F.round("mean_loss", 6).alias("mean_loss"))
+    return runs.mean_first_batches(batches, names, None).select("split", F.round("mean_loss", 6).alias("mean_loss"))
 
 
 @query(

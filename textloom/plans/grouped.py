@@ -200,29 +200,35 @@ def group_values(
     return joined.select(*df.columns, *[F.coalesce(f"_whole_{n}", f"_local_{n}").alias(n) for n in aggs])
 
 
-def group_cutoff(df: DataFrame, hot: HotGroups, spread_by: str, key: Column, k: int, name: str = "cutoff") -> DataFrame:
-    """Add the ``k``-th largest key of the group (the smallest one if fewer).
+def best_keys(df: DataFrame, group: Sequence[str], key: Column, k: int, spread_by: str | None = None) -> DataFrame:
+    """``(group.., _k, _r)``: the ``k`` largest keys of each group, ``_r`` counting them from 1.
 
-    ``key >= cutoff`` keeps exactly ``k`` rows when keys are unique, and all
-    ties at the line when they are not. Of a hot group each bucket passes on
-    its own ``k`` best rows only.
+    ``row_number() <= k`` is a limit per group that Spark applies before the
+    shuffle too, so a task sends ``k`` rows of a group at most. ``spread_by``
+    cuts groups into buckets first, for a ``k`` as large as a bucket.
     """
-    group = list(hot.group)
-    plain = hot.table is None
-    rows = df if plain else hot.mark(df).withColumn("_b", _salt(spread_by))
-    rows = rows.withColumn("_k", key)
-    together = Window.partitionBy(*group) if plain else Window.partitionBy(*group, "_b")
-    ranked = rows.withColumn("_r", F.row_number().over(together.orderBy(F.desc("_k"))))
-    local = F.coalesce(F.max(F.when(F.col("_r") == k, F.col("_k"))).over(together), F.min("_k").over(together))
-    if plain:
-        return ranked.withColumn(name, local).select(*df.columns, name)
-    ranked = ranked.withColumn("_local", local)
+    group = list(group)
+    rows = df.select(*group, key.alias("_k"), *([F.pmod(F.xxhash64(spread_by), F.lit(_BUCKETS)).alias("_b")] if spread_by else []))
+    if spread_by:
+        inside = Window.partitionBy(*group, "_b").orderBy(F.desc("_k"))
+        rows = rows.withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= k).select(*group, "_k")
+    whole = Window.partitionBy(*group).orderBy(F.desc("_k"))
+    return rows.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= k)
+
 
-    best = rows.where("_hot IS NOT NULL").withColumn("_r", F.row_number().over(together.orderBy(F.desc("_k"))))
-    best = best.where(F.col("_r") <= k).select(*group, "_k")
-    overall = Window.partitionBy(*group).orderBy(F.desc("_k"))
-    best = best.select(*group, "_k", F.row_number().over(overall).alias("_r")).where(F.col("_r") <= k)
-    whole = best.groupBy(*group).agg(F.min("_k").alias("_whole"))  # one row per hot group
+_BUCKETS = 64
+LARGE_K = 1 << 16  # rows of a group's limit that one task may order
 
-    joined = ranked.join(hot.sent(whole), group, "left")
-    return joined.select(*df.columns, F.coalesce("_whole", "_local").alias(name))
+
+def group_cutoff(df: DataFrame, group: Sequence[str], spread_by: str, key: Column, k: int, name: str = "cutoff") -> DataFrame:
+    """Add the ``k``-th largest key of the group (the smallest one if fewer).
+
+    ``key >= cutoff`` keeps exactly ``k`` rows when keys are unique, and all
+    ties at the line when they are not. No group is sorted: of each only its
+    best ``k`` keys are dealt out, and the line is joined back by group. The
+    line has one row per group, hence no broadcast hint; groups must not be null.
+    """
+    group = list(group)
+    best = best_keys(df, group, key, k, spread_by if k > LARGE_K else None)
+    line = best.groupBy(*group).agg(F.min("_k").alias(name))
+    return df.join(line, group).select(*df.columns, name)
