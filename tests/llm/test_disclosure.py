@@ -178,3 +178,18 @@ def test_registered_digest(spark, tmp_path):
         assert [got[i][f"n_{kind}"] for kind in dc.KINDS] == [sum(s[0] == kind for s in spans) for kind in dc.KINDS]
         assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert got[i].spans == joined
+
+
+def test_strings_that_a_term_announces(spark):
+    secret = lambda i: f"{i:02d}ab9f" * 4
+    rows = [(i, f"Some words {i} token = \"{secret(i)}\" and more") for i in range(6)]
+    rows += [(100 + i, f"the words of text {i} are plain") for i in range(200)]
+    rows += [(400 + i, f"see the {secret(50 + i)} of it") for i in range(6)]  # behind an ordinary word
+    rows += [(500, None), (502, f"token 1234567890123456 x{secret(3)}@mail.example.com")]
+    found = {r.doc_id: r.private for r in dc.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i in range(6):
+        text = rows[i][1]
+        assert [text[t.start : t.end] for t in found[i].terms] == [secret(i)]
+    assert all(not found[i].terms for i in found if i >= 6)
+    clean = {r.doc_id: r.text for r in dc.sanitised(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(secret(i) not in clean[i] for i in range(6)) and clean[401] == rows[207][1]

@@ -12,6 +12,13 @@ found in ``LEAST_TEXTS`` different texts, so copies of one text do not suffice.
 
 Terms are runs of letters, lower-cased, of ``TERM_LETTERS`` or more. Near means
 among the ``NEAR`` terms before or after the entity, up to the next entity.
+
+Secrets are mostly unique, so no value says what they are; what announces them
+does. All opaque strings (``OPAQUE`` characters or more, letters and digits
+mixed) are one entity, ``CLASS``, and the term right before one is near it. A
+term over the threshold (``token``, say, if it hardly ever stands elsewhere)
+discloses what it announces, and the strings behind it are taken out. Opaque
+strings behind ordinary words stay.
 """
 
 from __future__ import annotations
@@ -25,7 +32,9 @@ from textloom.llm.divergence import let
 from textloom.plans.shared_dir import materialise
 
 NEAR = 6
-TERM_LETTERS = 4
+TERM_LETTERS = 2
+OPAQUE = 16
+CLASS = "class:opaque"
 LEAST_TEXTS = 3
 GENERALISED, REMOVED = 0.9, 0.98  # of the entity's information content
 
@@ -129,6 +138,31 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS))
 
 
+_ANNOUNCED = "array<struct<term:string,start:int,end:int>>"
+_OPAQUE = rf"[A-Za-z0-9_-]{{{OPAQUE},}}+"
+
+
+def announced(text: Column, spans: Column) -> Column:
+    """Opaque strings outside of ``spans``, each with the term before it: a run of letters and up to eight other characters."""
+    pattern = F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}+[^\p{{L}}\p{{N}}]{{1,8}}+{_OPAQUE}")
+
+    def placed(found: Column) -> Column:
+        between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, m: gap + F.length(m))
+        values = F.zip_with(running_sums(steps), found, lambda end, m: F.struct(
+            F.lower(F.regexp_extract(m, r"^\p{L}+", 0)).alias("term"), (end - F.length(F.regexp_extract(m, rf"{_OPAQUE}\z", 0))).alias("start"),
+            end.alias("end"), F.regexp_extract(m, rf"{_OPAQUE}\z", 0).alias("value"),
+        ))
+        mixed = F.filter(values, lambda v: v["value"].rlike("[0-9]") & v["value"].rlike("[A-Za-z]"))
+        apart = F.filter(mixed, lambda v: ~F.exists(spans, lambda x: (x["start"] < v["end"]) & (v["start"] < x["end"])))
+        return F.transform(apart, lambda v: F.struct(v["term"], v["start"], v["end"])).cast(_ANNOUNCED)
+
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    maybe = text.rlike(rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{OPAQUE}}}")
+    none = F.array().cast(_ANNOUNCED)
+    return F.when(maybe, let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none))).otherwise(none)
+
+
 _NEARBY = "array<struct<entity:string,term:string,start:int,end:int>>"
 
 
@@ -178,9 +212,13 @@ def _counted(nearby: DataFrame, docs: DataFrame, n_docs: int, least_texts: int,
     """Pairs ``entity, term, ratio, removed`` over the threshold. All documents count, combined before each shuffle."""
     of_row = lambda *cols: F.array_distinct(F.transform("_near", lambda x: F.struct(*[x[c].alias(c) for c in cols])))
     pairs = nearby.select("_print", F.explode(of_row("entity", "term")).alias("p")).groupBy("p.entity", "p.term", "_print").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
+    own = nearby.select("_print", F.explode(F.array_distinct(F.transform("_announced", lambda x: x["term"]))).alias("term"))
+    own = own.groupBy(F.lit(CLASS).alias("entity"), "term", "_print").agg(F.count("*").alias("n"))
+    pairs = pairs.unionByName(own).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= least_texts)
     pairs = materialise(pairs, "near-pairs")
     entities = nearby.select(F.explode(F.array_distinct(F.transform("_spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_class = nearby.where(F.size("_announced") > 0).agg(F.count("*").alias("n_entity")).select(F.lit(CLASS).alias("entity"), "n_entity")
+    entities = entities.unionByName(of_class)
     terms = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     known = pairs.join(entities, "entity").join(terms, "term")
     pmi = F.log2(F.col("n_both") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
@@ -212,13 +250,15 @@ def find(
     """
     kept = [c for c in docs.columns if c != name]
     inside = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce("text", F.lit("")).alias("text"))
-    keyed = inside.withColumn("_spans", personal_spans(F.col("text")))
+    keyed = inside.withColumn("_spans", personal_spans(F.col("text"))).withColumn("_announced", announced(F.col("text"), F.col("_spans")))
     prints = [F.xxhash64("text").alias("_print"), F.xxhash64(F.lit(1), F.col("text")).alias("_more")]
-    private = keyed.where(F.size("_spans") > 0)
-    nearby = materialise(private.select(*prints, "_spans", _near(F.col("text"), F.col("_spans")).alias("_near")), "near-entities")
+    private = keyed.where((F.size("_spans") > 0) | (F.size("_announced") > 0))
+    nearby = materialise(private.select(*prints, "_spans", "_announced", _near(F.col("text"), F.col("_spans")).alias("_near")), "near-entities")
     pairs = _counted(nearby, inside, docs.count(), least_texts, generalised, removed)
 
-    places = nearby.dropDuplicates(["_print", "_more"]).select("_print", "_more", F.explode("_near").alias("x"))
+    texts = nearby.dropDuplicates(["_print", "_more"])
+    classed = F.transform("_announced", lambda x: F.struct(F.lit(CLASS).alias("entity"), x["term"].alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+    places = texts.select("_print", "_more", F.explode(F.concat("_near", classed.cast(_NEARBY))).alias("x"))
     places = places.select("_print", "_more", "x.*").join(pairs.select("entity", "term", "removed"), ["entity", "term"])
     places = places.groupBy("_print", "_more", "start", "end").agg(F.max("removed").alias("removed"))
     span = F.struct(F.lit(TERM).alias("kind"), "start", "end", "removed")
