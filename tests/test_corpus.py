@@ -23,9 +23,7 @@ def test_articles_to_windows(spark):
     vocab, merges, _ = bpe.train_on_text(clean, vocab_size=120, min_frequency=2)
     ids = encode.encode(clean, words.words_of(F.col("text")), merges, vocab, eos=0)
     tokens = materialise(pack.with_sizes(ids.select("source", "ord", "ids")), "tokens")
-    windows = pack.pack(tokens, ["source"], "ord", max_length=16, stride=12, n_ids="n_ids")
-    streams = tokens.groupBy("source").agg(F.sum("n_ids").alias("n_tokens"))
-    numbered = split.number_windows(windows, streams, "source", 16, 12)
+    numbered = pack.pack(tokens, ["source"], "ord", max_length=16, stride=12, n_ids="n_ids", numbered=True)
     got = split.positional_split(numbered, 0.9).orderBy("rn").collect()
 
     stream = {s: [] for s in ("big", "small")}

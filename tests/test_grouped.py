@@ -14,6 +14,7 @@ def sizes(request, monkeypatch):
     if request.param == "hot":
         monkeypatch.setattr(grouped, "HOT_ROWS", 20)
         monkeypatch.setattr(grouped, "KEYS_PER_BUCKET", 16)
+        monkeypatch.setattr(grouped, "ROWS_PER_RANGE", 16)
         monkeypatch.setattr(grouped, "BUCKETS_PER_RANGE", 4)
         monkeypatch.setattr(grouped, "ROWS_PER_SALT", 8)
     return request.param

@@ -9,16 +9,19 @@ sees a whole stream). Each row then emits, per window it touches, the slice of
 its ids that falls into it, and slices meet in ``groupBy(stream, window)``. A
 group holds at most ``max_length + 1`` slices whatever the size of the stream,
 and tokens travel as array slices, never as one row each.
+
+How many windows there are, and which number each has among those of all
+streams, follows from token counts alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.plans.grouped import key_bucket, running_totals
+from textloom.plans.grouped import key_bucket, running_totals, totals_by_range
 
 _ROWS_PER_BUCKET = 1 << 12  # rows of a stream numbered together; they carry their ids
 
@@ -37,35 +40,88 @@ def with_sizes(df: DataFrame, ids: str = "ids", name: str = "n_ids") -> DataFram
     return df.withColumn(name, F.size(ids).cast("bigint"))
 
 
-def stream_offsets(df: DataFrame, stream: Sequence[str], order: str, ids: str = "ids", n_ids: str | None = None) -> DataFrame:
+def stream_offsets(
+    df: DataFrame,
+    stream: Sequence[str],
+    order: str | Sequence[str],
+    ids: str = "ids",
+    n_ids: str | None = None,
+    any_key: bool = False,
+    carried: DataFrame | None = None,
+) -> DataFrame:
     """Add ``start`` (tokens before the row) and ``n_tokens`` (of the stream).
 
     ``n_ids`` names a column that holds the number of ids, see ``with_sizes``.
+    ``order`` is a dense integer, or with ``any_key`` columns of any type, of
+    which sampled ranges are summed; then the ids stay where they are until the
+    offsets are joined back. ``carried`` holds further columns of each stream.
     """
     size = F.col(n_ids) if n_ids else F.size(ids).cast("bigint")
-    bucket = key_bucket(order, _ROWS_PER_BUCKET)
-    return running_totals(df, stream, [order], {"start": size}, bucket, {"n_tokens": "start"})
+    order = [order] if isinstance(order, str) else list(order)
+    if any_key:
+        keys = [*stream, *order]
+        sizes = df.select(*keys, size.alias("_size"))
+        placed = totals_by_range(sizes, stream, order, {"start": F.col("_size")}, {"n_tokens": "start"}, carried)
+        return df.join(placed.drop("_size"), keys)
+    bucket = key_bucket(order[0], _ROWS_PER_BUCKET)
+    return running_totals(df, stream, order, {"start": size}, bucket, {"n_tokens": "start"}, carried=carried)
+
+
+def window_bases(streams: DataFrame, stream: Sequence[str], max_length: int = MAX_LENGTH, stride: int = STRIDE) -> DataFrame:
+    """``(stream.., base, n_rows)``: windows of the streams that come earlier by name, and of all.
+
+    ``streams`` is ``(stream.., n_tokens)``, one row per file or source, and is
+    the only table that is ordered as a whole.
+    """
+    counts = streams.select(*stream, n_windows(F.col("n_tokens"), max_length, min(stride, max_length + 1)).alias("_n"))
+    whole = Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy(*stream).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("bigint"))
+    return counts.select(*stream, base.alias("base"), F.sum("_n").over(whole).alias("n_rows"))
+
+
+def count_windows(df: DataFrame, stream: Sequence[str], n_ids: str, max_length: int = MAX_LENGTH, stride: int = STRIDE) -> DataFrame:
+    """``(n_rows)``: windows of all streams, from their token counts; no window is built."""
+    streams = df.groupBy(*stream).agg(F.sum(n_ids).alias("_n"))
+    n = n_windows(F.col("_n"), max_length, min(stride, max_length + 1))
+    return streams.agg(F.coalesce(F.sum(n), F.lit(0).cast("bigint")).alias("n_rows"))
 
 
 def pack(
     df: DataFrame,
     stream: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     ids: str = "ids",
     max_length: int = MAX_LENGTH,
     stride: int = STRIDE,
     n_ids: str | None = None,
+    any_key: bool = False,
+    numbered: bool = False,
 ) -> DataFrame:
     """``(stream.., win, n_tokens, input_ids, target_ids)`` for all windows.
 
-    ``order`` is a non-null integer, unique in its stream. A stride beyond
-    ``max_length + 1`` acts as that: the packer never drops more than it holds.
+    ``order`` is unique in its stream: a dense integer, or with ``any_key`` one
+    or more columns of any type. A null stream or order fails the job. A stride
+    beyond ``max_length + 1`` acts as that: the packer never drops more than it
+    holds.
+
+    ``numbered`` adds ``rn``, the position of the window when streams follow
+    one another by name, and ``n_rows``, the windows of all. Both come with the
+    offsets of the rows, so windows are not joined with anything.
     """
     if stride < 1:
         raise ValueError("stride must be at least 1")
-    kept = [*stream, order, ids, *([n_ids] if n_ids else [])]
-    rows = stream_offsets(df.select(*kept), stream, order, ids, n_ids)
-    return _windows(rows, list(stream), F.col("start"), F.col("n_tokens"), ids, max_length, min(stride, max_length + 1))
+    stride = min(stride, max_length + 1)
+    order = [order] if isinstance(order, str) else list(order)
+    rows = df.select(*stream, *order, ids, *([n_ids] if n_ids else []))
+    bases = None
+    if numbered:
+        size = F.col(n_ids) if n_ids else F.size(ids).cast("bigint")
+        bases = window_bases(rows.groupBy(*stream).agg(F.sum(size).alias("n_tokens")), stream, max_length, stride)
+    rows = stream_offsets(rows, stream, order, ids, n_ids, any_key, bases)
+    whole = ["n_tokens", "base", "n_rows"] if numbered else ["n_tokens"]
+    out = _windows(rows, list(stream), whole, ids, max_length, stride)
+    return out.withColumn("rn", F.col("base") + F.col("win")).drop("base") if numbered else out
 
 
 def pack_rows(
@@ -91,32 +147,33 @@ def pack_rows(
     )
 
 
-def _windows(rows, stream, start, total, ids, max_length, stride) -> DataFrame:
+def _windows(rows, stream, of_stream, ids, max_length, stride) -> DataFrame:
+    """Windows of rows with ``start``; the columns ``of_stream``, ``n_tokens`` among them, are kept."""
     span = max_length + 1
-    size = F.size(ids).cast("bigint")
+    start, size = F.col("start"), F.size(ids).cast("bigint")
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((start - max_length) / stride).cast("bigint"))
-    last = F.least(F.floor((start + size - 1) / stride).cast("bigint"), n_windows(total, max_length, stride) - 1)
-    touched = rows.select(*stream, ids, start.alias("_s"), total.alias("_n"), first.alias("_first"), last.alias("_last"))
+    last = F.least(F.floor((start + size - 1) / stride).cast("bigint"), n_windows(F.col("n_tokens"), max_length, stride) - 1)
+    touched = rows.select(*stream, ids, start.alias("_s"), *of_stream, first.alias("_first"), last.alias("_last"))
     touched = touched.where((F.size(ids) > 0) & (F.col("_first") <= F.col("_last")))
-    each = touched.select(*stream, ids, "_s", "_n", F.explode(F.sequence("_first", "_last")).alias("win"))
+    each = touched.select(*stream, ids, "_s", *of_stream, F.explode(F.sequence("_first", "_last")).alias("win"))
     begin = F.col("win") * stride
     at = F.greatest(begin - F.col("_s"), F.lit(0))
     upto = F.least(begin + span - F.col("_s"), F.size(ids).cast("bigint"))
     parts = each.select(
         *stream,
         "win",
-        "_n",
+        *of_stream,
         F.struct(
             (F.col("_s") + at).alias("at"), F.slice(ids, (at + 1).cast("int"), (upto - at).cast("int")).alias("ids")
         ).alias("_part"),
     )
     whole = parts.groupBy(*stream, "win").agg(
-        F.first("_n").alias("n_tokens"), F.flatten(F.array_sort(F.collect_list("_part"))["ids"]).alias("_w")
+        *[F.first(c).alias(c) for c in of_stream], F.flatten(F.array_sort(F.collect_list("_part"))["ids"]).alias("_w")
     )
     return whole.select(
         *stream,
         "win",
-        "n_tokens",
+        *of_stream,
         F.slice("_w", F.lit(1), F.lit(max_length)).alias("input_ids"),
         F.slice("_w", F.lit(2), F.lit(max_length)).alias("target_ids"),
     )

@@ -1,21 +1,19 @@
 """Splits, batches and resume points over numbered rows.
 
-Positions come from an explicit order (``plans.grouped.row_numbers``), never
-from file order, so a split is the same however the table is partitioned.
+Positions come from an explicit order (``plans.grouped``), never from file
+order, so a split is the same however the table is partitioned. Windows are
+numbered as they are packed (``pack.pack`` with ``numbered``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import HASH_BITS, hash60
-from textloom.operators.pack import n_windows
-from textloom.plans.grouped import row_numbers
-
-_RANGE_BITS = 16  # windows per join range: 65,536
+from textloom.plans.grouped import positions, row_numbers
 
 
 def head_size(n: Column, ratio: float = 0.9) -> Column:
@@ -23,32 +21,15 @@ def head_size(n: Column, ratio: float = 0.9) -> Column:
     return F.floor(n * F.lit(ratio)).cast("bigint")
 
 
-def number_rows(df: DataFrame, order: str, name: str = "rn", total: str = "n_rows") -> DataFrame:
-    """Dense 0-based position along a unique integer, and the row count."""
-    return row_numbers(df, [], [order], name, total=total)
-
-
-def number_windows(
-    windows: DataFrame, streams: DataFrame, stream: str, max_length: int, stride: int, name: str = "rn"
+def number_rows(
+    df: DataFrame, order: str | Sequence[str], name: str = "rn", total: str = "n_rows", any_key: bool = False
 ) -> DataFrame:
-    """Position of each window in all streams, one stream after the other by name.
+    """Dense 0-based position, and the row count, along a unique order.
 
-    ``win`` already counts inside a stream, so a position is that plus the
-    windows of earlier streams; window counts follow from token counts.
-    ``streams`` is ``(stream, n_tokens)``, one row per file, and is the only
-    table that is ordered as a whole. Its rows are repeated per range of
-    windows before the join, so a large stream meets them in many tasks.
+    That is a dense integer, or with ``any_key`` columns of any type.
     """
-    counts = streams.select(stream, n_windows(F.col("n_tokens"), max_length, min(stride, max_length + 1)).alias("_n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy(stream).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    bases = counts.select(
-        stream, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"), F.sum("_n").over(whole).alias("n_rows")
-    )
-    ranges = F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("_n") - 1, _RANGE_BITS))
-    bases = bases.where(F.col("_n") > 0).withColumn("_range", F.explode(ranges)).drop("_n")
-    joined = windows.withColumn("_range", F.shiftright("win", _RANGE_BITS)).join(bases, [stream, "_range"])
-    return joined.select(*windows.columns, (F.col("_base") + F.col("win")).alias(name), "n_rows")
+    order = [order] if isinstance(order, str) else list(order)
+    return positions(df, [], order, name, total) if any_key else row_numbers(df, [], order, name, total=total)
 
 
 def positional_split(df: DataFrame, ratio: float = 0.9, rn: str = "rn", total: str = "n_rows") -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
+from textloom.functions.hashing import hash60
 from textloom.operators import bpe, chat, loader, pack, split, words
 from textloom.operators import encode as enc
+from textloom.plans import grouped
 from textloom.plans.catalog_text import LATIN, sql_collapse, sql_html, sql_keep_script, sql_standardise, sql_strip
 from textloom.plans.registry import query, table, text_table
 from textloom.plans.shared_dir import fresh_path, materialise
@@ -68,9 +70,11 @@ def _numbered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered_windows(tokens: DataFrame) -> DataFrame:
-    streams = tokens.groupBy("source").agg(F.sum("n_ids").alias("n_tokens"))
-    windows = pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids")
-    return split.number_windows(windows, streams, "source", L, S)
+    return pack.pack(tokens, ["source"], "doc_id", max_length=L, stride=S, n_ids="n_ids", numbered=True)
+
+
+def _window_count(spark: SparkSession, d: str) -> DataFrame:
+    return pack.count_windows(_tokens(spark, d), ["source"], "n_ids", L, S)
 
 
 @query("closed_vocabulary", "F3 F12", f"{_TOKENS_SQL} SELECT token, CAST(id AS INTEGER) AS id FROM v UNION ALL SELECT '<|unk|>', 1")
@@ -128,6 +132,22 @@ def _(spark, d):
     return _shown(_windows(spark, d), "source", "win", "n_tokens")
 
 
+@query(
+    "packed_windows_by_digest",
+    "G1 G2 H7",
+    f"""{_TOKENS_SQL},
+  td AS (SELECT source, flatten(list(ids ORDER BY md5(CAST(doc_id AS VARCHAR)))) AS ids FROM k GROUP BY source)
+  SELECT source, CAST(st // {S} AS BIGINT) AS win, CAST(len(ids) AS BIGINT) AS n_tokens,
+    row_number() OVER (ORDER BY source, st) - 1 AS rn, {", ".join(f"array_to_string(ids[st + {a + 1}:st + {L + a}], ',') AS {c}" for a, c in enumerate(("input_ids", "target_ids")))}
+  FROM (SELECT source, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM td)""",
+)
+def _(spark, d):
+    """Documents follow one another in the order of a digest, not of their ids."""
+    tokens = _tokens(spark, d).withColumn("digest", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    windows = pack.pack(tokens, ["source"], "digest", max_length=L, stride=S, n_ids="n_ids", any_key=True, numbered=True)
+    return _shown(windows, "source", "win", "n_tokens", "rn")
+
+
 @query(
     "windows_per_document",
     "G3 G4",
@@ -167,7 +187,7 @@ _CUT = "CAST(floor(n_rows * 0.9::DOUBLE) AS BIGINT)"
 
 @query("split_sizes", "H1 J1", f"{_WINDOWS_SQL} SELECT count(*) AS n_rows, CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) AS n_train FROM win")
 def _(spark, d):
-    return _windows(spark, d).agg(F.count("*").alias("n_rows")).select("n_rows", split.head_size(F.col("n_rows")).alias("n_train"))
+    return _window_count(spark, d).select("n_rows", split.head_size(F.col("n_rows")).alias("n_train"))
 
 
 @query(
@@ -248,6 +268,18 @@ def _(spark, d):
     return split.shuffled_numbers(table(spark, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "rn")
 
 
+@query(
+    "positions_by_hashed_key",
+    "H1 H7 J3",
+    f"""SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS rn, count(*) OVER (PARTITION BY source) AS n
+        FROM (SELECT source, doc_id, {sql_hash60('doc_id')} * 8 - {1 << 62} AS h FROM documents)""",
+)
+def _(spark, d):
+    """Rows numbered in their source along a signed 64-bit hash."""
+    keyed = table(spark, d, "documents").select("source", "doc_id", (hash60("doc_id") * 8 - F.lit(1 << 62)).alias("h"))
+    return grouped.positions(keyed, ["source"], ["h", "doc_id"], "rn", "n").drop("h")
+
+
 @query(
     "split_texts",
     "H6",
@@ -299,7 +331,7 @@ def _(spark, d):
 
 @query("loader_length", "H10", f"{_WINDOWS_SQL} SELECT count(*) // {BATCH} AS n_batches FROM win")
 def _(spark, d):
-    return _windows(spark, d).agg(split.n_batches(F.count("*"), BATCH).alias("n_batches"))
+    return _window_count(spark, d).select(split.n_batches(F.col("n_rows"), BATCH).alias("n_batches"))
 
 
 @query(

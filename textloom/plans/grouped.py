@@ -12,15 +12,21 @@ the group columns.
   from a small table. The marked rows are written once, as both sides of that
   join read them.
 
+Where order matters, buckets are ranges of the order columns. ``in_ranges``
+samples them, so keys of any type and spread give even ranges. ``key_bucket``
+is the cheaper cut for integers known to be dense, such as row numbers.
+
 A group is hot above ``HOT_ROWS`` rows, at any size of the table. Up to
 ``HOT_PARTS`` hot groups travel to the tasks; more are written as a table and
 joined.
 
-Group columns must not be null.
+Group columns must not be null. Where groups are cut, a null in a group column
+or in the first order column fails the job.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,6 +41,8 @@ HOT_PARTS = 100_000  # hot groups that may go to every task
 KEYS_PER_BUCKET = 1 << 16  # key range of a bucket: at most this many rows, keys being unique
 BUCKETS_PER_RANGE = 1 << 12  # buckets per second-level range
 ROWS_PER_SALT = 1 << 18  # aimed rows per bucket where order does not matter
+ROWS_PER_RANGE = 1 << 18  # aimed rows of a sampled range; none has more than twice as many
+_DEALS = 8  # times the ranges may be halved to reach that
 
 
 @dataclass(frozen=True)
@@ -71,6 +79,32 @@ def key_bucket(key: str | Column, width: int | None = None) -> Column:
     return F.shiftright(key, (width or KEYS_PER_BUCKET).bit_length() - 1)
 
 
+def required(column: str) -> Column:
+    """The column itself; a null fails the job."""
+    fails = F.raise_error(F.lit(f"{column} must not be null"))
+    return F.when(F.col(column).isNull(), fails).otherwise(F.col(column)).alias(column)
+
+
+def in_ranges(df: DataFrame, order: Sequence[str], name: str = "_range") -> DataFrame:
+    """Deal the rows out by ranges of ``order``, write them and add the number of the range.
+
+    Range numbers do not decrease along ``order``, and equal keys share a
+    range. Spark samples the limits of the ranges; then the rows of each range
+    are counted. While one has more than twice ``ROWS_PER_RANGE`` rows, the
+    table is dealt out again into twice as many. Keys that repeat so often that
+    no limits can part them fail. ``df`` is read several times.
+    """
+    n = max(1, math.ceil(df.count() / ROWS_PER_RANGE))
+    for _ in range(_DEALS):
+        dealt = df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id().cast("bigint"))
+        dealt = materialise(dealt, "ranges")
+        largest = dealt.groupBy(name).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= 2 * ROWS_PER_RANGE:
+            return dealt
+        n *= 2
+    raise ValueError(f"{', '.join(order)}: {largest} rows share a range, keys repeat too often")
+
+
 def _salt(column: str) -> Column:
     """Order-free bucket of a marked row; usual groups have one bucket."""
     n = F.ceil(F.col("_hot") / F.lit(ROWS_PER_SALT)).cast("bigint")
@@ -85,53 +119,101 @@ def running_totals(
     bucket: Column | None = None,
     totals: Mapping[str, str] | None = None,
     hot: HotGroups | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per value, its sum over the rows of the group that come earlier.
 
     ``values`` maps an output column to the summed expression; the sum excludes
     the row itself. ``totals`` maps further output columns to a value name and
-    adds the sum over the whole group. The first order column is an integer,
-    unique in its group.
+    adds the sum over the whole group. The order columns are of any type and
+    unique in their group.
 
     With ``bucket`` all groups are cut, by a bucket that does not decrease
     along ``order``: for groups known to be large. Without groups the whole
-    table is cut.
+    table is cut, by its first order column, a dense integer. ``carried`` holds
+    further columns of each group, to be added with those of its buckets.
     """
     group, totals, names = list(group), dict(totals or {}), list(values)
     cut_all = bucket is not None or not group
     if not cut_all:
         hot = hot or find_hot(df, group)
-    plain = not cut_all and hot.table is None
+        if hot.table is not None:
+            return _hot_and_usual(df, group, order, values, totals, hot)
     if cut_all:
-        keyed = df.withColumn("_b", key_bucket(order[0]) if bucket is None else bucket)
-    elif plain:
-        keyed = df.withColumn("_b", F.lit(0).cast("bigint"))
+        checked = {c: required(c) for c in [*group, order[0]]}
+        keyed = df.select(*[checked.get(c, F.col(c)) for c in df.columns])
+        keyed = keyed.withColumn("_b", key_bucket(order[0]) if bucket is None else bucket)
     else:
-        keyed = hot.mark(df)
-        keyed = keyed.withColumn("_b", F.when(F.col("_hot").isNotNull(), key_bucket(order[0])).otherwise(F.lit(0).cast("bigint")))
+        keyed = df.withColumn("_b", F.lit(0).cast("bigint"))
     keyed = keyed.select("*", *[values[n].alias(f"_v_{n}") for n in names])
 
-    together = Window.partitionBy(*group) if plain else Window.partitionBy(*group, "_b")
+    together = Window.partitionBy(*group, "_b") if cut_all else Window.partitionBy(*group)
     before = together.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     in_bucket = [F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in names]
-    of_bucket = [] if cut_all else [F.sum(f"_v_{v}").over(together).alias(f"_all_{c}") for c, v in totals.items()]
-    rows = keyed.select(*df.columns, "_b", *in_bucket, *of_bucket)
-    if plain:
+    of_group = [] if cut_all else [F.sum(f"_v_{v}").over(together).alias(f"_all_{c}") for c, v in totals.items()]
+    rows = keyed.select(*df.columns, "_b", *in_bucket, *of_group)
+    if not cut_all:
         return rows.select(
             *df.columns, *[F.col(f"_in_{n}").alias(n) for n in names], *[F.col(f"_all_{c}").alias(c) for c in totals]
         )
 
-    cut = keyed if cut_all else keyed.where("_hot IS NOT NULL")
+    offsets = _bucket_offsets(keyed, group, names, totals)
+    added = []
+    if carried is not None:
+        added = [c for c in carried.columns if c not in group]
+        offsets = offsets.join(carried, group)
     # rows already lie by (group, bucket); the hint keeps them there on small data too
-    offsets = _bucket_offsets(cut, group, names, totals).hint("shuffle_hash")
-    joined = rows.join(offsets, [*group, "_b"], "inner" if cut_all else "left")
+    joined = rows.join(offsets.hint("shuffle_hash"), [*group, "_b"])
     return joined.select(
         *[joined[c] for c in df.columns],
-        *[(F.col(f"_in_{n}") + F.coalesce(f"_off_{n}", F.lit(0))).alias(n) for n in names],
-        *[(F.col(f"_sum_{c}") if cut_all else F.coalesce(f"_sum_{c}", f"_all_{c}")).alias(c) for c in totals],
+        *[(F.col(f"_in_{n}") + F.col(f"_off_{n}")).alias(n) for n in names],
+        *[F.col(f"_sum_{c}").alias(c) for c in totals],
+        *added,
     )
 
 
+def _hot_and_usual(df, group, order, values, totals, hot: HotGroups) -> DataFrame:
+    """``running_totals`` of usual groups by plain windows, of hot ones by sampled ranges."""
+    marked = hot.mark(df)
+    usual = marked.where("_hot IS NULL").drop("_hot")
+    usual = running_totals(usual, group, order, values, totals=totals, hot=HotGroups(hot.group, None))
+    large = in_ranges(marked.where("_hot IS NOT NULL").drop("_hot"), [*group, *order])
+    large = running_totals(large, group, order, values, F.col("_range"), totals)
+    return usual.unionByName(large.drop("_range"))
+
+
+def totals_by_range(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, Column],
+    totals: Mapping[str, str] | None = None,
+    carried: DataFrame | None = None,
+) -> DataFrame:
+    """``running_totals`` along keys of any type and spread, for groups of any size.
+
+    The table is cut into sampled ranges of (group, order): hashed 64-bit
+    integers, texts or decimals number as evenly as dense row numbers do, and a
+    group of a third of all rows lies in many ranges. A null key fails the job,
+    and so does a key that repeats in its group. The rows are written once with
+    their range, so hand over the key and value columns only.
+    """
+    keys = [*group, *order]
+    rows = in_ranges(df.select(*[required(c) if c in keys else F.col(c) for c in df.columns]), keys)
+    # equal keys share a range, so a repeated one stands next to its double there
+    earlier = F.lag(F.struct(*order)).over(Window.partitionBy(*group, "_range").orderBy(*order))
+    repeats = F.raise_error(F.lit(f"{', '.join(keys)}: a key repeats"))
+    first = F.when(earlier == F.struct(*order), repeats).otherwise(F.col(order[0])).alias(order[0])
+    rows = rows.select(*[first if c == order[0] else F.col(c) for c in rows.columns])
+    out = running_totals(rows, group, order, values, F.col("_range"), totals, carried=carried)
+    return out.drop("_range")
+
+
+def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rn", total: str | None = None) -> DataFrame:
+    """Dense 0-based position inside the group along keys of any type, see ``totals_by_range``."""
+    return totals_by_range(df, group, order, {name: F.lit(1).cast("bigint")}, {total: name} if total else None)
+
+
 def _bucket_offsets(keyed: DataFrame, group: list[str], names: list[str], totals: Mapping[str, str]) -> DataFrame:
     """``(group.., _b, _off_.., _sum_..)``: totals before each bucket and of its group.
 
