@@ -10,8 +10,8 @@ from textloom.functions import schedule
 from textloom.functions import text as tx
 from textloom.operators import ranking, runs
 from textloom.sinks import writers
-from textloom.sources import tables
-from textloom.sources.text_files import scan_lines, scan_whole_files
+from textloom.sources import tables, text_files
+from textloom.sources.text_files import scan_lines, scan_stream_lines, scan_whole_files
 from textloom.streaming.clean_stream import append_cleaned, read_new_files
 
 TEXTS = ["plain", 'quoted "x", comma', "two\nlines\n", " edges ", "", None, "क" * 50_000, "a\r\nb", "c\rd", "\\ back \\", "tab\t\"q\""]
@@ -52,6 +52,37 @@ def test_lines_in_order(spark, tmp_path):
     assert whole["b.txt"] == "x\n\ny"
 
 
+def test_numbering_lines_moves_no_text(spark, tmp_path, monkeypatch):
+    (tmp_path / "s=1").mkdir()
+    for name in "ba":
+        (tmp_path / "s=1" / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(900)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        for sent in (text_files.SENT_BLOCKS, 0):
+            monkeypatch.setattr(text_files, "SENT_BLOCKS", sent)
+            lines = scan_stream_lines(spark, str(tmp_path), "s")
+            assert [r.text for r in lines.orderBy("line").collect()] == [f"{n}{i}" for n in "ab" for i in range(900)]
+            assert [r.line for r in lines.orderBy("line").collect()] == list(range(1800))
+            if sent:
+                assert "hashpartitioning" not in lines._jdf.queryExecution().executedPlan().toString()
+        scan = scan_stream_lines(spark, str(tmp_path), "s")
+        (tmp_path / "s=1" / "a.txt").write_text("x\n" * 3000, encoding="utf-8")  # more lines in the same blocks
+        with pytest.raises(Exception, match="files changed"):
+            scan.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sql_over_a_file_leaves_views_alone(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "t"))
+    spark.range(2).createOrReplaceTempView("data")
+    try:
+        got = tables.sql_over_file(spark, str(tmp_path / "t"), "WITH x AS (SELECT id FROM data WHERE id > 2) SELECT count(*) AS n FROM x")
+        assert got.first().n == 4 and spark.table("data").count() == 2
+    finally:
+        spark.catalog.dropTempView("data")
+
+
 def test_corpus_text_in_order(spark, tmp_path):
     df = spark.createDataFrame([("s", i, f"article {i}") for i in range(300)], "s string, o bigint, text string").repartition(6)
     path = tmp_path / "corpus"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import chat, loader, pack, split, words
 from textloom.operators import encode as enc
+from textloom.plans import grouped
 from textloom.plans.shared_dir import materialise
 from textloom.sources.legacy_windows import LEGACY_COLUMN, parse_legacy, to_legacy
 
@@ -165,3 +166,26 @@ def test_text_loader(spark):
     assert [r[0] for r in rows["train"]] == list(range(n_train)) and n_train < len(want["train"])
     seen = [r[2:] for r in rows["train"]]
     assert all(r in want["train"] for r in seen) and seen != want["train"][:n_train]
+
+
+def test_conversation_of_any_length(spark, monkeypatch):
+    rows = [(1, t, None if t % 50 == 0 else "user", f"turn {t}" if t % 7 else None) for t in range(5000)]
+    rows += [(2, 0, "user", " a "), (2, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(6)
+
+    def said(role, text):
+        return f"<|start_header_id|>{role or chat.USER_ROLE}<|end_header_id|>\n\n{(text or '').strip()}<|eot_id|>"
+
+    whole = {c: [said(r, x) for k, _, r, x in rows if k == c] for c in (1, 2)}
+    for hot in (grouped.HOT_ROWS, 100):
+        monkeypatch.setattr(grouped, "HOT_ROWS", hot)
+        monkeypatch.setattr(grouped, "ROWS_PER_RANGE", 500)
+        got = chat.placed_turns(df).orderBy("conv_id", "turn").collect()
+        assert [r.text for r in got] == whole[1] + whole[2]
+        assert all(r.n_chars == len("".join(whole[r.conv_id])) for r in got)
+        assert all("".join(whole[r.conv_id])[r.start : r.start + len(r.text)] == r.text for r in got)
+        assert [r.start for r in got if r.conv_id == 2] == [0, len(whole[2][0])]
+    ids = df.select("conv_id", "turn", F.array("turn", F.col("turn") + 1).alias("ids"))
+    windows = {(r.conv_id, r.win): r.input_ids for r in chat.conversation_windows(ids, max_length=9, stride=7).collect()}
+    stream = [x for t in range(5000) for x in (t, t + 1)]
+    assert windows == {(1, k): a for k, a, _ in windows_of(stream, 9, 7)}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
 from textloom.operators.encode import encode
+from textloom.operators.pack import MAX_LENGTH, STRIDE, pack
 from textloom.operators.words import WORD_PATTERN, words_of
+from textloom.plans.grouped import running_totals
 
 # Special tokens of the chat format and the default role.
 BEGIN_OF_TEXT, END_OF_TEXT = "<|begin_of_text|>", "<|end_of_text|>"
@@ -49,6 +51,37 @@ def encode_turns(
     return out.withColumn(name, turn_ids(F.col("_role_ids"), F.col("_text_ids"), special)).drop("_role_ids", "_text_ids")
 
 
+def _said(role: str, text: str) -> Column:
+    return turn_text(F.coalesce(text, F.lit("")), F.coalesce(role, F.lit(USER_ROLE)))
+
+
+def placed_turns(
+    df: DataFrame, key: Sequence[str] = ("conv_id",), turn: str = "turn", role: str = "role", text: str = "text"
+) -> DataFrame:
+    """``(key.., turn, start, n_chars, text)``: each turn in chat form and its place in its conversation.
+
+    ``start`` counts the characters of earlier turns, ``n_chars`` those of all.
+    One row per turn, so a conversation may have any length: a long one is
+    summed in ranges of turns and never gathered. ``turn`` is unique in its
+    conversation. A null text is an empty one, a null role the default one.
+    """
+    rows = df.select(*key, turn, _said(role, text).alias("text"))
+    sized = running_totals(rows, key, [turn], {"start": F.length("text").cast("bigint")}, totals={"n_chars": "start"})
+    return sized.select(*key, turn, "start", "n_chars", "text")
+
+
+def conversation_windows(
+    turns: DataFrame, key: Sequence[str] = ("conv_id",), turn: str = "turn", ids: str = "ids",
+    max_length: int = MAX_LENGTH, stride: int = STRIDE,
+) -> DataFrame:
+    """Windows over the ids of all turns of a conversation, however many there are.
+
+    ``turns`` is what ``encode_turns`` returns, written once: it is read twice.
+    Windows cross turns, not conversations.
+    """
+    return pack(turns, key, turn, ids, max_length, stride)
+
+
 def render_conversations(
     df: DataFrame, key: Sequence[str] = ("conv_id",), turn: str = "turn", role: str = "role", text: str = "text",
     turns_per_part: int = TURNS_PER_PART,
@@ -58,11 +91,11 @@ def render_conversations(
     A conversation of up to ``turns_per_part`` turns is one row. A longer one
     continues in further parts, so that no row and no task has to hold a
     conversation of any length; concatenating the parts gives the whole.
+    ``placed_turns`` and ``conversation_windows`` have one form at every length.
     A null text is an empty one, a null role the default one.
     """
     part = F.floor(F.col(turn) / turns_per_part).cast("bigint")
-    said = turn_text(F.coalesce(text, F.lit("")), F.coalesce(role, F.lit(USER_ROLE)))
-    message = F.struct(turn, said.alias("said"))
+    message = F.struct(turn, _said(role, text).alias("said"))
     parts = df.groupBy(*key, part.alias("part")).agg(
         F.count("*").alias("n_turns"), F.array_sort(F.collect_list(message)).alias("_m")
     )

@@ -636,13 +636,25 @@ def _(spark, d):
 @query(
     "chat_conversations",
     "I3",
-    f"""SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, string_agg({_TURN_SQL}, '' ORDER BY turn) AS text
-        FROM conversations GROUP BY conv_id""",
+    f"""SELECT conv_id, CAST(turn // {chat.TURNS_PER_PART} AS BIGINT) AS part, count(*) AS n_turns,
+        string_agg({_TURN_SQL}, '' ORDER BY turn) AS text FROM conversations GROUP BY ALL""",
 )
 def _(spark, d):
     return chat.render_conversations(table(spark, d, "conversations"))
 
 
+@query(
+    "chat_placed_turns",
+    "I2 I3",
+    f"""WITH said AS (SELECT conv_id, turn, {_TURN_SQL} AS text FROM conversations)
+        SELECT conv_id, turn, text, CAST(sum(length(text)) OVER (PARTITION BY conv_id) AS BIGINT) AS n_chars,
+        CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM said""",
+)
+def _(spark, d):
+    return chat.placed_turns(table(spark, d, "conversations"))
+
+
 _CHAT_IDS_SQL = f"""{sql_training("SELECT text FROM documents", VOCABULARY, f"SELECT unnest({sql_words('text')}) FROM conversations UNION ALL SELECT unnest({sql_words('role')}) FROM conversations")},
       n AS (SELECT count(*) AS n FROM vocab),
       said AS ({sql_encoded('conv_id, turn', 'conversations', 'text')}),
@@ -664,6 +676,24 @@ def _(spark, d):
     return turns.select("conv_id", "turn", joined("ids").alias("ids"))
 
 
+@query(
+    "chat_windows",
+    "I3 G1 G2",
+    f"""{_CHAT_IDS_SQL},
+      whole AS (SELECT conv_id, string_split(string_agg(ids, ',' ORDER BY turn), ',') AS ids FROM coded GROUP BY conv_id)
+      SELECT conv_id, CAST(st // {S} AS BIGINT) AS win, CAST(len(ids) AS BIGINT) AS n_tokens,
+        array_to_string(ids[st + 1:st + {L}], ',') AS input_ids, array_to_string(ids[st + 2:st + {L} + 1], ',') AS target_ids
+      FROM (SELECT conv_id, ids, unnest(range(0, greatest(len(ids) - {L}, 0), {S})) AS st FROM whole)""",
+)
+def _(spark, d):
+    vocab, merges, _ = _model(spark, d)
+    n = vocab.count()
+    special = {t: n + i for i, t in enumerate(chat.CHAT_SPECIALS)}
+    turns = chat.encode_turns(text_table(spark, d, "conversations"), merges, vocab, special).select("conv_id", "turn", "ids")
+    windows = chat.conversation_windows(materialise(turns, "chat-ids"), max_length=L, stride=S)
+    return _shown(windows, "conv_id", "win", "n_tokens")
+
+
 _CHAT_TOKENS_SQL = "UNION ALL ".join(f"SELECT '{t}' AS token, {i} + (SELECT n FROM n) AS id " for i, t in enumerate(chat.CHAT_SPECIALS))
 
 

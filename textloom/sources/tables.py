@@ -42,9 +42,9 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
 
 
 def sql_over_file(spark: SparkSession, path: str, query: str, view: str = "data") -> DataFrame:
-    """SQL over a parquet file that the query calls ``view``."""
-    spark.read.parquet(path).createOrReplaceTempView(view)
-    return spark.sql(query)
+    """SQL over a parquet file that the query calls ``view``; the session's own views stay as they are."""
+    file = path.replace("`", "``")
+    return spark.sql(f"WITH {view} AS (SELECT * FROM parquet.`{file}`) SELECT * FROM ({query})")
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns: Sequence[str], sep: str = ",") -> DataFrame:
