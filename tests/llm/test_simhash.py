@@ -97,6 +97,32 @@ def test_no_link_is_lost(spark, monkeypatch, at_once):
     assert [roots.get(v, v) for v in signed] == want
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_crowded_prefixes_are_dealt_out_again(spark, monkeypatch, sent):
+    """Variations of one template: no task takes more than a crowd, no link is lost, by brute force."""
+    rng = np.random.default_rng(4)
+    template = int(rng.integers(1 << 62))
+    values = {template}
+    while len(values) < 250:  # most share all leading bits with the template or differ in some anywhere
+        flips = rng.integers(0, 64 if len(values) % 3 else 40, int(rng.integers(1, 8)))
+        values.add(template ^ sum(1 << int(b) for b in set(flips.tolist())))
+    values |= {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    values = sorted(values)
+    taken, meet = [], simhash._meet
+    for name, value in {"CROWD": 60, "MOST_BITS": 18, "SENT_CROWDS": sent, "VARIANTS_AT_ONCE": 1 << 17}.items():
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash, "_meet", lambda radius, bits: taken.append(bits) or meet(radius, bits))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fingerprint bigint").repartition(4)
+    roots = {r.node: r.root for r in components.component_roots(simhash.linked_fingerprints(df)).collect()}
+    assert len(taken) > 1 and taken == sorted(set(taken))
+    want = brute_components(values, values)
+    least = {}
+    for v, c in zip(signed, want, strict=True):
+        least.setdefault(roots.get(v, v), set()).add(c)
+    assert all(len(c) == 1 for c in least.values()) and len(least) == len(set(want))
+
+
 def test_components_of_paths_and_hubs(spark):
     path = [(i + 1, i) for i in range(60)]
     hub = [(1000 + i, 500) for i in range(200)]

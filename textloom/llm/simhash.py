@@ -12,7 +12,8 @@ Variants are dealt out by their leading bits. A fingerprint goes once to each
 prefix that one of its variants has (37 of 256 for eight bits and half radius
 two, instead of 2081 variants), and the variants are spelled out there. A prefix
 with too many for the memory is cut along further bits, so that crowded regions
-cost time, not memory.
+cost time, not memory. A prefix that many fingerprints share, as variations of
+one template do, is dealt out again along further bits before it is grouped.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ SEED = 42
 RADIUS = 4
 BITS = 64
 VARIANTS_AT_ONCE = 1 << 21
+CROWD = 1 << 18  # fingerprints of one prefix that a task takes
+CROWD_BITS = 6  # further bits along which a crowd is dealt out at once
+MOST_BITS = 56  # no prefix of that length is a crowd: it has no more than 256 values in each of its variants
+SENT_CROWDS = 100_000  # crowded prefixes that may go to every task
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -160,10 +165,39 @@ def linked_fingerprints(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     half, n = radius // 2, max(1, values.count())
     ball = sum(comb(BITS, j) for j in range(half + 1))
     bits = min(30, max(0, (n * ball // VARIANTS_AT_ONCE).bit_length()))
-    prefix = F.shiftrightunsigned("fingerprint", BITS - bits) if bits else F.lit(0).cast("bigint")
-    dealt = values.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("bigint") for m in _masks(bits, half)])).alias("_m"))
-    dealt = dealt.select("fingerprint", prefix.bitwiseXOR(F.col("_m")).alias("_p"))
-    return dealt.groupBy("_p").applyInPandas(_meet(radius, bits), "u bigint, v bigint")
+    dealt = _dealt(values.select("fingerprint", F.lit(0).cast("bigint").alias("_p"), F.lit(half).alias("_left")), 0, bits, half)
+    out = None
+    while True:
+        crowds, n_crowds = None, 0
+        if n > CROWD and bits < MOST_BITS:  # a prefix has each fingerprint once at most
+            crowds = materialise(dealt.groupBy("_p").count().where(F.col("count") > CROWD).select("_p"), "crowds")
+            n_crowds = crowds.count()
+        usual = dealt
+        if n_crowds:
+            crowds = F.broadcast(crowds) if n_crowds <= SENT_CROWDS else crowds
+            usual = dealt.join(crowds, "_p", "left_anti")
+        edges = usual.select("fingerprint", "_p").groupBy("_p").applyInPandas(_meet(radius, bits), "u bigint, v bigint")
+        out = edges if out is None else out.unionByName(edges)
+        if not n_crowds:
+            return out
+        more = min(CROWD_BITS, MOST_BITS - bits)
+        dealt = _dealt(materialise(dealt.join(crowds, "_p", "left_semi"), "crowded"), bits, more, half)
+        bits += more
+
+
+def _dealt(rows: DataFrame, bits: int, more: int, half: int) -> DataFrame:
+    """``(fingerprint, _p, _left)``: each row once per prefix, longer by ``more`` bits, that a variant of it has.
+
+    ``rows`` has prefixes of ``bits`` bits; ``_left`` is how many bits a variant
+    may still flip.
+    """
+    if not more:
+        return rows
+    masks = [F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(m.bit_count()).alias("k")) for m in _masks(more, half)]
+    own = F.shiftrightunsigned("fingerprint", BITS - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    each = rows.select("fingerprint", "_p", "_left", F.explode(F.array(*masks)).alias("_f")).where("_f.k <= _left")
+    longer = F.shiftleft("_p", more).bitwiseOR(own.bitwiseXOR(F.col("_f.m")))
+    return each.select("fingerprint", longer.alias("_p"), (F.col("_left") - F.col("_f.k")).alias("_left"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
