@@ -100,6 +100,24 @@ def test_top_p_of_equal_items(spark, sizes):
     assert 99 <= ranking.top_p(df, ["g"], 0.5).count() <= 102
 
 
+def test_top_p_of_close_items_spreads(spark, monkeypatch):
+    for name, size in (("HOT_ROWS", 1000), ("ROWS_PER_RANGE", 256), ("BUCKETS_PER_RANGE", 4), ("ROWS_PER_SALT", 256)):
+        monkeypatch.setattr(grouped, name, size)
+    dealt = []
+    ranges = grouped.in_ranges
+    monkeypatch.setattr(grouped, "in_ranges", lambda *a, **k: dealt.append(ranges(*a, **k)) or dealt[-1])
+    total = sum(1 + i / 200_000 for i in range(4000))  # 2 percent apart
+    rows = [("h", i, (1 + i / 200_000) / total) for i in range(4000)] + [("u", i, 0.25) for i in range(4)] + [("h", 4000, None)]
+    df = spark.createDataFrame(rows, "g string, item bigint, prob double")
+    kept = ranking.top_p(df, ["g"], 0.5).collect()
+    best = [r.item for r in kept if r.g == "h"]
+    assert min(best) == 4000 - len(best) and max(best) == 3999 and 1980 <= len(best) <= 2000
+    assert sum(r.prob for r in kept if r.g == "h") == pytest.approx(1.0)
+    assert sum(r.g == "u" for r in kept) == 3
+    sizes = [r["count"] for r in dealt[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 512
+
+
 def test_run_log(log, sizes):
     rows, df = log
     seen = {(r.g, r.k): r.tokens_seen for r in runs.tokens_seen(df, ["g"], "k", F.col("v")).collect()}

@@ -7,13 +7,14 @@ can share one ``find_hot`` result; they then also share one shuffle by group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import uniform
-from textloom.plans.grouped import LARGE_K, HotGroups, find_hot, group_cutoff, group_values
+from textloom.plans.grouped import LARGE_K, HotGroups, find_hot, group_cutoff, group_values, running_totals
 
 EPS = 1e-8  # fixed value: keeps a share finite
 
@@ -67,44 +68,15 @@ def top_p(
 ) -> DataFrame:
     """The best items up to mass ``p``, the one that crosses it included, renormalised.
 
-    Items run by (prob descending, md5 of the item, item). A hot group is cut
-    along that order: probabilities a few percent apart share a bucket, and a
-    bucket whose probabilities are all equal is cut further by the hash, so a
-    group of many equal items is spread too.
+    Items run by (prob descending, null last, md5 of the item, item). A hot
+    group is cut into sampled ranges of that order, so that probabilities that
+    lie close together, or are all equal, spread as evenly as any others.
     """
-    grp = list(grp)
+    rows = df.withColumn("_falling", F.coalesce(-F.col(prob), F.lit(math.inf)))
+    rows = rows.withColumn("_h", F.md5(F.col(item).cast("string").cast("binary")))
     hot = hot or find_hot(df, grp)
-    tie = F.md5(F.col(item).cast("string").cast("binary"))
-    if hot.table is None:
-        rows, buckets, up = df.withColumn("_h", tie), [], F.lit(0.0)
-    else:
-        is_hot = F.col("_hot").isNotNull()
-        level = F.when(F.col(prob) > 0, F.floor(-F.log2(prob) * 16)).otherwise(F.lit(1 << 20)).cast("bigint")
-        keyed = hot.mark(df).withColumn("_h", tie)
-        keyed = keyed.withColumn("_q", F.when(is_hot, level).otherwise(F.lit(0).cast("bigint")))
-        keyed = keyed.withColumn("_sub", F.when(is_hot, F.substring("_h", 1, 2)).otherwise(F.lit("")))
-        rows = keyed.join(_mass_before(keyed.where(is_hot), grp, prob), [*grp, "_q", "_sub"], "left")
-        rows = rows.withColumn("_b", F.coalesce("_b", F.lit("")))
-        buckets, up = ["_q", "_b"], F.coalesce("_up", F.lit(0.0))
-    inside = Window.partitionBy(*grp, *buckets).orderBy(F.desc(prob), "_h", item)
-    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
-    before = up + F.coalesce(F.sum(prob).over(inside), F.lit(0.0))
-    kept = rows.withColumn("_before", before).where(F.col("_before") <= p).select(*df.columns)
-    return renormalise(kept, grp, item, prob, eps, hot)
-
-
-def _mass_before(keyed: DataFrame, grp: list[str], prob: str) -> DataFrame:
-    """``(grp.., _q, _sub, _b, _up)``: bucket of each hash part and the mass before it."""
-    parts = keyed.groupBy(*grp, "_q", "_sub").agg(
-        F.sum(prob).alias("_mass"), F.min(prob).alias("_lo"), F.max(prob).alias("_hi")
-    )
-    in_level = Window.partitionBy(*grp, "_q")  # at most 256 rows
-    equal = F.min("_lo").over(in_level) == F.max("_hi").over(in_level)
-    parts = parts.select(*grp, "_q", "_sub", "_mass", F.when(equal, F.col("_sub")).otherwise(F.lit("")).alias("_b"))
-    buckets = parts.groupBy(*grp, "_q", "_b").agg(F.sum("_mass").alias("_mass"), F.collect_set("_sub").alias("_subs"))
-    earlier = Window.partitionBy(*grp).orderBy("_q", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*grp, "_q", "_b", "_subs", F.coalesce(F.sum("_mass").over(earlier), F.lit(0.0)).alias("_up"))
-    return buckets.select(*grp, "_q", "_b", "_up", F.explode("_subs").alias("_sub"))
+    before = running_totals(rows, grp, ["_falling", "_h", item], {"_before": F.col(prob)}, hot=hot)
+    return renormalise(before.where(F.col("_before") <= p).select(*df.columns), grp, item, prob, eps, hot)
 
 
 def arg_max(df: DataFrame, grp: Sequence[str], item: str = "item", score: str = "score") -> DataFrame:
