@@ -46,6 +46,41 @@ def test_overlap(spark):
     assert audit["new.com"] == (1, 1) and audit["old.com"] == (1, 0)
 
 
+def test_articles_are_not_moved_by_site(spark):
+    rows = [(i, f"https://s{i % 7 if i % 3 else 0}.com/{i}", "x" * 50) for i in range(500)] + [(900, None, "x"), (901, "http://[bad/5", "x")]
+    pages = spark.createDataFrame(rows, "i int, link string, html string")
+    kept = spark.createDataFrame([("s0.com",), ("s3.com",), ("s3.com",), (None,), ("none.com",)], "site string")
+    want = {i for i, link, _ in rows[:500] if link.split("/")[2] in ("s0.com", "s3.com")}
+    for sent in (sites.SENT_SITES, 3, 2):
+        found = sites.articles_of_sites(pages, kept, sent=sent)
+        assert sorted(r.i for r in found.collect()) == sorted(want)
+        if sent > 2:
+            assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sites_of_equal_hash_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions
+
+    pages = spark.createDataFrame([(i, f"https://s{i}.com/") for i in range(40)], "i int, link string")
+    kept = spark.createDataFrame([(f"s{i}.com",) for i in range(0, 40, 5)], "site string")
+    monkeypatch.setattr(sites.F, "xxhash64", lambda c: functions.crc32(functions.col(c).cast("binary")) % 4)
+    found = sites.articles_of_sites(pages, kept)
+    assert sorted(r.i for r in found.collect()) == list(range(0, 40, 5))
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    from textloom.sources.tables import spread_small
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).repartition(2).write.parquet(str(tmp_path / "few"))
+    spark.range(1000).repartition(cores).write.parquet(str(tmp_path / "many"))
+    for name, moved in (("few", True), ("many", False)):
+        rows = spread_small(spark.read.parquet(str(tmp_path / name)), "id")
+        assert rows.count() == 1000
+        assert ("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) == moved
+    assert spread_small(spark.range(5).toDF("id"), "id").count() == 5
+
+
 def test_steps_of_names(spark):
     listed = ["model_pg_20_steps.pth", "x/model_pg_7_steps.pth", "model_pg_x_steps.pth", "model_pg_3_interrupted.pth", "other"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(listed)], "i int, n string").orderBy("i")

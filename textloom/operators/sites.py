@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.names import is_parsable, site_of
+from textloom.plans.shared_dir import materialise
+
+SENT_SITES = 2_000_000  # sites whose hashes may go to every task, some 130 MB
 
 
 def distinct_links(df: DataFrame, link: str = "link") -> DataFrame:
@@ -28,16 +31,27 @@ def new_sites(sites: DataFrame, known: DataFrame) -> DataFrame:
     return sites.join(known.select("site").distinct(), "site", "left_anti")
 
 
-def articles_of_sites(df: DataFrame, sites: DataFrame, link: str = "link", **options) -> DataFrame:
+def articles_of_sites(df: DataFrame, sites: DataFrame, link: str = "link", sent: int = SENT_SITES, **options) -> DataFrame:
     """Rows whose link belongs to one of ``sites``, without nulls in any column.
 
-    The site table has one row per site while articles repeat their site, so
-    articles are the big side; the planner broadcasts the site table when it
-    measures it small, and AQE splits a hot site in the shuffled join.
+    Up to ``sent`` sites, which are counted, articles are not moved: the 64-bit
+    hashes of the sites go to the tasks of the scan, and with them the sites of
+    articles that are none of ``sites`` but share a hash with one. Those are
+    found among distinct sites, so that no other column of the articles is
+    read for it. More sites are joined by a shuffle, where AQE splits a hot one.
     """
-    keyed = df.withColumn("_site", site_of(F.col(link), **options))
-    kept = keyed.join(sites.select(F.col("site").alias("_site")), "_site", "left_semi")
-    return kept.select(*df.columns).dropna(how="any", subset=df.columns)
+    sites = materialise(sites.select(F.col("site").alias("_site")).where("_site IS NOT NULL").distinct(), "sites")
+    keyed = df.withColumn("_site", site_of(F.col(link), **options)).dropna(how="any", subset=[*df.columns, "_site"])
+    if sites.count() > sent:
+        return keyed.join(sites, "_site", "left_semi").select(*df.columns)
+    hashes = sites.select(F.xxhash64("_site").alias("_hash"))
+    own = df.select(site_of(F.col(link), **options).alias("_site")).where("_site IS NOT NULL").distinct()
+    others = own.withColumn("_hash", F.xxhash64("_site")).join(F.broadcast(hashes), "_hash", "left_semi").join(sites, "_site", "left_anti")
+    others = materialise(others.select("_site"), "sites-of-equal-hash")
+    kept = keyed.withColumn("_hash", F.xxhash64("_site")).join(F.broadcast(hashes), "_hash", "left_semi")
+    if others.count():
+        kept = kept.join(F.broadcast(others), "_site", "left_anti")  # one in 2**64 pairs of sites
+    return kept.select(*df.columns)
 
 
 def site_audit(read: DataFrame, saved: DataFrame, link: str = "link") -> DataFrame:

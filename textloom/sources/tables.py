@@ -33,12 +33,16 @@ SMALL_TABLE = 1 << 30  # bytes
 def spread_small(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a table too small to fill them with its files.
 
-    Cleaning text is much work per byte, and a small file is one scan task. Up
-    to ``SMALL_TABLE`` bytes a shuffle by key costs little; a larger table keeps
-    the tasks of its scan.
+    Cleaning text is much work per byte, and a small file is one scan task. A
+    table with fewer files than cores, and up to ``SMALL_TABLE`` bytes in them,
+    is dealt out by key; any other keeps the tasks of its scan.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size < SMALL_TABLE else df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]  # reads no content
+    return df.repartition(cores, key) if size <= SMALL_TABLE else df
 
 
 def sql_over_file(spark: SparkSession, path: str, query: str, view: str = "data") -> DataFrame:
