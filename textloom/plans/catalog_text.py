@@ -63,8 +63,9 @@ def sql_html(x: str) -> str:
         "(?s)<[!/?a-zA-Z][^>]*>",
     ):
         x = f"regexp_replace({x}, '{block}', {node}, 'g')"
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        end = ";" if name.startswith("#") else ";?"  # names of old stand without a semicolon too
+        x = f"regexp_replace({x}, '&{name}{end}', '{char}', 'g')"
     x = f"regexp_replace({x}, '[{_SP}]*\\x{{e000}}[{_SP}\\x{{e000}}]*', ' ', 'g')"
     return sql_strip(x)
 
