@@ -1,11 +1,9 @@
 """Text to ids and back.
 
-Encoding and decoding look a bounded vocabulary up once per token. While the
-vocabulary is at most ``MAX_LOOKUP`` rows, checked by a count, it travels to
-the tasks as one dictionary and texts are mapped in place, with no shuffle at
-all; a larger one is joined. Ids follow frequency, so the words that can be hot
-are those of the first ``FREQUENT`` ids: only these are repeated once per shuffle
-partition and their tokens salted.
+Encoding and decoding look a vocabulary up for every token. While it is at most
+``MAX_LOOKUP`` rows, checked by a count, it travels to the tasks as one
+dictionary and texts are mapped in place, with no shuffle at all; for a larger
+one see ``operators.lexicon``.
 """
 
 from __future__ import annotations
@@ -19,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.operators.lexicon import look_up
+
 MAX_LOOKUP = 300_000  # vocabulary rows that may go to every task
-FREQUENT = 1024  # ids whose tokens are salted when the vocabulary is joined
 _CACHE = 200_000  # words a task remembers
 
 UNK_ID = 1
@@ -45,11 +44,12 @@ def encode_words(
 ) -> DataFrame:
     """Ids of the words of each row; unknown words get ``unk_id`` or, if that is None, fail.
 
-    ``key`` identifies a row; it is used only by the joined form.
+    ``key`` names a row for its readers; neither form needs it to be unique.
     """
     rows = lookup_rows(vocab.select("token", "id"), limit)
     if rows is None:
-        return _encode_by_join(df, words, vocab, key, name, unk_id)
+        coded = look_up(df, words, vocab, "token", "id", name, required=unk_id is None)
+        return coded if unk_id is None else coded.withColumn(name, F.transform(name, lambda i: F.coalesce(i, F.lit(unk_id))))
     ids = df.sparkSession.sparkContext.broadcast({r.token: r.id for r in rows})
 
     @F.pandas_udf(IDS)
@@ -62,33 +62,6 @@ def encode_words(
     return df.withColumn(name, encode(words))
 
 
-def _salted_join(tokens: DataFrame, vocab: DataFrame, on: str) -> DataFrame:
-    """Left join of a token stream with the vocabulary, frequent words salted."""
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent, one = F.col("id") < FREQUENT, F.lit(0)
-    salts = F.when(frequent, F.sequence(one, F.lit(n - 1))).otherwise(F.array(one))
-    spread = vocab.select("token", "id", F.explode(salts).alias("_salt"))
-    salt = F.pmod(F.xxhash64(*[c for c in tokens.columns if c != on]), F.lit(n)).cast("int")
-    if on == "id":
-        salted = tokens.withColumn("_salt", F.when(frequent, salt).otherwise(one))
-    else:
-        head = vocab.where(frequent).select("token", F.lit(True).alias("_frequent"))  # FREQUENT rows at most: ids are unique
-        marked = tokens.join(F.broadcast(head), on, "left")
-        salted = marked.withColumn("_salt", F.when(F.col("_frequent"), salt).otherwise(one)).drop("_frequent")
-    return salted.join(spread, [on, "_salt"], "left")
-
-
-def _encode_by_join(df, words, vocab, key, name, unk_id) -> DataFrame:
-    tokens = df.select(*key, F.posexplode(words).alias("_pos", "token"))
-    found = _salted_join(tokens, vocab, "token")
-    missing = F.raise_error(F.concat(F.lit("word not in vocabulary: "), "token")).cast("int") if unk_id is None else F.lit(unk_id)
-    ids = found.select(*key, "_pos", F.coalesce("id", missing).alias("id")).groupBy(*key)
-    ids = ids.agg(F.array_sort(F.collect_list(F.struct("_pos", "id"))).alias("_a"))
-    lists = ids.select(*key, F.col("_a.id").alias(name))
-    empty = F.when(words.isNotNull(), F.array().cast(IDS))
-    return df.join(lists, key, "left").withColumn(name, F.coalesce(name, empty))
-
-
 def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: str = "text", word_end: str | None = "</w>",
            limit: int = MAX_LOOKUP, unk: str | None = None) -> DataFrame:
     """Text of an id array: pieces joined, the word-end mark read as a space.
@@ -97,7 +70,7 @@ def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: s
     """
     rows = lookup_rows(vocab.select("token", "id"), limit)
     if rows is None:
-        piece_lists = _pieces_by_join(df, ids, vocab, key)
+        piece_lists = look_up(df, ids, vocab, "id", "token", "_pieces")
     else:
         tokens = df.sparkSession.sparkContext.broadcast({r.id: r.token for r in rows})
 
@@ -116,13 +89,6 @@ def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: s
     return piece_lists.withColumn(name, joined).drop("_pieces")
 
 
-def _pieces_by_join(df, ids, vocab, key) -> DataFrame:
-    tokens = df.select(*key, F.posexplode(ids).alias("_pos", "id"))
-    found = _salted_join(tokens, vocab, "id").groupBy(*key)
-    found = found.agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_a"))
-    return df.join(found.select(*key, F.col("_a.token").alias("_pieces")), key, "left")
-
-
 # -- byte-pair encoding ------------------------------------------------------------
 
 
