@@ -36,6 +36,25 @@ def test_csv_delimiter_and_types(spark, tmp_path):
     assert len(one.columns) == 1
 
 
+def test_inferred_types_widen_where_a_row_does_not_fit(spark, tmp_path):
+    rows = [f"{i},{i},{i}.5,2024-01-{1 + i % 9:02d},{i}" for i in range(200)] + ['x7,1.5,"a ""b"", c",late,5000000000']
+    (tmp_path / "a.csv").write_text("k,v,w,day,n\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    (tmp_path / "same.csv").write_text("_record,v\n1,\n2,3\n", encoding="utf-8")
+    got = tables.scan_csv_inferred(spark, str(tmp_path / "a.csv"), sample=0.05)
+    types = dict(got.dtypes)
+    out = got.collect()
+    assert len(out) == 201 and types["k"] == "string" and types["v"] == "double" and types["w"] == "string"
+    assert types["day"] == "string" and types["n"] == "bigint"
+    last = [r for r in out if r.k == "x7"][0]
+    assert (last.v, last.w, last.day, last.n) == (1.5, 'a "b", c', "late", 5_000_000_000)
+    assert sum(r.v for r in out) == sum(range(200)) + 1.5
+    same = tables.scan_csv_inferred(spark, str(tmp_path / "same.csv"))
+    assert [tuple(r) for r in same.collect()] == [(1, None), (2, 3)]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n1,2,3\n", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.scan_csv_inferred(spark, str(tmp_path / "bad.csv")).collect()
+
+
 def test_lines_in_order(spark, tmp_path):
     lines = [f" line {i} " for i in range(2000)]
     (tmp_path / "a.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")

@@ -59,10 +59,36 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType, columns
     return reader.csv(path).select(*columns)
 
 
+_WIDER = {"int": "bigint", "bigint": "double"}  # any other type: string
+
+
 def scan_csv_inferred(spark: SparkSession, path: str, sep: str = ",", sample: float = 1.0) -> DataFrame:
-    """CSV whose types are inferred from a share of its rows; a row that does not fit them fails."""
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("mode", "FAILFAST")
-    return reader.option("inferSchema", True).option("samplingRatio", sample).csv(path)
+    """CSV whose types are inferred from a share of its rows, and widened where a row of the rest does not fit.
+
+    All rows are read once with the inferred types. A column with a value that
+    its type cannot hold gets the next wider one (int, bigint, double, string;
+    any other type: string), until all values fit, so at most three more reads
+    follow. No row is lost. A row with more or fewer fields than the header
+    fails.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    types = dict(reader.option("inferSchema", True).option("samplingRatio", sample).csv(path).dtypes)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    schema = lambda kinds: T.StructType([T.StructField(c, T.StringType() if t == "string" else T.DataType.fromDDL(t)) for c, t in kinds.items()])
+    record = "_record"
+    while record in types:
+        record += "_"
+    texts = ", ".join(f"c{i} string" for i in range(len(types)))
+    while any(t != "string" for t in types.values()):
+        whole = T.StructType([*schema(types), T.StructField(record, T.StringType())])
+        rows = reader.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
+        text = F.from_csv(F.col(record), texts, {"sep": sep, "escape": '"'})
+        misses = [F.coalesce(F.bool_or(F.col(f"`{c}`").isNull() & text[f"c{i}"].isNotNull()), F.lit(False)).alias(f"m{i}") for i, c in enumerate(types)]
+        missed = [c for c, m in zip(types, rows.agg(*misses).first(), strict=True) if m and types[c] != "string"]
+        if not missed:
+            break
+        types.update({c: _WIDER.get(types[c], "string") for c in missed})
+    return reader.schema(schema(types)).option("mode", "FAILFAST").csv(path)
 
 
 def non_empty(*cols: str) -> Column:
