@@ -42,3 +42,13 @@ def test_both_sides_of_the_limit_agree(spark):
     assert sent == joined and any(enc.UNK_ID in ids for _, ids in sent)
     plan = found[1]._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_carries_arrays_without_nulls(spark):
+    """A second look-up carries the array that the first one has made, whose items are known not to be null."""
+    vocab = spark.createDataFrame([("a", 0), ("b", 2)], "token string, id int")
+    df = spark.createDataFrame([(1, ["a", "c", "b"]), (2, [])], "i int, words array<string>")
+    coded = enc.encode_words(df, F.col("words"), vocab, ["i"], unk_id=0, limit=0).select("i", "ids")
+    assert not coded.schema["ids"].dataType.containsNull
+    back = enc.decode(coded, F.col("ids"), vocab, ["i"], word_end=None, limit=0)
+    assert sorted(map(tuple, back.collect())) == [(1, [0, 0, 2], "a a b"), (2, [], "")]

@@ -90,10 +90,10 @@ def look_up(
     kept = [c for c in df.columns if c != name]
     names = [f"c{i}" for i in range(len(kept))]
     source = df.select(items.alias("_items"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)])
-    carried = [T.StructField(n, source.schema[n].dataType) for n in names]
     place = [T.StructField("_row", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_parts", T.IntegerType())]
-    cut = T.StructType([*place, T.StructField("_chunk", T.LongType()), T.StructField("_items", source.schema["_items"].dataType), *carried])
+    cut = T.StructType([*place, T.StructField("_chunk", T.LongType()), T.StructField("_items", source.schema["_items"].dataType), *[source.schema[n] for n in names]])
     pieces = materialise(source.mapInArrow(_cut(piece, chunk, names), cut), "pieces")
+    carried = [pieces.schema[n] for n in names]  # as read back: arrays may hold nulls there
 
     known = materialise(table.select(F.col(item).alias("item"), F.col(value).alias("value"), (F.col("id") < FREQUENT).alias("frequent")), "known")
     wanted = pieces.select("_chunk", F.explode("_items").alias("item")).distinct()
