@@ -200,3 +200,18 @@ def test_counters_of_a_job(spark):
     df, seen = runs.counted(spark.range(25), "clean", last=F.max("id"))
     df.where("id % 2 = 0").agg(F.sum("id")).collect()
     assert seen.get == {"rows": 25, "last": 24}
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_of_a_table_beside_others(spark, tmp_path, parts):
+    """The table is one file, or a folder of files; its neighbour is not read."""
+    source, table = tmp_path / "in", tmp_path / "in/docs.parquet"
+    spark.range(9, 12).write.parquet(str(tmp_path / "in/docs2.parquet"))
+    if parts:
+        spark.range(0, 9, 1, parts).write.parquet(str(table))
+    else:
+        spark.range(0, 9, 1, 1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*.parquet")).rename(table)
+    stream = read_new_files(spark, str(source), T.StructType.fromDDL("id bigint"), "docs.parquet")
+    append_cleaned(stream, lambda df: df, str(tmp_path / "out"), str(tmp_path / "mark"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(9))

@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 def read_new_files(
     spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None, files_per_batch: int = 1000
 ) -> DataFrame:
-    """Parquet files of a folder as a stream."""
+    """Parquet files of a folder as a stream.
+
+    ``pattern`` names entries of the folder: files, or tables that are folders
+    of files themselves.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(path)
+    return reader.parquet(f"{path.rstrip('/')}/{{{pattern}}}" if pattern else path)  # in braces any name is a glob
 
 
 def append_cleaned(
