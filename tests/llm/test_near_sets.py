@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from textloom.llm import near_sets
+from textloom.llm.simhash import forest
 
 
 def jaccard(a, b):
@@ -43,3 +48,28 @@ def test_stage_keeps_one_of_near_copies(spark):
     got = {r.doc_id for r in out.collect()}
     assert got == {root(i) for i in range(len(texts))}
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize(("rounds", "block"), [(1, 8), (3, 256)])
+def test_no_link_of_a_crowd_is_lost(spark, rounds, block):
+    """Variants of one text share bands without all being similar: every similar pair hangs together."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(300):
+        own = list(words)
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(9999)}"
+        texts.append(" ".join(own))
+    sets = [near_sets.shingle_set(t) for t in texts]
+    meet = [set(enumerate(near_sets.bands(s))) for s in sets]
+    near = [
+        (i, j) for i in range(len(texts)) for j in range(i)
+        if meet[i] & meet[j] and (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    edges = near_sets.similar_pairs(df, pairs=0, rounds=rounds, block=block)
+    label = forest(len(texts), *np.array([tuple(e) for e in edges.collect()]).T)
+    want = forest(len(texts), *np.array(near).T)
+    assert label.tolist() == want.tolist() and 1 < len(set(want)) < 200
+    assert {tuple(sorted(e)) for e in edges.collect()} <= {(j, i) for i, j in near}
