@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +54,20 @@ def test_carries_arrays_without_nulls(spark):
     assert not coded.schema["ids"].dataType.containsNull
     back = enc.decode(coded, F.col("ids"), vocab, ["i"], word_end=None, limit=0)
     assert sorted(map(tuple, back.collect())) == [(1, [0, 0, 2], "a a b"), (2, [], "")]
+
+
+def test_items_found_in_runs_of_rows():
+    """Rows are cut into runs of few items; nulls, empty rows and a row longer than a run keep their place."""
+    rows = [["a", "b"], None, [], ["b"] * 9, ["a"], None]
+    lists = pa.array(rows, pa.list_(pa.string()))
+    seen = []
+
+    def found(run):
+        seen.append(len(run.flatten()))
+        return enc._laid_out(run, pc.index_in(run.flatten(), value_set=pa.array(["a", "b"])))
+
+    out = enc._in_runs(lists, found, pa.list_(pa.int32()), most=3)
+    assert out.to_pylist() == [None if r is None else ["ab".index(w) for w in r] for r in rows]
+    assert sum(seen) == 12 and max(seen) == 9 and len(seen) > 2
+    assert enc._in_runs(lists.slice(3, 2), found, pa.list_(pa.int32()), most=3).to_pylist() == [[1] * 9, [0]]
+    assert enc._in_runs(lists.slice(0, 0), found, pa.list_(pa.int32())).to_pylist() == []

@@ -2,8 +2,10 @@
 
 Encoding and decoding look a vocabulary up for every token. While it is at most
 ``MAX_LOOKUP`` rows, checked by a count, it travels to the tasks as one
-dictionary and texts are mapped in place, with no shuffle at all; for a larger
-one see ``operators.lexicon``.
+table and texts are mapped in place, with no shuffle at all; for a larger one
+see ``operators.lexicon``. All items of some rows are found at once in Arrow, so
+a task holds neither words nor ids as Python objects, but for the distinct words
+of ``_ITEMS`` items and those it remembers.
 """
 
 from __future__ import annotations
@@ -11,8 +13,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +27,7 @@ from textloom.operators.lexicon import look_up
 
 MAX_LOOKUP = 300_000  # vocabulary rows that may go to every task
 _CACHE = 200_000  # words a task remembers
+_ITEMS = 1 << 20  # items found at once, and one row more at most
 
 UNK_ID = 1
 IDS = T.ArrayType(T.IntegerType())
@@ -33,6 +40,27 @@ def lookup_rows(table: DataFrame, limit: int = MAX_LOOKUP) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def _runs(lists: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of whole rows with about ``most`` items."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield lists.slice(at, to - at)
+        at = to
+
+
+def _laid_out(lists: pa.Array, values: pa.Array, before: np.ndarray | None = None) -> pa.Array:
+    """``values`` in the rows of ``lists``; item ``i`` has those from ``before[i]`` on, or one."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    ends = (ends if before is None else before[ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=lists.is_null() if lists.null_count else None)
+
+
+def _in_runs(lists: pa.Array, found: Callable[[pa.Array], pa.Array], kind: pa.DataType, most: int = _ITEMS) -> pa.Array:
+    return pa.concat_arrays([pa.array([], kind), *[found(run).cast(kind) for run in _runs(lists, most)]])
+
+
 def encode_words(
     df: DataFrame,
     words: Column,
@@ -50,14 +78,22 @@ def encode_words(
     if rows is None:
         coded = look_up(df, words, vocab, "token", "id", name, required=unk_id is None)
         return coded if unk_id is None else coded.withColumn(name, F.transform(name, lambda i: F.coalesce(i, F.lit(unk_id))))
-    ids = df.sparkSession.sparkContext.broadcast({r.token: r.id for r in rows})
+    table = {r.token: r.id for r in rows}
+    sent = df.sparkSession.sparkContext.broadcast((pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int32())))
+
+    @F.arrow_udf(IDS)
+    def encode(batch: pa.Array) -> pa.Array:
+        tokens, ids = sent.value
 
-    @F.pandas_udf(IDS)
-    def encode(batch: pd.Series) -> pd.Series:
-        table = ids.value
-        if unk_id is None:
-            return batch.map(lambda ws: [table[w] for w in ws], na_action="ignore")
-        return batch.map(lambda ws: [table.get(w, unk_id) for w in ws], na_action="ignore")
+        def found(lists: pa.Array) -> pa.Array:
+            items = lists.flatten()
+            at = pc.index_in(items, value_set=tokens)
+            if unk_id is None and at.null_count:
+                raise KeyError(items.filter(at.is_null())[0].as_py())
+            values = ids.take(at)
+            return _laid_out(lists, values if unk_id is None else pc.fill_null(values, unk_id))
+
+        return _in_runs(batch, found, pa.list_(pa.int32()))
 
     return df.withColumn(name, encode(words))
 
@@ -69,23 +105,30 @@ def decode(df: DataFrame, ids: Column, vocab: DataFrame, key: list[str], name: s
     An id that is not in the vocabulary reads as ``unk`` or, if that is None, fails.
     """
     rows = lookup_rows(vocab.select("token", "id"), limit)
+    sep = " " if word_end is None else ""
     if rows is None:
         piece_lists = look_up(df, ids, vocab, "id", "token", "_pieces")
+        missing = F.raise_error(F.lit("id not in vocabulary")).cast("string") if unk is None else F.lit(unk)
+        joined = F.array_join(F.transform("_pieces", lambda p: F.coalesce(p, missing)), sep)
     else:
-        tokens = df.sparkSession.sparkContext.broadcast({r.id: r.token for r in rows})
-
-        @F.pandas_udf(PIECES)
-        def pieces(batch: pd.Series) -> pd.Series:
-            get = tokens.value.get
-            return batch.map(lambda xs: [get(x) for x in xs], na_action="ignore")
-
-        piece_lists = df.withColumn("_pieces", pieces(ids))
-    missing = F.raise_error(F.lit("id not in vocabulary")).cast("string") if unk is None else F.lit(unk)
-    piece_lists = piece_lists.withColumn("_pieces", F.transform("_pieces", lambda p: F.coalesce(p, missing)))
-    if word_end is None:
-        joined = F.array_join("_pieces", " ")
-    else:
-        joined = F.rtrim(F.replace(F.array_join("_pieces", ""), F.lit(word_end), F.lit(" ")))
+        table = {r.id: r.token for r in rows}
+        sent = df.sparkSession.sparkContext.broadcast((pa.array(list(table), pa.int64()), pa.array(list(table.values()), pa.string())))
+
+        @F.arrow_udf("string")
+        def text(batch: pa.Array) -> pa.Array:
+            known, tokens = sent.value
+
+            def found(lists: pa.Array) -> pa.Array:
+                pieces = tokens.take(pc.index_in(lists.flatten().cast(pa.int64()), value_set=known))
+                if pieces.null_count and unk is None:
+                    raise ValueError("id not in vocabulary")
+                return pc.binary_join(_laid_out(lists, pieces if unk is None else pc.fill_null(pieces, unk)), sep)
+
+            return _in_runs(batch, found, pa.string())
+
+        piece_lists, joined = df.withColumn("_pieces", text(ids)), F.col("_pieces")
+    if word_end is not None:
+        joined = F.rtrim(F.replace(joined, F.lit(word_end), F.lit(" ")))
     return piece_lists.withColumn(name, joined).drop("_pieces")
 
 
@@ -165,10 +208,11 @@ def encode(
     special = {r.token: [r.id] for r in rows if r.is_special}
     model = df.sparkSession.sparkContext.broadcast((_merge_ranks(merges), learnt, special))
 
-    @F.pandas_udf(IDS)
-    def encode_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, list[int]] = {}  # in a task: the words it has split
+
+    @F.arrow_udf(IDS)
+    def encode_batches(batch: pa.Array) -> pa.Array:
         ranks, ids, whole = model.value
-        known: dict[str, list[int]] = {}
 
         def word_ids(word: str) -> list[int]:
             found = whole.get(word) or known.get(word)
@@ -178,8 +222,17 @@ def encode(
                 found = known[word] = [ids.get(p, unk_id) for p in _word_pieces(word, ranks, word_end)]
             return found
 
-        for batch in batches:
-            yield batch.map(lambda ws: [i for w in ws for i in word_ids(w)], na_action="ignore")
+        def coded(lists: pa.Array) -> pa.Array:
+            items = lists.flatten().dictionary_encode()
+            own = [word_ids(w.as_py()) for w in items.dictionary]
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter(chain.from_iterable(own), np.int32, int(size.sum()))
+            which = items.indices.to_numpy(zero_copy_only=False)
+            before = np.concatenate(([0], np.cumsum(size[which])))
+            shift = (np.cumsum(size) - size)[which] - before[:-1]
+            return _laid_out(lists, pa.array(flat[np.arange(before[-1]) + np.repeat(shift, size[which])]), before)
+
+        return _in_runs(batch, coded, pa.list_(pa.int32()))
 
     out = df.withColumn(name, encode_batches(words))
     return with_ends(out, name, bos, eos)
