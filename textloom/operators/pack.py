@@ -5,9 +5,9 @@ its rows in order. Window ``k`` starts at token ``k * stride`` and exists when
 ``max_length + 1`` tokens follow; its target is the same window one token on.
 
 Rows first learn their token offset in the stream (``plans.grouped``: no task
-sees a whole stream). Each row then emits, per window it touches, the slice of
-its ids that falls into it, and slices meet in ``groupBy(stream, window)``. A
-group holds at most ``max_length + 1`` slices whatever the size of the stream,
+sees a whole stream). A window that lies inside a row is cut out of it where the
+row is. Of any other window each row emits the slice of its ids that falls into
+it, and slices meet in ``groupBy(stream, window)``. A group holds at most ``max_length + 1`` slices whatever the size of the stream,
 and tokens travel as array slices, never as one row each.
 
 How many windows there are, and which number each has among those of all
@@ -155,7 +155,17 @@ def _windows(rows, stream, of_stream, ids, max_length, stride) -> DataFrame:
     last = F.least(F.floor((start + size - 1) / stride).cast("bigint"), n_windows(F.col("n_tokens"), max_length, stride) - 1)
     touched = rows.select(*stream, ids, start.alias("_s"), *of_stream, first.alias("_first"), last.alias("_last"))
     touched = touched.where((F.size(ids) > 0) & (F.col("_first") <= F.col("_last")))
-    each = touched.select(*stream, ids, "_s", *of_stream, F.explode(F.sequence("_first", "_last")).alias("win"))
+    from_, to = F.ceil(F.col("_s") / stride).cast("bigint"), F.floor((F.col("_s") + size - span) / stride).cast("bigint")
+    touched = touched.withColumn("_from", from_).withColumn("_to", to)  # windows inside the row; they all exist
+    inside = touched.where("_from <= _to").select(*stream, ids, "_s", *of_stream, F.explode(F.sequence("_from", "_to")).alias("win"))
+    at = (F.col("win") * stride - F.col("_s")).cast("int")
+    own = [F.slice(ids, at + 1 + k, F.lit(max_length)).alias(c) for k, c in enumerate(("input_ids", "target_ids"))]
+
+    none = F.array().cast("array<bigint>")
+    run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    before, after = run(F.col("_first"), F.least(F.col("_last"), F.col("_from") - 1)), run(F.greatest(F.col("_from"), F.col("_to") + 1), F.col("_last"))
+    shared = F.when(F.col("_from") <= F.col("_to"), F.concat(before, after)).otherwise(run(F.col("_first"), F.col("_last")))
+    each = touched.select(*stream, ids, "_s", *of_stream, F.explode(shared).alias("win"))
     begin = F.col("win") * stride
     at = F.greatest(begin - F.col("_s"), F.lit(0))
     upto = F.least(begin + span - F.col("_s"), F.size(ids).cast("bigint"))
@@ -170,13 +180,14 @@ def _windows(rows, stream, of_stream, ids, max_length, stride) -> DataFrame:
     whole = parts.groupBy(*stream, "win").agg(
         *[F.first(c).alias(c) for c in of_stream], F.flatten(F.array_sort(F.collect_list("_part"))["ids"]).alias("_w")
     )
-    return whole.select(
+    crossing = whole.select(
         *stream,
         "win",
         *of_stream,
         F.slice("_w", F.lit(1), F.lit(max_length)).alias("input_ids"),
         F.slice("_w", F.lit(2), F.lit(max_length)).alias("target_ids"),
     )
+    return inside.select(*stream, "win", *of_stream, *own).unionByName(crossing)
 
 
 def window_at(windows: DataFrame, index: int) -> DataFrame:
