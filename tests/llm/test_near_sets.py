@@ -73,3 +73,29 @@ def test_no_link_of_a_crowd_is_lost(spark, rounds, block):
     want = forest(len(texts), *np.array(near).T)
     assert label.tolist() == want.tolist() and 1 < len(set(want)) < 200
     assert {tuple(sorted(e)) for e in edges.collect()} <= {(j, i) for i, j in near}
+
+
+def test_far_variants_of_a_crowd_make_no_table_of_pairs(spark, monkeypatch):
+    """Texts that share bands without being similar: no table grows with the square of the crowd."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        own = list(words)
+        for _ in range(rng.randrange(4, 9) if i else 0):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(9999)}"
+        texts.append(" ".join(own))
+    sets = [near_sets.shingle_set(t) for t in texts]
+    meet = [set(enumerate(near_sets.bands(s))) for s in sets]
+    assert sum(bool(meet[i] & meet[j]) for i in range(400) for j in range(i)) > 30_000
+    rows = {}
+
+    def counted(df, name, write=near_sets.materialise):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_sets, "materialise", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    near_sets.similar_pairs(df, pairs=0).collect()
+    assert max(rows.values()) <= 400 * near_sets.BANDS, rows
