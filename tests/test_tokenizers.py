@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,41 @@ def test_exact_rounds_equal_single_merges(toy):
     assert sorted(ids.values()) == list(range(len(ids)))
 
 
+def test_rounds_handle_chunks_of_words(toy, monkeypatch):
+    """What training writes between rounds has a row for many words, not one for each."""
+    counts, df = toy
+    rows = []
+
+    def counted(table, name, write=bpe.materialise):
+        out = write(table, name)
+        rows.extend([out.count()] * (name == "words"))
+        return out
+
+    monkeypatch.setattr(bpe, "materialise", counted)
+    _, merges, _ = bpe.train(df.coalesce(1), vocab_size=None, max_merges=70, min_frequency=5)
+    assert merges.count() == 70 and rows and max(rows) <= 8 < len(counts) / 4
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=9), min_size=1, max_size=12), st.data())
+@settings(max_examples=100, deadline=None)
+def test_changes_of_a_chunk(texts, data):
+    """Merges in a chunk and the change of its pairs, against lists."""
+    names, n = bpe.Symbols("</w>"), np.arange(1, len(texts) + 1)
+    old = bpe._coded(texts, True)
+    state = [[*w[:-1], w[-1] + "</w>"] for w in texts]
+    before = pairs_of(dict(enumerate(state)), dict(enumerate(n)))
+    batch = data.draw(st.lists(st.sampled_from([("a", "b", 0), ("a", "a", 0), ("b", "a", 0), ("b", "b</w>", 0), ("ab", "a", 0)]), min_size=1, max_size=3))
+    for left, right, _ in batch:
+        state = ["".join(f"<{x}>" for x in w).replace(f"<{left}><{right}>", f"<{left + right}>")[1:-1].split("><") for w in state]
+    after = pairs_of(dict(enumerate(state)), dict(enumerate(n)))
+    new, start = bpe._merged(old, names.rules(batch), np.arange(len(old)))
+    assert [names.name(c) if c >= 0 else None for c in new.tolist()] == [x for w in state for x in [*w, None]]
+    size, weight = np.diff(start, append=len(old)), bpe._by_symbol(old, n)
+    found = bpe._summed([bpe._pairs(old, -weight, np.repeat(size > 1, size)), bpe._pairs(new, weight[start], size > 1)])
+    got = {(names.name(a), names.name(b)): c for a, b, c in zip(*[f.tolist() for f in found], strict=True)}
+    assert got == {p: after[p] - before[p] for p in {*before, *after} if after[p] != before[p]}
+
+
 def test_vocabulary_size_and_frequency_stop(toy):
     _, df = toy
     vocab, _, _ = bpe.train(df, vocab_size=20, min_frequency=1)

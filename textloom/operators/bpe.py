@@ -1,9 +1,11 @@
 """Byte-pair vocabulary training as rounds of Spark jobs.
 
 The corpus is read once, to count distinct words. After that the state is the
-word table ``(word, n, s)``: ``s`` holds the word's symbols, each between two
-control characters, so that one ``replace`` of an adjacent pair is exactly the
-left-to-right merge of that pair.
+word table in chunks ``(x, n)`` of many words a row: ``x`` holds the codes of their
+symbols, each word ended by ``_GAP``, and ``n`` their counts. A task merges a pair
+in a whole chunk at once and finds the pairs next to a merge by position, so a
+round reads the codes and touches no text. The chunks are written anew after
+``_REPLAYED`` merges; a round until then repeats the merges since.
 
 Pairs are counted over all words once. The most frequent ones (``FRONTIER``) are
 the driver's frontier, and every other pair is known to be no more frequent than
@@ -24,8 +26,10 @@ equal symbols, and one whose product is a symbol already, goes alone.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +40,9 @@ WORD_END = "</w>"
 _OPEN, _CLOSE = "\x01", "\x02"  # around each symbol of a word
 FRONTIER = 200_000  # pairs the driver keeps
 _WORDS_PER_TASK = 200_000
-_ROUNDS_PER_TABLE = 8  # rounds kept in the cache before the word table is written anew: nested caches have long plans
+_WORDS_PER_CHUNK = 1 << 16
+_REPLAYED = 16  # merges that each round repeats before the chunks are written anew
+_GAP, _FIRST = -1, 1 << 22  # the code after a word, and of the first product; those of characters are smaller
 
 _MERGES = "rank int, left string, right string, merged string, n bigint"
 
@@ -143,19 +149,175 @@ class Frontier:
                 self.stale = True
 
 
-def merge_pairs(s: Column, batch: list[tuple[str, str, int]]) -> Column:
-    """Apply merges to a boxed word, in order."""
-    rules = F.array(
-        *[F.struct(F.lit(_boxed(a) + _boxed(b)).alias("old"), F.lit(_boxed(a + b)).alias("new")) for a, b, _ in batch]
-    )
-    return F.aggregate(rules, s, lambda acc, r: F.replace(acc, r["old"], r["new"]))
+class Symbols:
+    """Codes of symbols: twice the character, one more at the end of a word; products are numbered."""
+
+    def __init__(self, word_end: str):
+        self.word_end, self.products, self.codes = word_end, [], {}
+
+    def code(self, symbol: str) -> int:
+        if len(symbol) == 1:
+            return 2 * ord(symbol)
+        if len(symbol) == 1 + len(self.word_end) and symbol.endswith(self.word_end):
+            return 2 * ord(symbol[0]) + 1
+        if symbol not in self.codes:
+            self.codes[symbol] = _FIRST + len(self.products)
+            self.products.append(symbol)
+        return self.codes[symbol]
+
+    def name(self, code: int) -> str:
+        if code >= _FIRST:
+            return self.products[code - _FIRST]
+        return chr(code >> 1) + (self.word_end if code & 1 else "")
+
+    def rules(self, batch: list[tuple[str, str, int]]) -> list[tuple[int, int, int]]:
+        return [(self.code(a), self.code(b), self.code(a + b)) for a, b, _ in batch]
+
+
+def _coded(words: list[str], marked: bool) -> np.ndarray:
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes + 1) - 1  # where the gaps are
+    x = np.full(len(words) + int(sizes.sum()), _GAP, np.int32)
+    inside = np.ones(len(x), bool)
+    inside[ends] = False
+    x[inside] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32) * 2
+    x[ends[sizes > 0] - 1] += marked
+    return x
+
+
+def _chunks(counts: DataFrame, marked: bool) -> DataFrame:
+    """``(x, n)``: the words of each task in chunks."""
+
+    def chunk(words: list[str], n: list[int]) -> pa.RecordBatch:
+        return _batch(_coded(words, marked), np.array(n, np.int64))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = [], []
+        for batch in batches:
+            words += batch.column("word").to_pylist()
+            n += batch.column("n").to_pylist()
+            if len(words) >= _WORDS_PER_CHUNK:
+                yield chunk(words, n)
+                words, n = [], []
+        if words:
+            yield chunk(words, n)
+
+    return counts.select("word", "n").mapInArrow(work, "x binary, n binary")
+
+
+def _batch(x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"x": pa.array([x.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+
+
+def _each(batches: Iterator[pa.RecordBatch], rules: list[tuple[int, int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The chunks after the merges of ``rules``, in order."""
+    for batch in batches:
+        for x, n in zip(batch.column("x").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            yield _merged(np.frombuffer(x, np.int32), rules)[0], np.frombuffer(n, np.int64)
+
+
+def _hits(x: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where the pair is merged, from left to right."""
+    at = np.flatnonzero(x[:-1] == a)
+    at = at[x[at + 1] == b]
+    if a == b and len(at):  # of a run of equal symbols every second one
+        i = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, i, 0))
+        at = at[(i - run) % 2 == 0]
+    return at
+
+
+def _merged(x: np.ndarray, rules: list[tuple[int, int, int]], start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Merges in order; ``start`` goes along with the symbols that stay."""
+    x = x.copy()
+    for a, b, product in rules:
+        at = _hits(x, a, b)
+        if len(at):
+            x[at] = product
+            stay = np.ones(len(x), bool)
+            stay[at + 1] = False
+            x, start = x[stay], None if start is None else start[stay]
+    return x, start
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``left, right, n`` from (pair, n), each pair once."""
+    keys, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    n = np.add.reduceat(n, first) if len(first) else n
+    keys, n = keys[first][n != 0], n[n != 0]
+    return keys >> 32, keys & 0xFFFFFFFF, n
+
+
+def _pairs(x: np.ndarray, n: np.ndarray, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs inside words and their counts ``n`` by symbol; only those that touch a symbol of ``near``, if given."""
+    at = (x[:-1] >= 0) & (x[1:] >= 0)
+    at = np.flatnonzero(at if near is None else at & (near[:-1] | near[1:]))
+    return x[at].astype(np.int64) << 32 | x[at + 1], n[at]
+
+
+def _by_symbol(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(n, np.diff(np.flatnonzero(x == _GAP), prepend=-1))
+
+
+def _all_pairs(chunks: DataFrame, rules: list[tuple[int, int, int]], symbols: Symbols) -> DataFrame:
+    """``(left, right, n)`` over all words, after the merges of ``rules``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, n in _each(batches, rules):
+            left, right, total = _summed([_pairs(x, _by_symbol(x, n))])
+            named = [pa.array([symbols.name(c) for c in side.tolist()], pa.string()) for side in (left, right)]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(total)], names=["left", "right", "n"])
+
+    return chunks.mapInArrow(work, "left string, right string, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _changed_pairs(chunks: DataFrame, before: list[tuple[int, int, int]], rules: list[tuple[int, int, int]]) -> DataFrame:
+    """``(left, right, n)``: how the merges of ``rules`` change counts, where they do, by codes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for old, n in _each(batches, before):
+            new, start = _merged(old, rules, np.arange(len(old)))
+            size = np.diff(start, append=len(old))
+            touched = size > 1
+            if not touched.any():
+                continue
+            n = _by_symbol(old, n)
+            left, right, total = _summed([_pairs(old, -n, np.repeat(touched, size)), _pairs(new, n[start], touched)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (left, right, total)], names=["left", "right", "n"])
+
+    changes = chunks.mapInArrow(work, "left bigint, right bigint, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return changes.where("n <> 0")
+
+
+def _rewritten(chunks: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
+    return materialise(chunks.mapInArrow(lambda batches: (_batch(x, n) for x, n in _each(batches, rules)), "x binary, n binary"), "words")
+
+
+def _alphabet(chunks: DataFrame, symbols: Symbols) -> DataFrame:
+    """The characters of all words as symbols."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _ in _each(batches, []):
+            yield pa.RecordBatch.from_pydict({"token": pa.array([symbols.name(c) for c in np.unique(x[x >= 0]).tolist()], pa.string())})
+
+    return materialise(chunks.mapInArrow(work, "token string").distinct(), "alphabet")
+
+
+def _word_table(chunks: DataFrame, rules: list[tuple[int, int, int]], symbols: Symbols) -> DataFrame:
+    """``(word, n, s)`` after the merges of ``rules``, with boxed symbols."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, n in _each(batches, rules):
+            names = {c: symbols.name(c) for c in np.unique(x[x >= 0]).tolist()}
+            parts = [[names[c] for c in w[:-1].tolist()] for w in np.split(x, np.flatnonzero(x == _GAP) + 1)[:-1]]
+            words = ["".join(p).removesuffix(symbols.word_end) for p in parts]
+            boxed = ["".join(map(_boxed, p)) for p in parts]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(n), "s": pa.array(boxed, pa.string())})
 
-def changed_counts(merged: DataFrame) -> DataFrame:
-    """``(left, right, n)``: changes of pair counts from symbols ``old`` to ``s``, where there are any."""
-    changed = merged.where(F.col("old") != F.col("s"))
-    both = changed.select(F.explode(F.array(F.struct((-F.col("n")).alias("n"), F.col("old").alias("s")), F.struct("n", "s"))).alias("x")).select("x.*")
-    return pair_counts(both).where(F.col("n") != 0)
+    return chunks.mapInArrow(work, "word string, n bigint, s string")
 
 
 def train(
@@ -178,20 +340,22 @@ def train(
     counted = materialise(counts, "word-counts")
     # few bytes but much work per row: keep all cores busy
     parts = max(counted.count() // _WORDS_PER_TASK, spark.sparkContext.defaultParallelism)
-    words = symbol_words(counted.repartition(parts, "word"), word_end).persist(StorageLevel.MEMORY_AND_DISK)
-    alphabet = words.select(F.explode(symbols(F.col("s"))).alias("token")).distinct()
+    names = Symbols(word_end)
+    chunks = materialise(_chunks(counted.repartition(parts, "word"), bool(word_end)), "words")
+    alphabet = _alphabet(chunks, names)
     room = None if vocab_size is None else vocab_size - len(specials) - alphabet.count()
     wanted = min((x for x in (room, max_merges) if x is not None), default=None)
 
     learnt: list[tuple[str, str, int]] = []
     made: set[str] = set()
-    known, complete, rounds, cached = None, False, 0, words
+    known, complete = None, False
+    since: list[tuple[int, int, int]] = []  # merges that the chunks do not have
     while wanted is None or len(learnt) < wanted:
         batch = known.batch(made, None if wanted is None else wanted - len(learnt)) if known else []
         if not batch:
             if known and not known.stale and complete:
                 break
-            frequent = pair_counts(words).where(F.col("n") >= min_frequency)
+            frequent = _all_pairs(chunks, since, names).where(F.col("n") >= min_frequency)
             top = [tuple(r) for r in frequent.orderBy(F.desc("n"), "left", "right").limit(frontier).collect()]
             complete = len(top) < frontier
             known = Frontier(top, (0.5 - min_frequency,) if complete else (-top[-1][2], *top[-1][:2]))
@@ -202,20 +366,15 @@ def train(
         products = {a + b for a, b, _ in batch} - made
         made |= products
 
-        rounds += 1
-        merged = words.select("word", "n", F.col("s").alias("old"), merge_pairs(F.col("s"), batch).alias("s"))
-        merged = merged.persist(StorageLevel.MEMORY_AND_DISK)
-        known.apply([tuple(r) for r in changed_counts(merged).collect()], products)
-        cached.unpersist()
-        words, cached = merged.drop("old"), merged
-        if rounds % _ROUNDS_PER_TABLE == 0:
-            words = materialise(words, "words").persist(StorageLevel.MEMORY_AND_DISK)
-            cached.unpersist()
-            cached = words
-    cached.unpersist()
+        rules = names.rules(batch)
+        changes = _changed_pairs(chunks, since, rules).collect()
+        known.apply([(names.name(r["left"]), names.name(r["right"]), r["n"]) for r in changes], products)
+        since = since + rules
+        if len(since) >= _REPLAYED:
+            chunks, since = _rewritten(chunks, since), []
 
     merges = spark.createDataFrame([(i, a, b, a + b, n) for i, (a, b, n) in enumerate(learnt)], _MERGES)
-    return vocabulary(alphabet, merges, specials), merges, words
+    return vocabulary(alphabet, merges, specials), merges, _word_table(chunks, since, names)
 
 
 def vocabulary(alphabet: DataFrame, merges: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
